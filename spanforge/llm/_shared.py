@@ -11,6 +11,7 @@ from spanforge.session import importable_on_workers
 
 #: Rows in an Arrow batch that a Python task is given; bounds a task's memory.
 BATCH_ROWS = 1000
+BATCH_BYTES = 32 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -39,6 +40,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     importable_on_workers(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

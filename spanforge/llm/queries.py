@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+from spanforge.llm.decontaminate import op1_benchmark_decontamination
+from spanforge.llm.quality import op8_quality_rules
 from spanforge.llm.simhash import op5_simhash_near_dedup
+from spanforge.llm.tokenfile import op10_token_id_output
+from spanforge.llm.tokens import op9_token_counts
 
 QUERIES = {
+    "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
+    "op8_quality_rules": op8_quality_rules,
+    "op9_token_counts": op9_token_counts,
+    "op10_token_id_output": op10_token_id_output,
 }
 
 ORACLES: dict[str, str] = {}
