@@ -3,17 +3,23 @@
 from __future__ import annotations
 
 from spanforge.llm.decontaminate import op1_benchmark_decontamination
+from spanforge.llm.extract import op4_html_extraction
+from spanforge.llm.mixing import OP3_SQL, op3_mixing
 from spanforge.llm.quality import op8_quality_rules
 from spanforge.llm.simhash import op5_simhash_near_dedup
 from spanforge.llm.tokenfile import op10_token_id_output
 from spanforge.llm.tokens import op9_token_counts
+from spanforge.llm.warc import OP6_SQL, op6_warc
 
 QUERIES = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
+    "op3_mixing": op3_mixing,
+    "op4_html_extraction": op4_html_extraction,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
+    "op6_warc": op6_warc,
     "op8_quality_rules": op8_quality_rules,
     "op9_token_counts": op9_token_counts,
     "op10_token_id_output": op10_token_id_output,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES = {"op3_mixing": OP3_SQL, "op6_warc": OP6_SQL}
