@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from spanforge.llm.decontaminate import op1_benchmark_decontamination
+from spanforge.llm.exact import op7_suffix_array_dedup
 from spanforge.llm.extract import op4_html_extraction
 from spanforge.llm.mixing import OP3_SQL, op3_mixing
 from spanforge.llm.quality import op8_quality_rules
@@ -17,6 +18,7 @@ QUERIES = {
     "op4_html_extraction": op4_html_extraction,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op6_warc": op6_warc,
+    "op7_suffix_array_dedup": op7_suffix_array_dedup,
     "op8_quality_rules": op8_quality_rules,
     "op9_token_counts": op9_token_counts,
     "op10_token_id_output": op10_token_id_output,
