@@ -5,6 +5,7 @@ from __future__ import annotations
 from spanforge.llm.decontaminate import op1_benchmark_decontamination
 from spanforge.llm.exact import op7_suffix_array_dedup
 from spanforge.llm.extract import op4_html_extraction
+from spanforge.llm.lines import OP2_SQL, op2_line_dedup
 from spanforge.llm.mixing import OP3_SQL, op3_mixing
 from spanforge.llm.quality import op8_quality_rules
 from spanforge.llm.simhash import op5_simhash_near_dedup
@@ -14,6 +15,7 @@ from spanforge.llm.warc import OP6_SQL, op6_warc
 
 QUERIES = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
+    "op2_line_dedup": op2_line_dedup,
     "op3_mixing": op3_mixing,
     "op4_html_extraction": op4_html_extraction,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
@@ -24,4 +26,4 @@ QUERIES = {
     "op10_token_id_output": op10_token_id_output,
 }
 
-ORACLES = {"op3_mixing": OP3_SQL, "op6_warc": OP6_SQL}
+ORACLES = {"op2_line_dedup": OP2_SQL, "op3_mixing": OP3_SQL, "op6_warc": OP6_SQL}
