@@ -18,3 +18,8 @@ def query(name: str, sql: str | None = None):
         return f
 
     return add
+
+
+def load_all() -> None:
+    """Import every module that registers queries."""
+    from spanforge.plans import interval_queries, sequence_queries, statistics_queries  # noqa: F401
