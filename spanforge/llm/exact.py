@@ -152,21 +152,25 @@ def _first_of_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(tail, _KINDS, strict=True)], names=_NAMES)
 
 
+_CUT = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.bool_()]
+
+
 def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, dh, text, wanted[start, len, h]) -> (h, id, dh, start, bytes) for each wanted context."""
+    """(id, dh, text, wanted[start, len, h, crowd]) -> (h, id, dh, start, bytes, crowd) for each wanted context."""
+
+    def out(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), _CUT, strict=True)], names=["h", "id", "dh", "start", "bytes", "crowd"])
+
     for batch in batches:
         rows: list[tuple] = []
         for id, dh, text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()), batch.column(3).to_pylist(), strict=True):
-            data = text.as_buffer()
-            rows += [(w["h"], id, dh, w["start"], data[w["start"] : w["start"] + w["len"]].to_pybytes()) for w in wanted]
+            data = text.as_buffer().to_pybytes()
+            rows += [(w["h"], id, dh, w["start"], data[w["start"] : w["start"] + w["len"]], bool(w["crowd"])) for w in wanted]
             if len(rows) > 20_000:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), _CUT, strict=True)], names=["h", "id", "dh", "start", "bytes"])
+                yield out(rows)
                 rows = []
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), _CUT, strict=True)], names=["h", "id", "dh", "start", "bytes"])
-
-
-_CUT = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+            yield out(rows)
 
 
 def repeated_windows(data: list[bytes], id: np.ndarray, dh: np.ndarray, start: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -248,11 +252,12 @@ def covered(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, crowd: int
     found = written(found, "contexts")
     wanted = found.where(F.col("kind") == _CONTEXT)
     crowds = wanted.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > crowd).select("h", F.lit(True).alias("crowd"))
-    listed = wanted.groupBy("id", "dh").agg(F.collect_list(F.struct("start", "len", "h")).alias("wanted"))
-    cut = docs.join(listed, ["id", "dh"]).select("id", "dh", "text", "wanted").mapInArrow(_cut_out, "h long, id long, dh long, start long, bytes binary").dropDuplicates(["id", "dh", "start", "h"])
-    marked = cut.join(crowds, "h", "left")
-    few = marked.where("crowd is null").select("h", "id", "dh", "start", "bytes").repartition("h").sortWithinPartitions("h").mapInArrow(_shards(window), "id long, dh long, start long, end long")
-    each = marked.where("crowd").select("id", "dh", F.posexplode(F.transform(F.sequence(F.lit(1), F.octet_length("bytes") - window + 1), lambda k: F.sha2(F.substring("bytes", k, F.lit(window)), 256))).alias("k", "w"), "start").select("w", F.struct("id", "dh", (F.col("start") + F.col("k")).alias("start")).alias("place"))
+    listed = wanted.join(crowds, "h", "left").groupBy("id", "dh").agg(F.collect_list(F.struct("start", "len", "h", "crowd")).alias("wanted"))
+    # A document that is there twice gives its contexts twice; they are not later than themselves. Both uses of the texts, here
+    # and in the end, are one plan with one exchange of them.
+    cut = docs.join(listed, ["id", "dh"]).select("id", "dh", "text", "wanted").mapInArrow(_cut_out, "h long, id long, dh long, start long, bytes binary, crowd boolean")
+    few = cut.where("NOT crowd").select("h", "id", "dh", "start", "bytes").repartition("h").sortWithinPartitions("h").mapInArrow(_shards(window), "id long, dh long, start long, end long")
+    each = cut.where("crowd").select("id", "dh", F.posexplode(F.transform(F.sequence(F.lit(1), F.octet_length("bytes") - window + 1), lambda k: F.sha2(F.substring("bytes", k, F.lit(window)), 256))).alias("k", "w"), "start").select("w", F.struct("id", "dh", (F.col("start") + F.col("k")).alias("start")).alias("place"))
     first = each.groupBy("w").agg(F.min("place").alias("first"))
     more = each.join(first, "w").where("place <> first").select("place.id", "place.dh", "place.start", (F.col("place.start") + window).alias("end"))
     copies = found.where(F.col("kind") == _COVER).select("id", "dh", "start", (F.col("start") + F.col("len")).alias("end"))
@@ -292,7 +297,10 @@ def without_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", win
     spark = docs.sparkSession
     small_batches(spark)
     last = (1 << 63) - 1
-    plain = docs.select(F.coalesce(F.col(id).cast("long"), F.lit(last)).alias("id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("dh"), F.coalesce(text, F.lit("")).alias("text"))
+    key = F.coalesce(F.col(id).cast("long"), F.lit(last)).alias("id")
+    # Hashes of the texts tell apart what shares an id; where nothing does, a constant takes up no room in the shuffles.
+    shared = docs.select(key).groupBy("id").count().where("count > 1").limit(1).count()
+    plain = docs.select(key, (F.xxhash64(F.coalesce(text, F.lit(""))) if shared else F.lit(0).cast("long")).alias("dh"), F.coalesce(text, F.lit("")).alias("text"))
     spans = covered(plain, window, gram).groupBy("id", "dh").agg(F.collect_list(F.struct("start", "end")).alias("s"))
     joined = plain.join(spans, ["id", "dh"], "left").select("id", "text", F.col("s.start").alias("start"), F.col("s.end").alias("end"))
     out = joined.mapInArrow(_remove, "id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
