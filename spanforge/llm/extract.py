@@ -191,13 +191,14 @@ def _inherit(row: list[Block], when_none: str) -> None:
         left = decided[before] if before >= 0 else None
         after = before + 1
         right = decided[after] if after < len(decided) else None
-        if left is None or right is None:
-            b.label = labels[right if left is None else left]
-        elif k - left == right - k:
-            either = {labels[left], labels[right]}
-            b.label = labels[right] if b.headline else "good" if either == {"good"} or b.label == "near" and "good" in either else "bad"
+        sides = [labels[x] for x in (left, right) if x is not None]
+        if b.label == "near":
+            # Perhaps text: good unless what is decided on both sides is bad.
+            b.label = "good" if "good" in sides else "bad"
+        elif len(sides) == 2 and k - left == right - k:
+            b.label = "good" if sides == ["good", "good"] else "bad"
         else:
-            b.label = labels[left if k - left < right - k else right]
+            b.label = labels[left if right is None or left is not None and k - left < right - k else right]
 
 
 def main_text(page: str | None) -> str:
