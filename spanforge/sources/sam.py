@@ -80,3 +80,36 @@ def as_sam(models: DataFrame) -> DataFrame:
         F.when(k > 1, F.concat((F.get("exons", k - 1)["lo"] - F.get("exons", k - 2)["hi"] - 1).cast("string"), F.lit("N"))).otherwise(""),
         (F.get("exons", k - 1)["hi"] - F.get("exons", k - 1)["lo"] + 1).cast("string"), F.lit("M")))
     return models.select(F.concat_ws("\t", "id", F.lit("0"), "contig", F.get("exons", F.lit(0))["lo"].cast("string"), F.lit("255"), F.array_join(pieces, ""), F.lit("*"), F.lit("0"), F.lit("0"), F.lit("*"), F.lit("*"), F.concat(F.lit("XS:A:"), "strand"), F.concat(F.lit("ZF:f:"), F.format_string("%.6f", "fpkm"))).alias("value"))
+
+
+def trimmed(df: DataFrame, keep: int) -> DataFrame:
+    """Alignments cut to the first keep bases of the read: cigar, left, right and read_len change with the side that goes.
+
+    On the reverse strand (flag 16) the read's first bases are the rightmost. Introns and deletions at the cut go as well.
+    """
+    reverse = F.col("flag").bitwiseAND(16) != 0
+    ops = F.when(reverse, F.reverse("cigar")).otherwise(F.col("cigar"))
+
+    def step(s, x):
+        reads = x["op"].isin("M", "I", "S", "=", "X")
+        take = F.when(reads, F.least(x["len"], s["left"])).otherwise(F.when(s["left"] > 0, x["len"]).otherwise(0)).cast("int")
+        out = F.when(take > 0, F.concat(s["out"], F.array(F.struct(x["op"].alias("op"), take.alias("len"))))).otherwise(s["out"])
+        return F.struct((s["left"] - F.when(reads, take).otherwise(0)).cast("int").alias("left"), out.alias("out"))
+
+    start = F.struct(F.lit(keep).cast("int").alias("left"), F.array().cast("array<struct<op:string,len:int>>").alias("out"))
+    cut = F.aggregate(ops, start, step)["out"]
+    ends = F.col("__cut")
+    # Whatever is left hanging behind the last read base.
+    size = F.aggregate(F.transform(ends, lambda x, i: F.when(x["op"].isin("M", "I", "S", "=", "X"), i + 1).otherwise(0)), F.lit(0), lambda s, x: F.greatest(s, x))
+    kept = F.slice(ends, 1, F.greatest(F.lit(0), size))
+    found = df.withColumn("__cut", cut).withColumn("__cut", kept)
+    takes = cigar_sum(F.col("__cut"), "MNDS=X")
+    return found.withColumns({"left": F.when(reverse, F.col("right") - takes).otherwise(F.col("left")), "right": F.when(reverse, F.col("right")).otherwise(F.col("left") + takes), "cigar": F.when(reverse, F.reverse("__cut")).otherwise(F.col("__cut")), "read_len": cigar_sum(F.col("__cut"), "MIS=X")}).drop("__cut")
+
+
+def strand_by_protocol(flag: Column, protocol: str) -> Column:
+    """The strand that a stranded library gives a read: 'first' (first mates run against the transcript) or 'second'."""
+    second_mate = flag.bitwiseAND(128) != 0
+    forward = (flag.bitwiseAND(16) == 0) != second_mate
+    sense = forward if protocol == "second" else ~forward
+    return F.when(sense, "+").otherwise("-")
