@@ -12,20 +12,31 @@ from pyspark.sql import functions as F
 from spanforge.session import importable_on_workers
 
 
+#: Ranges of p into which a pool is cut for ranking.
+FDR_RANGES = 4096
+
+
 def fdr(df: DataFrame, p: str = "p_value", status: str = "status", id: Sequence[str] = ("test_id",), by: Sequence[str] = (), alpha: float = 0.05) -> DataFrame:
     """df with q_value and significant, by Benjamini and Hochberg over the rows with status OK (one pool, or one for each by).
 
-    q is the least p * n / rank of this or any greater p, at most 1. Other rows have no q. A pool is ranked by a distributed
-    sort where it is the whole table: ranks come from counts before each distinct p, which are one row a p.
+    q is the least p * n / rank of this or any greater p, at most 1. Other rows have no q. Ranks and minima are made inside
+    ranges of p and carried over from range to range, so that no task orders a whole pool; only the table of ranges is
+    ordered in one place.
     """
     ok = df.where((F.col(status) == "OK") & F.col(p).isNotNull())
-    levels = ok.groupBy(*by, p).agg(F.count("*").alias("__n"))
-    up = Window.partitionBy(*by).orderBy(p) if by else Window.orderBy(p)
-    down = up.rowsBetween(0, Window.unboundedFollowing)
-    total = F.sum("__n").over(Window.partitionBy(*by)) if by else F.sum("__n").over(Window.partitionBy())
-    levels = levels.withColumns({"__rank": F.sum("__n").over(up.rowsBetween(Window.unboundedPreceding, 0)), "__all": total})
-    levels = levels.withColumn("q_value", F.least(F.lit(1.0), F.min(F.col(p) * F.col("__all") / F.col("__rank")).over(down)))
-    found = ok.join(levels.select(*by, p, "q_value"), [*by, p])
+    levels = ok.groupBy(*by, p).agg(F.count("*").alias("__n")).withColumn("__range", F.floor(F.col(p) * FDR_RANGES))
+    keys = [*by, "__range"]
+    along = Window.partitionBy(*by).orderBy("__range") if by else Window.orderBy("__range")
+    whole = Window.partitionBy(*by) if by else Window.partitionBy()
+    sizes = levels.groupBy(*keys).agg(F.sum("__n").alias("__s"))
+    sizes = sizes.select(*keys, F.coalesce(F.sum("__s").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"), F.sum("__s").over(whole).alias("__all"))
+    inside = Window.partitionBy(*keys).orderBy(p)
+    ranked = levels.join(sizes, keys).withColumn("__rank", F.col("__before") + F.sum("__n").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    ranked = ranked.withColumn("__raw", F.col(p) * F.col("__all") / F.col("__rank"))
+    later = ranked.groupBy(*keys).agg(F.min("__raw").alias("__m"))
+    later = later.select(*keys, F.min("__m").over(along.rowsBetween(1, Window.unboundedFollowing)).alias("__later"))
+    q = F.least(F.lit(1.0), F.min("__raw").over(inside.rowsBetween(0, Window.unboundedFollowing)), F.col("__later"))
+    found = ok.join(ranked.join(later, keys).withColumn("q_value", q).select(*by, p, "q_value"), [*by, p])
     rest = df.where(~((F.col(status) == "OK") & F.col(p).isNotNull()) | F.col(status).isNull()).withColumn("q_value", F.lit(None).cast("double"))
     return found.select(*df.columns, "q_value").unionByName(rest).withColumn("significant", F.coalesce(F.col("q_value") <= alpha, F.lit(False)))
 
