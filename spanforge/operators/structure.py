@@ -118,6 +118,13 @@ def classified(query: DataFrame, reference: DataFrame, bin: int = 10_000) -> Dat
     return query.join(top, "id", "left").withColumn("code", F.coalesce("code", F.lit("u")))
 
 
+def repeats(classified: DataFrame, sequences: DataFrame) -> DataFrame:
+    """classified with code r for models without a relation (u) whose sequence(id, seq) is mostly lower case."""
+    masked = sequences.select("id", (F.length(F.regexp_replace("seq", "[^a-z]", "")) > F.length("seq") / 2).alias("__masked"))
+    found = classified.join(masked, "id", "left")
+    return found.withColumn("code", F.when((F.col("code") == "u") & F.coalesce("__masked", F.lit(False)), "r").otherwise(F.col("code"))).drop("__masked")
+
+
 def redundant(df: DataFrame, bin: int = 10_000) -> DataFrame:
     """Rows of df(id, contig, strand, exons) whose introns are those of another, or a run of them, and whose span it holds.
 

@@ -24,6 +24,26 @@ def bundled(alignments: DataFrame, slack: int = SLACK) -> DataFrame:
     return found.withColumn("bundle", F.concat_ws(":", "contig", "__island")).drop("__lo", "__hi", "__island")
 
 
+def bundled_by(alignments: DataFrame, annotation: DataFrame, mode: str, slack: int = SLACK, bin: int = 10_000) -> DataFrame:
+    """alignments with bundle, with the help of an annotation(id, contig, exons).
+
+    'reference': bundles are islands of the annotation, and only alignments that lie wholly in one are kept. 'guided': bundles
+    are islands of alignments and annotation together, so that a model joins what it spans.
+    """
+    spans = annotation.select("contig", "id", (F.get("exons", F.lit(0))["lo"] - 1).alias("lo"), F.get("exons", F.size("exons") - 1)["hi"].alias("hi"))
+    if mode == "reference":
+        loci = intervals.merged(spans, ["contig"], slack=slack, order=["id"]).select("contig", "lo", "hi", F.concat_ws(":", "contig", "island").alias("bundle"))
+        placed = alignments.withColumns({"lo": F.col("left"), "hi": F.col("right")})
+        pairs = intervals.range_join(placed, loci, ["contig"], bin=bin).where("lo_r <= lo AND hi <= hi_r")
+        return pairs.select(*alignments.columns, F.col("bundle_r").alias("bundle"))
+    if mode != "guided":
+        raise ValueError(mode)
+    reach = alignments.withColumns({"lo": F.col("left"), "hi": F.greatest("right", F.coalesce(F.col("mate_left") + 1, "right")), "__read": F.lit(True)})
+    both = reach.unionByName(spans.select("contig", "lo", "hi", F.col("id").alias("read_id")), allowMissingColumns=True)
+    found = intervals.islands(both, ["contig"], slack=slack, order=["hi", "read_id"]).where("__read")
+    return found.withColumn("bundle", F.concat_ws(":", "contig", "island")).select(*alignments.columns, "bundle")
+
+
 def assemble_sample(alignments: DataFrame, least_fraction: float = 0.1, min_mass: float = 0.0) -> DataFrame:
     """(id, gene_id, contig, strand, exons (1-based closed), mass, status): models of one sample.
 

@@ -59,3 +59,11 @@ def test_merge_of_assemblies(spark):
     rows = [("a", "1", "chr", "+", [(1, 100), (201, 260)], 5.0), ("b", "1", "chr", "+", [(240, 260), (401, 500)], 5.0), ("b", "2", "chr", "+", [(50, 100), (201, 250)], 5.0)]
     df = spark.createDataFrame(rows, "sample string, id string, contig string, strand string, exons array<struct<lo:int,hi:int>>, mass double")
     assert [[tuple(e) for e in r.exons] for r in workflows.merged_assemblies(df).collect()] == [[(1, 100), (201, 260), (401, 500)]]
+
+
+def test_bundles_by_annotation(spark):
+    reads = spark.createDataFrame([("a", "c", 100, 150, None), ("b", "c", 400, 450, None), ("d", "c", 480, 520, None), ("e", "c", 900, 950, 990)], "read_id string, contig string, left int, right int, mate_left int")
+    models = spark.createDataFrame([("m", "c", [(91, 200), (401, 500)])], "id string, contig string, exons array<struct<lo:int,hi:int>>")
+    assert sorted(r.read_id for r in workflows.bundled_by(reads, models, "reference").collect()) == ["a", "b"]
+    got = {r.read_id: r.bundle for r in workflows.bundled_by(reads, models, "guided").collect()}
+    assert got["a"] == got["b"] == got["d"] != got["e"]
