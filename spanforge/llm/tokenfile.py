@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from spanforge.llm._shared import fresh_path, small_batches, table
+from spanforge.llm._shared import fresh_path, small_batches, table, written
 from spanforge.llm.rawfiles import read_files, write_files
 from spanforge.llm.text import mix
 from spanforge.llm.tokens import TOKENIZER, bpe, grouped
@@ -38,7 +38,8 @@ BUCKET_KEYS = 1 << 14
 #: Bits for each key left at a level.
 ROOM = 2
 END_ID = 2
-MOST_WORDS = 200_000
+#: Words whose ids a worker keeps: those met since the last change of generation, and those of the generation before.
+MOST_WORDS = 500_000
 
 
 class Encoder:
@@ -51,24 +52,30 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.machine = bpe(path)
         self.dtype = np.dtype("<u2") if self.library.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
+        self.packed = [np.array(k, self.dtype).tobytes() for k in range(self.library.get_vocab_size())]
         self.known: dict[str, bytes] = {}
-
-    def learn(self, words: list[str], known: dict[str, bytes]) -> None:
-        for w, e in zip(words, self.library.encode_batch_fast(words, add_special_tokens=False), strict=True):
-            known[w] = np.array(e.ids, self.dtype).tobytes()
+        self.old: dict[str, bytes] = {}
+
+    def learn(self, words: set[str]) -> None:
+        if len(self.known) > MOST_WORDS // 2:
+            self.old, self.known = self.known, {}
+        for w in words.intersection(self.old).difference(self.known):
+            self.known[w] = self.old[w]
+        special, shown, model, packed = self.machine.special, self.machine.shown, self.library.model, self.packed
+        for w in words.difference(self.known):
+            # The library's model takes a word of the split pattern with its bytes as visible characters.
+            if w in special:
+                self.known[w] = packed[special[w]]
+            else:
+                self.known[w] = b"".join([packed[x.id] for x in model.tokenize(w.encode().decode("latin-1").translate(shown))])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out = [[] for _ in texts]
         for group in grouped(texts):
             joined, begin, end, first = self.machine.words_of([t for _, t in group])
             words = [joined[a:b] for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
-            distinct = set(words)
-            new = list(distinct.difference(self.known))
-            if len(self.known) + len(new) > MOST_WORDS:
-                self.known = {}
-                new = list(distinct)
-            self.learn(new, self.known)
-            ids = [self.known[w] for w in words]
+            self.learn(set(words))
+            ids = list(map(self.known.__getitem__, words))
             for (k, _), a, b in zip(group, first[:-1].tolist(), first[1:].tolist(), strict=True):
                 out[k].append(b"".join(ids[a:b]))
         return [b"".join(x) for x in out]
@@ -245,11 +252,10 @@ def _bucket(n_buckets: int):
     return F.pmod(F.xxhash64(F.coalesce("key", F.lit(0)), F.isnull("key"), "copy"), F.lit(n_buckets).cast("long"))
 
 
-def build_index(spark: SparkSession, shards: str, path: str, bucket_keys: int = BUCKET_KEYS) -> int:
-    """Write the index of the shard files; returns its number of buckets (which a lookup needs)."""
-    entries = directory(spark, shards)
+def build_index(entries: DataFrame, path: str, bucket_keys: int = BUCKET_KEYS) -> int:
+    """Write the index of a directory of shard files; returns its number of buckets (which a lookup needs)."""
     n_buckets = max(1, -(-entries.count() // bucket_keys))
-    entries.withColumn("bucket", _bucket(n_buckets)).groupBy("bucket").applyInArrow(_build, _INDEX).write.parquet(path)
+    entries.select("shard", "key", "copy", "at", "n_ids", _bucket(n_buckets).alias("bucket")).groupBy("bucket").applyInArrow(_build, _INDEX).write.parquet(path)
     return n_buckets
 
 
@@ -295,10 +301,11 @@ def written_and_read(docs: DataFrame, tokenizer: str, id: str = "doc_id", text:
     write_shards(docs, shards, tokenizer, id, text, end_id)
     if not docs.limit(1).count():
         return spark.createDataFrame([], f"`{id}` long, start long, n_tokens long, ids_crc32 long")
-    n_buckets = build_index(spark, shards, index)
+    entries = written(directory(spark, shards, checksums=True), "token-directory")
+    n_buckets = build_index(entries, index)
     keys = docs.groupBy(F.col(id).cast("long").alias("key")).agg(F.count("*").alias("n")).select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("copy"))
     places = look_up(keys, spark.read.parquet(index), n_buckets).select("key", "shard", "at", "n_ids")
-    content = directory(spark, shards, checksums=True).select("shard", "at", "ids_crc32", "n_ids")
+    content = entries.select("shard", "at", "ids_crc32", "n_ids")
     bases = content.groupBy("shard").agg(F.sum("n_ids").alias("ids")).withColumn("base", F.sum("ids").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))).select("shard", F.coalesce("base", F.lit(0)).cast("long").alias("base"))
     found = places.join(content.drop("n_ids"), ["shard", "at"]).join(bases, "shard")
     return found.select(F.col("key").alias(id), (F.col("base") + F.col("at")).alias("start"), F.col("n_ids").alias("n_tokens"), "ids_crc32")

@@ -145,19 +145,28 @@ class Bpe:
         visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
         shown = {b: chr(b) for b in visible} | {b: chr(256 + k) for k, b in enumerate(x for x in range(256) if x not in visible)}
         raw = {c: b for b, c in shown.items()}
+        self.shown = {b: ord(c) for b, c in shown.items()}
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.find_special = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
-        self.ids = {bytes(raw[c] for c in t): i for t, i in spec["model"]["vocab"].items()}
-        pairs = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
+        self.path, self.raw = path, raw
+        self.counts: dict[str, int] = {}
+        self.trie: list[dict[int, int]] = []
+
+    def _compile(self) -> None:
+        """The trie of the tokens and the ranks of the merges; only counting needs them."""
+        raw = self.raw
+        with open(self.path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         self.parts = [(bytes(raw[c] for c in a), bytes(raw[c] for c in b)) for a, b in pairs]
         self.ranks = {p: k for k, p in enumerate(self.parts)}
         self.made: dict[bytes, int] = {}
         for k, (a, b) in enumerate(self.parts):
             self.made.setdefault(a + b, k)
-        self.trie: list[dict[int, int]] = [{}]
+        self.trie = [{}]
         self.token_at: list[bytes | None] = [None]
-        for token in self.ids:
-            node = 0
+        for shown in model["vocab"]:
+            token, node = bytes(raw[c] for c in shown), 0
             for b in token:
                 node = self.trie[node].setdefault(b, len(self.trie))
                 if node == len(self.trie):
@@ -165,7 +174,6 @@ class Bpe:
                     self.token_at.append(None)
             self.token_at[node] = token
         self.fits: dict[tuple[bytes, bytes], bool] = {}
-        self.counts: dict[str, int] = {}
         self._reset()
 
     def _reset(self) -> None:
@@ -219,6 +227,8 @@ class Bpe:
         """Tokens of a word of the lexer."""
         if word in self.special:
             return 1
+        if not self.trie:
+            self._compile()
         if len(self.states) > MOST_STATES:
             self._reset()
         if len(self.fits) > 4 * MOST_STATES:

@@ -468,7 +468,7 @@ def test_token_files_round_trip(spark, docs, nothing, library, monkeypatch):
     assert tokenfile.written_and_read(nothing, PATH).count() == 0
     shards, index = tokenfile.fresh_path(spark, "s"), tokenfile.fresh_path(spark, "i")
     tokenfile.write_shards(docs, shards, PATH, shard_ids=500)
-    n = tokenfile.build_index(spark, shards, index, bucket_keys=7)
+    n = tokenfile.build_index(tokenfile.directory(spark, shards), index, bucket_keys=7)
     found = tokenfile.read_ids(spark, shards, index, n, [7, 204, 999_999])
     assert set(found) == {7, 204} and found[204].tolist() == [*library.encode("x" * 3000, add_special_tokens=False).ids, 2]
 
