@@ -205,16 +205,20 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", rad
     return prints.join(named, "fp", "left").select(id, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def one_of_each_group(docs: DataFrame, id: str = "doc_id", text: str = "text", **options: int) -> DataFrame:
-    """The rows of docs that stay: of each group of near copies the one with the least id (rows without id stay).
+def least_of_each_group(docs: DataFrame, groups: DataFrame, id: str = "doc_id") -> DataFrame:
+    """The rows of docs whose id is the component_id that groups(id, component_id) names, and those without id.
 
     The groups hold ids alone; the texts meet them in one join. Rows that repeat the least id as well go but for one.
     """
-    groups = near_duplicates(docs, id, text, **options)
     stay = groups.where(F.col(id) == F.col("component_id")).select(id).distinct()
     kept = docs.join(stay, id, "left_semi").dropDuplicates([id])
     return kept.unionByName(docs.where(F.col(id).isNull()))
 
 
+def one_of_each_group(docs: DataFrame, id: str = "doc_id", text: str = "text", **options: int) -> DataFrame:
+    """The rows of docs that stay: of each group of near copies the one with the least id (rows without id stay)."""
+    return least_of_each_group(docs, near_duplicates(docs, id, text, **options), id)
+
+
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))

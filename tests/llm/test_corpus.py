@@ -15,7 +15,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from spanforge.llm import decontaminate, exact, extract, graph, lines, mixing, quality, simhash, suffix, text, tokenfile, tokens, warc
+from spanforge.llm import decontaminate, exact, extract, graph, lines, mixing, nearcopies, quality, simhash, suffix, text, tokenfile, tokens, warc
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -482,6 +482,62 @@ def test_perfect_hash_is_minimal(keys):
     assert sorted(tokenfile.perfect_slots(h, levels).tolist()) == list(range(len(k)))
 
 
+# Near copies in the pipeline.
+
+
+def brute_groups(rows):
+    sets = {}
+    for i, t in rows:
+        w = WORD.findall((t or "").translate({c: c + 32 for c in range(65, 91)}))
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in sets.items():
+        for j, b in sets.items():
+            if i < j and 5 * len(a & b) >= 4 * len(a | b):
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    return {i: find(i) for i in sets}
+
+
+@pytest.mark.parametrize("small_bucket", [32, 1])
+def test_near_copies_equal_brute_force(spark, small_bucket):
+    rng = random.Random(11)
+    rows = [(1, None), (2, " "), (3, "one two"), (4, "ONE two"), (5, "one two three")]
+    for g in range(12):
+        words = sentence(rng, rng.randint(8, 150)).split()
+        for k in range(8):
+            rows.append((10 + 10 * g + k, " ".join(words)))
+            for _ in range(max(1, len(words) // 50)):
+                words[rng.randrange(len(words))] = sentence(rng, 1)
+    docs = spark.createDataFrame(rows + [(None, rows[5][1]), rows[7]], "doc_id long, text string").repartition(3)
+    want = brute_groups(rows)
+    assert len(set(want.values())) < len(rows) - 30
+    got = nearcopies.near_copies(docs, small_bucket=small_bucket).collect()
+    assert len(got) == len(rows) + 2
+    assert {r.doc_id: r.component_id for r in got if r.doc_id is not None} == want
+    assert [r.component_id for r in got if r.doc_id is None] == [want[10]]
+    assert nearcopies.near_copies(docs.where("false")).count() == 0
+
+
+def test_pipeline_drops_copies_with_many_differing_bits(spark):
+    import corpus_pipeline as cp
+
+    rng = random.Random(4)
+    words = sentence(rng, 200).split()
+    other = list(words)
+    for k in (20, 80, 140, 190):
+        other[k] = "edited"
+    a, b = " ".join(words), " ".join(other)
+    assert bin(brute_print(a) ^ brute_print(b)).count("1") > 2
+    docs = spark.createDataFrame([(1, a), (2, b), (3, sentence(rng, 200))], "doc_id long, text string")
+    assert sorted(r.doc_id for r in cp.near_dedup(spark, docs, SF).collect()) == [1, 3]
+
+
 # The pipeline.
 
 
