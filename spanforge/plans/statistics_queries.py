@@ -171,7 +171,17 @@ c(x, r) AS (SELECT p_partkey, p_partkey FROM part UNION SELECT e.y, c.r FROM c J
 SELECT x AS p_partkey, min(r) AS component FROM c GROUP BY x""")
 def cluster_components(spark: SparkSession, d: str) -> DataFrame:
     """Parts linked by orders that returned them together; an order links its parts to its least one."""
-    lines = load(spark, d, "lineitem").where("l_returnflag = 'R' AND l_orderkey % 5 = 0").select("l_orderkey", "l_partkey")
+    return _returned_together(spark, d, "l_returnflag = 'R' AND l_orderkey % 5 = 0")
+
+
+@query("cluster_components_all_orders")
+def cluster_components_all_orders(spark: SparkSession, d: str) -> DataFrame:
+    """As cluster_components, over the orders with every key. Without SQL; a test holds it against brute force."""
+    return _returned_together(spark, d, "l_returnflag = 'R'")
+
+
+def _returned_together(spark: SparkSession, d: str, lines: str) -> DataFrame:
+    lines = load(spark, d, "lineitem").where(lines).select("l_orderkey", "l_partkey")
     first = lines.groupBy("l_orderkey").agg(F.min("l_partkey").alias("first"))
     parts = load(spark, d, "part").select("p_partkey")
     return cluster.label_components(parts, lines.join(first, "l_orderkey"), "p_partkey", "l_partkey", "first")

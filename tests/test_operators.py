@@ -197,3 +197,22 @@ def test_control_tables(spark, tmp_path):
     assert sorted(r.name for r in tables.contrasts(spark, str(tmp_path / "c.tsv")).collect()) == ["a_vs_b", "ac"]
     (tmp_path / "s.tsv").write_text("path\tgroup\n2.bam\tx\n1.bam\tx\n3.bam\ty\n")
     assert {r.group: r.paths for r in tables.sample_sheet(spark, str(tmp_path / "s.tsv")).collect()} == {"x": ["1.bam", "2.bam"], "y": ["3.bam"]}
+
+
+def test_components_over_all_orders(spark):
+    import __spark_entry__ as entry
+
+    sf = "/root/testdata/sf0.001"
+    root = {r.p_partkey: r.p_partkey for r in spark.read.parquet(f"{sf}/part.parquet").collect()}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    first = {}
+    for r in spark.read.parquet(f"{sf}/lineitem.parquet").where("l_returnflag = 'R'").select("l_orderkey", "l_partkey").collect():
+        a, b = find(first.setdefault(r.l_orderkey, r.l_partkey)), find(r.l_partkey)
+        root[max(a, b)] = min(a, b)
+    got = {r.p_partkey: r.component for r in entry.queries()["cluster_components_all_orders"](spark, sf).collect()}
+    assert got == {x: find(x) for x in root}
