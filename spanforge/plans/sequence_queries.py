@@ -41,6 +41,13 @@ def codon_translate(spark: SparkSession, d: str) -> DataFrame:
     return bases(spark, d).select("doc_id", sequence.translate(F.left("seq", F.lit(300))).alias("protein"))
 
 
+@query("codon_translate_whole")
+def codon_translate_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Length and digest of the translation of all of each text's letters. Without SQL; a test holds it against brute force."""
+    proteins = bases(spark, d).select("doc_id", sequence.translate(F.col("seq")).alias("protein"))
+    return proteins.select("doc_id", F.length("protein").cast("long").alias("length"), F.md5(F.col("protein").cast("binary")).alias("digest"))
+
+
 @query("gff_attributes", r"""SELECT page_id, nullif(regexp_extract(url, '[?&]page=([^&#]*)', 1), '') AS page, nullif(regexp_extract(url, '[?&]ref=([^&#]*)', 1), '') AS ref FROM pages""")
 def gff_attributes(spark: SparkSession, d: str) -> DataFrame:
     """The query string of each page's address as key=value attributes."""

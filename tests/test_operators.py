@@ -216,3 +216,21 @@ def test_components_over_all_orders(spark):
         root[max(a, b)] = min(a, b)
     got = {r.p_partkey: r.component for r in entry.queries()["cluster_components_all_orders"](spark, sf).collect()}
     assert got == {x: find(x) for x in root}
+
+
+def test_translation_of_whole_texts(spark):
+    import hashlib
+    import re
+
+    import __spark_entry__ as entry
+
+    sf = "/root/testdata/sf0.001"
+    amino = dict(zip((a + b + c for a in "TCAG" for b in "TCAG" for c in "TCAG"), sequence.AMINO_ACIDS, strict=True))
+    table = str.maketrans("BDEFHIJKLMNOPQRSUVWXYZ", "ACGTACGTACGTACGTACGTAC")
+    want = {}
+    for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect():
+        seq = re.sub("[^A-Za-z]", "", r.text).upper().translate(table)
+        protein = "".join(amino.get(seq[k : k + 3], "X") for k in range(0, len(seq) - 2, 3))
+        want[r.doc_id] = len(protein), hashlib.md5(protein.encode()).hexdigest()
+    assert max(n for n, _ in want.values()) > 100
+    assert {r.doc_id: (r.length, r.digest) for r in entry.queries()["codon_translate_whole"](spark, sf).collect()} == want
