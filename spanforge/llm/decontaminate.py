@@ -1,6 +1,7 @@
 """Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming candidates, exact verification.
 
-A window of a document has as many words as the item it is held against. Windows that share no word shingle with any
+A window of a document has as many words as the item it is held against; a document of fewer words is one window, which is
+compared at once. Windows that share no word shingle with any
 item of that size have similarity zero and are left out before any fingerprint is made; this loses nothing. Of the
 others, those whose fingerprint lies within the radius of an item's are found through blocks of bits: with radius + 1
 blocks, one at least is equal. What is found is verified by exact weighted-shingle similarity.
@@ -140,6 +141,12 @@ class Scanner:
                             key = int(text), items.ids[i]
                             if sim > best.get(key, (-1.0,))[0]:
                                 best[key] = sim, start, items.size
+                    # A text of fewer words is one window, as long as it has shingles enough for the least similarity.
+                    elif min(self.shingle, items.size) == n and len(local) >= self.least * (items.size - n + 1) and np.isin(local, items.known).any():
+                        for item, s, w in zip(items.ids, items.shingles, items.weights, strict=True):
+                            sim, key = similarity(local, s, w), (int(text), item)
+                            if sim >= self.least and sim > best.get(key, (-1.0,))[0]:
+                                best[key] = sim, 0, b - a
         return [(*k, *v) for k, v in sorted(best.items())]
 
     def _text(self, grams: np.ndarray, hits: np.ndarray, n_words: int, n: int, items: Items) -> Iterator[tuple[int, float, int]]:

@@ -130,6 +130,17 @@ def test_leaks_equal_brute_force(spark, docs, nothing):
     assert decontaminate.without_leaks(docs, benchmark.where("false")).count() == docs.count()
 
 
+def test_documents_shorter_than_the_item():
+    words = sentence(random.Random(8), 50).split()
+    items = decontaminate.index([(1, " ".join(words)), (2, "two words"), (3, "solo")], 5)
+    scanner = decontaminate.Scanner(items, 5, 0.8, decontaminate.RADIUS)
+    docs = [" ".join(words[:49]), " ".join(words[9:]), " ".join(words[4:45]), "two", ""]
+    (_, _, t), = text.slices(pa.array(docs, pa.large_string()))
+    assert scanner.find(t) == [(0, 1, 45 / 46, 0, 49), (1, 1, 37 / 46, 0, 41), (2, 1, 37 / 46, 0, 41)]
+    (_, _, t), = text.slices(pa.array([" ".join(words[:40]), "words"], pa.large_string()))
+    assert scanner.find(t) == []
+
+
 def test_blocks_find_all_within_radius():
     rng = np.random.default_rng(0)
     a, b = rng.integers(0, 2**63, 50, dtype=np.uint64), rng.integers(0, 2**63, 40, dtype=np.uint64)
