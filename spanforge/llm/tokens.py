@@ -24,14 +24,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanforge.llm._shared import small_batches, table
+from spanforge.llm.text import mix
+from spanforge.llm.wordtable import PADDING, Generation, WordTable
 
 TOKENIZER = "byte_bpe_50k.json"
 #: Tokens beyond which a document is over the limit.
 LIMIT = 512
 #: Characters that are worked on at once; longer texts are cut where a word must begin.
 PIECE = 1 << 20
-#: Words whose count a worker keeps, and states of the transducer.
-MOST_WORDS, MOST_STATES = 300_000, 200_000
+#: States and transitions of the transducer that a worker keeps.
+MOST_STATES = 200_000
+#: Words that the transducer reads side by side; a longer one than LONG_WORD bytes is read by itself.
+TOGETHER, LONG_WORD = 4096, 64
 #: Characters of a chunk.
 CHUNK = 64
 
@@ -101,13 +105,36 @@ def symbols(cps: np.ndarray, special: np.ndarray) -> np.ndarray:
     return out
 
 
+@functools.cache
+def monoid() -> tuple[np.ndarray, np.ndarray]:
+    """(maps, after): the state maps that stretches of symbols can have, and the number of each one followed by a symbol.
+
+    Maps are numbered as they are met; number 0 is that of the empty stretch. There are a few dozen, so that a chunk's map is
+    found in one step for each of its characters, whatever state it may be entered in.
+    """
+    step = TRANSITIONS & 7
+    maps, after = [np.arange(8)], []
+    number = {tuple(range(8)): 0}
+    for m in maps:
+        row = []
+        for symbol in range(len(step)):
+            made = step[symbol][m]
+            at = number.setdefault(tuple(made.tolist()), len(maps))
+            if at == len(maps):
+                maps.append(made)
+            row.append(at)
+        after.append(row)
+    return np.array(maps, np.intp), np.array(after, np.int16)
+
+
 def state_maps(symbol: np.ndarray) -> np.ndarray:
-    """For each row of symbols (a chunk), the state in which it ends for each state in which it may begin."""
-    step = (TRANSITIONS & 7).ravel()
-    at = np.broadcast_to(np.arange(8, dtype=np.intp), (len(symbol), 8)).copy()
-    for k in range(symbol.shape[1]):
-        at = step[(symbol[:, k].astype(np.intp) * 8)[:, None] + at].astype(np.intp)
-    return at
+    """For each column of symbols (a chunk), the state in which it ends for each state in which it may begin."""
+    maps, after = monoid()
+    width, flat = after.shape[1], after.ravel()
+    at = np.zeros(symbol.shape[1], np.int16)
+    for row in symbol:
+        at = flat[at * np.int16(width) + row]
+    return maps[at]
 
 
 def prefix_states(maps: np.ndarray, start: int = BETWEEN) -> np.ndarray:
@@ -125,15 +152,16 @@ def word_starts(symbol: np.ndarray) -> np.ndarray:
     n = len(symbol)
     rows = np.full((-(-n // CHUNK)) * CHUNK, S_NONE, np.uint8)
     rows[:n] = symbol
-    rows = rows.reshape(-1, CHUNK)
-    at = prefix_states(state_maps(rows)).astype(np.intp)
+    # One chunk is one column: a step of all chunks then reads one stretch of memory.
+    rows = np.ascontiguousarray(rows.reshape(-1, CHUNK).T)
+    at = prefix_states(state_maps(rows)).astype(np.uint8)
     begins = np.zeros(rows.shape, bool)
-    flat = TRANSITIONS.ravel()
+    flat = TRANSITIONS.ravel().astype(np.uint8)
     for k in range(CHUNK):
-        go = flat[rows[:, k].astype(np.intp) * 8 + at]
-        begins[:, k] = go > 7
-        at = (go & 7).astype(np.intp)
-    return np.flatnonzero(begins.ravel()[:n])
+        go = flat[rows[k] * np.uint8(8) + at]
+        begins[k] = go > 7
+        at = go & np.uint8(7)
+    return np.flatnonzero(begins.T.ravel()[:n])
 
 
 class Bpe:
@@ -147,10 +175,11 @@ class Bpe:
         raw = {c: b for b, c in shown.items()}
         self.shown = {b: ord(c) for b, c in shown.items()}
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
+        self.special_bytes = {x.encode(): k for x, k in self.special.items()}
         self.find_special = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.path, self.raw = path, raw
-        self.counts: dict[str, int] = {}
-        self.trie: list[dict[int, int]] = []
+        self.counts = Counts(self)
+        self.trie = {}
 
     def _compile(self) -> None:
         """The trie of the tokens and the ranks of the merges; only counting needs them."""
@@ -158,96 +187,154 @@ class Bpe:
         with open(self.path, encoding="utf-8") as f:
             model = json.load(f)["model"]
         pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
-        self.parts = [(bytes(raw[c] for c in a), bytes(raw[c] for c in b)) for a, b in pairs]
-        self.ranks = {p: k for k, p in enumerate(self.parts)}
-        self.made: dict[bytes, int] = {}
-        for k, (a, b) in enumerate(self.parts):
-            self.made.setdefault(a + b, k)
-        self.trie = [{}]
-        self.token_at: list[bytes | None] = [None]
-        for shown in model["vocab"]:
-            token, node = bytes(raw[c] for c in shown), 0
-            for b in token:
-                node = self.trie[node].setdefault(b, len(self.trie))
-                if node == len(self.trie):
-                    self.trie.append({})
-                    self.token_at.append(None)
+        token_of = {bytes(raw[c] for c in shown): k for k, shown in enumerate(model["vocab"])}
+        joined = [(token_of[bytes(raw[c] for c in a)], token_of[bytes(raw[c] for c in b)], token_of[bytes(raw[c] for c in a + b)]) for a, b in pairs]
+        # By token: the merge that makes it (-1: none) and its two parts; by two tokens: their merge.
+        self.made, self.parts, self.ranks = [-1] * len(token_of), [(0, 0)] * len(token_of), {}
+        for k, (a, b, whole) in enumerate(joined):
+            self.ranks[a << 17 | b] = k
+            if self.made[whole] < 0:
+                self.made[whole], self.parts[whole] = k, (a, b)
+        self.trie: dict[int, int] = {}
+        self.token_at, self.goes_on = [-1], [True]
+        for word, token in token_of.items():
+            node = 0
+            for byte in word:
+                self.goes_on[node] = True
+                node = self.trie.setdefault(node << 8 | byte, len(self.token_at))
+                if node == len(self.token_at):
+                    self.token_at.append(-1)
+                    self.goes_on.append(False)
             self.token_at[node] = token
-        self.fits: dict[tuple[bytes, bytes], bool] = {}
+        self.fits: dict[int, bool] = {}
         self._reset()
 
     def _reset(self) -> None:
-        self.states: list[tuple] = [((0, None, 0),)]
-        self.number: dict[tuple, int] = {self.states[0]: 0}
-        self.steps: dict[int, tuple[int, int]] = {}
+        self.states: list[tuple[int, ...]] = [(0,)]
+        self.number = {self.states[0]: 0}
+        self.steps = Generation(20)
 
-    def fit(self, a: bytes, b: bytes) -> bool:
+    def fit(self, a: int, b: int) -> bool:
         """Whether the tokens a, b stay as they are when they stand side by side.
 
         The merges that made a and b are taken back, the latest first; a merge across the border that would have come
         before the one taken back breaks the pair.
         """
-        got = self.fits.get((a, b))
+        got = self.fits.get(a << 17 | b)
         if got is None:
-            left, right, ranks, parts = a, b, self.ranks, self.parts
+            left, right, ranks, parts, made = a, b, self.ranks, self.parts, self.made
             latest, got = 1 << 60, True
             while True:
-                if ranks.get((left, right), 1 << 60) < latest:
+                if ranks.get(left << 17 | right, 1 << 60) < latest:
                     got = False
                     break
-                made_left, made_right = self.made.get(left, -1), self.made.get(right, -1)
+                made_left, made_right = made[left], made[right]
                 if made_left < 0 and made_right < 0:
                     break
                 if made_left > made_right:
-                    latest, left = made_left, parts[made_left][1]
+                    latest, left = made_left, parts[left][1]
                 else:
-                    latest, right = made_right + 1, parts[made_right][0]
-            self.fits[a, b] = got
+                    latest, right = made_right + 1, parts[right][0]
+            self.fits[a << 17 | b] = got
         return got
 
     def compile(self, state: int, byte: int) -> tuple[int, int]:
-        """(next state, change of the count) for a byte, added to the transitions."""
-        entries, ended = [], None
-        for node, last, back in self.states[state]:
-            child = self.trie[node].get(byte)
+        """(next state, change of the count) for a byte.
+
+        A state's entries are numbers: the place in the trie in 20 bits, above it the last token plus one in 20 more, and above
+        that the count there.
+        """
+        entries, token, change = [], -1, 0
+        trie, token_at, goes_on = self.trie, self.token_at, self.goes_on
+        for entry in self.states[state]:
+            node = entry & 0xFFFFF
+            child = trie.get(node << 8 | byte)
             if child is not None:
-                entries.append((child, last, back))
-                token = self.token_at[child]
-                if token is not None and ended is None and (last is None or self.fit(last, token)):
-                    ended = token, back + 1
-        token, change = ended
-        after = tuple((c, last, back - change) for c, last, back in entries) + ((0, token, 0),)
+                if token < 0 and token_at[child] >= 0:
+                    last = (entry >> 20 & 0xFFFFF) - 1
+                    if last < 0 or self.fit(last, token_at[child]):
+                        token, change = token_at[child], (entry >> 40) + 1
+                # What no token goes on from has no part in what follows.
+                if goes_on[child]:
+                    entries.append(entry + child - node)
+        after = (*[entry - (change << 40) for entry in entries], token + 1 << 20)
         at = self.number.setdefault(after, len(self.states))
         if at == len(self.states):
             self.states.append(after)
-        step = self.steps[state * 256 + byte] = at, change
-        return step
+        return at, change
+
+    def step(self, state: np.ndarray, byte: np.ndarray) -> np.ndarray:
+        """256 * next state + change + 128 for each state and byte; transitions that are not there yet are compiled."""
+        key = state.astype(np.uint64) * np.uint64(256) + byte
+        none, size, h = np.zeros(len(key), np.uint64), np.zeros(len(key), np.uint8), mix(key)
+        got = self.steps.find(key, none, size, h)
+        miss = np.flatnonzero(got < 0)
+        if len(miss):
+            new, inverse = np.unique(key[miss], return_inverse=True)
+            made = np.array([(a << 8) + change + 128 for a, change in (self.compile(k >> 8, k & 255) for k in new.tolist())], np.int64)
+            self.steps.add(new, none[: len(new)], size[: len(new)], mix(new), made)
+            got[miss] = made[inverse]
+        return got
 
-    def count(self, word: str) -> int:
-        """Tokens of a word of the lexer."""
-        if word in self.special:
-            return 1
+    def count_words(self, words: list[bytes]) -> np.ndarray:
+        """Tokens of each word of the lexer: the transducer reads as many words side by side, a byte of each at a time."""
+        out = np.zeros(len(words), np.int64)
         if not self.trie:
             self._compile()
-        if len(self.states) > MOST_STATES:
+        plain = [k for k, w in enumerate(words) if len(w) <= LONG_WORD and w not in self.special_bytes]
+        for some in (plain[a : a + TOGETHER] for a in range(0, len(plain), TOGETHER)):
+            self._make_room()
+            length = np.array([len(words[k]) for k in some])
+            buf = np.frombuffer(b"".join([words[k] for k in some]), np.uint8)
+            start = np.cumsum(length) - length
+            state, total = np.zeros(len(some), np.int64), np.zeros(len(some), np.int64)
+            for far in range(int(length.max())):
+                live = np.flatnonzero(length > far)
+                got = self.step(state[live], buf[start[live] + far])
+                state[live] = got >> 8
+                total[live] += (got & 255) - 128
+            out[some] = total
+        for k in set(range(len(words))).difference(plain):
+            out[k] = 1 if words[k] in self.special_bytes else self._count_long(words[k])
+        return out
+
+    def _make_room(self) -> None:
+        if len(self.states) > MOST_STATES or self.steps.n > MOST_STATES:
             self._reset()
         if len(self.fits) > 4 * MOST_STATES:
             self.fits.clear()
+
+    def _count_long(self, word: bytes) -> int:
+        """Byte by byte, for a long word: its transitions are kept by themselves."""
         state = total = 0
-        steps = self.steps
-        for byte in word.encode():
-            step = steps.get(state * 256 + byte) or self.compile(state, byte)
+        steps: dict[int, tuple[int, int]] = {}
+        self._make_room()
+        for byte in word:
+            key = state * 256 + byte
+            step = steps.get(key)
+            if step is None:
+                if len(steps) > MOST_STATES:
+                    # Start anew with the present state alone.
+                    here = self.states[state]
+                    self._reset()
+                    steps, state = {}, self.number.setdefault(here, len(self.states))
+                    if state == len(self.states):
+                        self.states.append(here)
+                    key = state * 256 + byte
+                step = steps[key] = self.compile(state, byte)
             state = step[0]
             total += step[1]
         return total
 
     def words(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Starts and ends of the words of text; '\\0' at a place in breaks is none."""
+        """Starts and ends of the words of text, in bytes."""
         return self.words_of([text])[1:3]
 
-    def words_of(self, texts: list[str]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray]:
-        """All texts in one string, starts and ends of their words in it, and for each text its first word."""
+    def words_of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """All texts as bytes one after another, starts and ends of their words in these, and for each text its first word."""
         joined = "\0".join(texts) + "\0"
+        raw = joined.encode()
+        buf = np.frombuffer(raw + bytes(PADDING), np.uint8)
         cps = np.frombuffer(joined.encode("utf-32-le"), np.uint32).copy()
         stops = np.cumsum([len(t) + 1 for t in texts]) - 1
         cps[stops] = BREAK
@@ -259,28 +346,29 @@ class Bpe:
         end = np.append(begin[1:], len(cps))
         real = cps[begin] != BREAK
         begin, end = begin[real], end[real]
-        return joined, begin, end, np.searchsorted(begin, np.concatenate([[0], stops + 1]), "left")
+        first = np.searchsorted(begin, np.concatenate([[0], stops + 1]), "left")
+        if len(raw) > len(cps):
+            at = np.append(np.flatnonzero((buf[: len(raw)] & 0xC0) != 0x80), len(raw))
+            begin, end = at[begin], at[end]
+        return buf, begin, end, first
 
     def count_texts(self, texts: list[str]) -> np.ndarray:
-        joined, begin, end, first = self.words_of(texts)
-        known = self.counts
-        out = np.zeros(len(begin) + 1, np.int64)
-        words = [joined[a:b] for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
-        for w in set(words).difference(known):
-            if len(known) >= MOST_WORDS:
-                known.clear()
-                return self._slowly(words, first)
-            known[w] = self.count(w)
-        out[1:] = np.cumsum([known[w] for w in words])
-        return out[first[1:]] - out[first[:-1]]
-
-    def _slowly(self, words: list[str], first: np.ndarray) -> np.ndarray:
-        """With a table of its own, when the kept one was full."""
-        own = {w: self.count(w) for w in set(words)}
-        total = np.concatenate([[0], np.cumsum([own[w] for w in words])])
+        buf, begin, end, first = self.words_of(texts)
+        total = np.concatenate([[0], np.cumsum(self.counts.numbers(buf, begin, end))])
         return total[first[1:]] - total[first[:-1]]
 
 
+class Counts(WordTable):
+    """Tokens of words."""
+
+    def __init__(self, machine: Bpe):
+        super().__init__()
+        self.machine = machine
+
+    def learn(self, words: list[bytes]) -> np.ndarray:
+        return self.machine.count_words(words)
+
+
 @functools.cache
 def bpe(path: str) -> Bpe:
     return Bpe(path)
