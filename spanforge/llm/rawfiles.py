@@ -22,3 +22,23 @@ def read_files(spark: SparkSession, path: str, names: list[str] | None = None) -
     if names is not None:
         files = files.where(F.col("name").isin(names))
     return files.select("name", F.col("content").alias("body"))
+
+
+def read_stretches(spark: SparkSession, path: str, name: str, stretches: list[tuple[int, int]]) -> list[bytes]:
+    """(start, length) stretches of one file, and nothing else of it, through the file system that Spark has for the path.
+
+    A start below 0 counts from the end.
+    """
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(f"{path}/name={name}/part-*.txt")
+    files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    status = files.globStatus(where)[0]
+    stream = files.open(status.getPath())
+    try:
+        out = []
+        for start, length in stretches:
+            stream.seek(start + status.getLen() if start < 0 else start)
+            out.append(bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream, int(length))))
+        return out
+    finally:
+        stream.close()

@@ -12,6 +12,7 @@ one bucket, tries its levels and compares the fingerprint; no key is stored.
 from __future__ import annotations
 
 import functools
+import itertools
 import os
 import struct
 import zlib
@@ -25,60 +26,89 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanforge.llm._shared import fresh_path, small_batches, table, written
-from spanforge.llm.rawfiles import read_files, write_files
+from spanforge.llm.rawfiles import read_files, read_stretches, write_files
 from spanforge.llm.text import mix
 from spanforge.llm.tokens import TOKENIZER, bpe, grouped
+from spanforge.llm.wordtable import WordTable
 
 MAGIC, TRAILER = b"TOKSHRD1", b"TOKSEND1"
 _HEAD = struct.Struct("<8sQQQ")
 #: Ids of a shard at least; a document lies in one shard.
-SHARD_IDS = 2 << 20
+SHARD_IDS = 8 << 20
 #: Keys of an index bucket, on average.
 BUCKET_KEYS = 1 << 14
 #: Bits for each key left at a level.
 ROOM = 2
 END_ID = 2
-#: Words whose ids a worker keeps: those met since the last change of generation, and those of the generation before.
-MOST_WORDS = 500_000
 
 
-class Encoder:
-    """Texts to ids with the tokenizers library; what it says of a word of the split pattern is kept."""
+class Ids(WordTable):
+    """Ids of words. A number holds a place in the generation's ids, how many they are, and the generation's parity."""
 
     def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        super().__init__()
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.machine = bpe(path)
         self.dtype = np.dtype("<u2") if self.library.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        self.packed = [np.array(k, self.dtype).tobytes() for k in range(self.library.get_vocab_size())]
-        self.known: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def learn(self, words: set[str]) -> None:
-        if len(self.known) > MOST_WORDS // 2:
-            self.old, self.known = self.known, {}
-        for w in words.intersection(self.old).difference(self.known):
-            self.known[w] = self.old[w]
-        special, shown, model, packed = self.machine.special, self.machine.shown, self.library.model, self.packed
-        for w in words.difference(self.known):
-            # The library's model takes a word of the split pattern with its bytes as visible characters.
-            if w in special:
-                self.known[w] = packed[special[w]]
-            else:
-                self.known[w] = b"".join([packed[x.id] for x in model.tokenize(w.encode().decode("latin-1").translate(shown))])
+        self.visible = {b: c for b, c in enumerate(map(chr, (self.machine.shown[b] for b in range(256))))}
+        self.parity = 0
+        self.flat, self.used = [np.zeros(1 << 20, self.dtype), np.zeros(0, self.dtype)], [0, 0]
+
+    def _kept(self, ids: np.ndarray, n: np.ndarray) -> np.ndarray:
+        p, a = self.parity, self.used[self.parity]
+        if a + len(ids) > len(self.flat[p]):
+            self.flat[p] = np.concatenate([self.flat[p][:a], np.zeros(a + len(ids), self.dtype)])
+        self.flat[p][a : a + len(ids)] = ids
+        self.used[p] = a + len(ids)
+        return (((a + np.cumsum(n) - n) << 24 | n) << 1) | p
+
+    def learn(self, words: list[bytes]) -> np.ndarray:
+        special, visible, tokenize = self.machine.special_bytes, self.visible, self.library.model.tokenize
+        # The library's model takes a word of the split pattern with its bytes as visible characters.
+        ids = [[special[w]] if w in special else [x.id for x in tokenize(w.decode("latin-1").translate(visible))] for w in words]
+        n = np.array([len(x) for x in ids], np.int64)
+        return self._kept(np.fromiter(itertools.chain.from_iterable(ids), self.dtype, int(n.sum())), n)
+
+    def carried(self, numbers: np.ndarray) -> np.ndarray:
+        return self._kept(*self.ids(numbers))
+
+    def rotated(self) -> None:
+        self.parity = 1 - self.parity
+        self.flat[self.parity], self.used[self.parity] = np.zeros(1 << 20, self.dtype), 0
+
+    def ids(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words one after another, and how many each has."""
+        n, a = numbers >> 1 & 0xFFFFFF, numbers >> 25
+        at = np.repeat(a - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        odd = (numbers & 1).astype(bool)
+        if not odd.any() or odd.all():
+            return self.flat[int(odd[:1].any())][at], n
+        odd = np.repeat(odd, n)
+        out = np.empty(len(at), self.dtype)
+        out[odd], out[~odd] = self.flat[1][at[odd]], self.flat[0][at[~odd]]
+        return out, n
+
+
+class Encoder:
+    """Texts to ids with the tokenizers library; what it says of a word of the split pattern is kept."""
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        self.known = Ids(path)
+        self.dtype, self.machine = self.known.dtype, self.known.machine
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        out = [[] for _ in texts]
+        out: list[list[bytes]] = [[] for _ in texts]
         for group in grouped(texts):
-            joined, begin, end, first = self.machine.words_of([t for _, t in group])
-            words = [joined[a:b] for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
-            self.learn(set(words))
-            ids = list(map(self.known.__getitem__, words))
-            for (k, _), a, b in zip(group, first[:-1].tolist(), first[1:].tolist(), strict=True):
-                out[k].append(b"".join(ids[a:b]))
-        return [b"".join(x) for x in out]
+            buf, begin, end, first = self.machine.words_of([t for _, t in group])
+            ids, n = self.known.ids(self.known.numbers(buf, begin, end))
+            at = np.concatenate([[0], np.cumsum(n)])[first] * self.dtype.itemsize
+            raw = ids.tobytes()
+            for (k, _), a, b in zip(group, at[:-1].tolist(), at[1:].tolist(), strict=True):
+                out[k].append(raw[a:b])
+        return [x[0] if len(x) == 1 else b"".join(x) for x in out]
 
 
 @functools.cache
@@ -207,15 +237,29 @@ def perfect_levels(h: np.ndarray) -> list[np.ndarray]:
     return levels
 
 
-def perfect_slots(h: np.ndarray, levels: list[np.ndarray]) -> np.ndarray:
-    """The slot of each hash; -1 for one that no level has (it is no key)."""
-    out, base = np.full(len(h), -1, np.int64), 0
-    for k, bits in enumerate(levels):
-        at = _slot(h, k, len(bits))
-        found = (out < 0) & bits[at]
-        rank = np.cumsum(bits) - 1
-        out[found] = base + rank[at[found]]
-        base += int(bits.sum())
+def packed_levels(levels: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(words, ranks): the bits of all levels in 64-bit words, each level from a new word on, and the bits set before each word."""
+    rows = [np.packbits(np.concatenate([x, np.zeros(-len(x) % 64, bool)]), bitorder="little").view("<u8") for x in levels]
+    words = np.concatenate([*rows, np.zeros(0, "<u8")]).astype("<u8")
+    ranks = (np.cumsum(np.bitwise_count(words), dtype=np.int64) - np.bitwise_count(words)).astype("<u4")
+    return words, ranks
+
+
+def perfect_slots(h: np.ndarray, sizes: list[int], words: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+    """The slot of each hash: the rank of its first bit that is set; -1 for one that no level has (it is no key).
+
+    One bit, one word's count and one stored rank a level; a key is expected to be found within two levels.
+    """
+    out, first, live = np.full(len(h), -1, np.int64), 0, np.arange(len(h))
+    for level, size in enumerate(sizes):
+        if not len(live):
+            break
+        at = _slot(h[live], level, size)
+        word, bit = words[first + (at >> 6)], (at & 63).astype(np.uint64)
+        found = (word >> bit & np.uint64(1)).astype(bool)
+        below = np.bitwise_count(word & ((np.uint64(1) << bit) - np.uint64(1)))
+        out[live[found]] = (ranks[first + (at >> 6)] + below)[found]
+        live, first = live[~found], first + -(-size // 64)
     return out
 
 
@@ -223,7 +267,7 @@ def _fingerprint(h: np.ndarray) -> np.ndarray:
     return (mix(h ^ np.uint64(0xA0761D6478BD642F)) >> np.uint64(32)).astype(np.uint32)
 
 
-_INDEX = "bucket long, level_bits array<long>, bits binary, fingerprints binary, shards array<string>, shard_of binary, at binary, n_ids binary"
+_INDEX = "bucket long, level_bits array<long>, bits binary, ranks binary, fingerprints binary, shards array<string>, shard_of binary, at binary, n_ids binary"
 
 
 def _build(batch: pa.Table) -> pa.Table:
@@ -231,13 +275,15 @@ def _build(batch: pa.Table) -> pa.Table:
     there = ~np.asarray(column["key"].is_null())
     h = key_hash(np.asarray(column["key"].fill_null(0)), there, np.asarray(column["copy"]))
     levels = perfect_levels(h)
+    words, ranks = packed_levels(levels)
     order = np.empty(len(h), np.int64)
-    order[perfect_slots(h, levels)] = np.arange(len(h))
+    order[perfect_slots(h, [len(x) for x in levels], words, ranks)] = np.arange(len(h))
     names, shard_of = np.unique(np.array(column["shard"].to_pylist(), object).astype(str), return_inverse=True)
     row = {
         "bucket": [column["bucket"][0].as_py()],
         "level_bits": [[len(x) for x in levels]],
-        "bits": [np.packbits(np.concatenate(levels)).tobytes()],
+        "bits": [words.tobytes()],
+        "ranks": [ranks.tobytes()],
         "fingerprints": [_fingerprint(h)[order].tobytes()],
         "shards": [names.tolist()],
         "shard_of": [shard_of[order].astype("<u4").tobytes()],
@@ -263,19 +309,17 @@ def _find(keys: pa.Table, index: pa.Table) -> pa.Table:
     shard, at, n_ids = [None] * len(keys), np.full(len(keys), -1, np.int64), np.full(len(keys), -1, np.int64)
     if len(index) and len(keys):
         row = {c: index.column(c)[0] for c in index.column_names}
-        sizes = row["level_bits"].as_py()
-        flat = np.unpackbits(np.frombuffer(row["bits"].as_py(), np.uint8), count=sum(sizes)).astype(bool)
         there = ~np.asarray(keys.column("key").is_null())
         h = key_hash(np.asarray(keys.column("key").fill_null(0)), there, np.asarray(keys.column("copy")))
-        slot = perfect_slots(h, np.split(flat, np.cumsum(sizes)[:-1]))
-        stored = np.frombuffer(row["fingerprints"].as_py(), np.uint32)
+        slot = perfect_slots(h, row["level_bits"].as_py(), np.frombuffer(row["bits"].as_buffer(), "<u8"), np.frombuffer(row["ranks"].as_buffer(), "<u4"))
+        stored = np.frombuffer(row["fingerprints"].as_buffer(), np.uint32)
         ok = np.flatnonzero((slot >= 0) & (stored[slot] == _fingerprint(h)))
         names = row["shards"].as_py()
-        which = np.frombuffer(row["shard_of"].as_py(), "<u4")[slot[ok]]
+        which = np.frombuffer(row["shard_of"].as_buffer(), "<u4")[slot[ok]]
         for k, w in zip(ok.tolist(), which.tolist(), strict=True):
             shard[k] = names[w]
-        at[ok] = np.frombuffer(row["at"].as_py(), "<u8")[slot[ok]]
-        n_ids[ok] = np.frombuffer(row["n_ids"].as_py(), "<u8")[slot[ok]]
+        at[ok] = np.frombuffer(row["at"].as_buffer(), "<u8")[slot[ok]]
+        n_ids[ok] = np.frombuffer(row["n_ids"].as_buffer(), "<u8")[slot[ok]]
     return pa.table({"key": keys.column("key"), "copy": keys.column("copy"), "shard": pa.array(shard, pa.string()), "at": pa.array(at), "n_ids": pa.array(n_ids)})
 
 
@@ -287,11 +331,17 @@ def look_up(keys: DataFrame, index: DataFrame, n_buckets: int) -> DataFrame:
 
 
 def read_ids(spark: SparkSession, shards: str, index: str, n_buckets: int, ids: list[int]) -> dict[int, np.ndarray]:
-    """The token ids of a few documents (their first copies): one index bucket and one shard each."""
+    """The token ids of a few documents (their first copies): one index bucket, one header and one stretch of a shard each."""
     keys = spark.createDataFrame([(i, 0) for i in ids], "key long, copy long")
-    places = {r.key: r for r in look_up(keys, spark.read.parquet(index), n_buckets).where("shard is not null").collect()}
-    bodies = {r.name: parse(bytes(r.body)) for r in read_files(spark, shards, sorted({r.shard for r in places.values()})).toLocalIterator()} if places else {}
-    return {k: bodies[r.shard].ids[r.at : r.at + r.n_ids].astype(np.uint32) for k, r in places.items()}
+    out = {}
+    for r in look_up(keys, spark.read.parquet(index), n_buckets).where("shard is not null").collect():
+        (head,) = read_stretches(spark, shards, r.shard, [(0, _HEAD.size)])
+        magic, _, _, width = _HEAD.unpack(head)
+        if magic != MAGIC:
+            raise ValueError("no whole shard file")
+        (body,) = read_stretches(spark, shards, r.shard, [(_HEAD.size + width * r.at, width * r.n_ids)])
+        out[r.key] = np.frombuffer(body, f"<u{width}").astype(np.uint32)
+    return out
 
 
 def written_and_read(docs: DataFrame, tokenizer: str, id: str = "doc_id", text: str = "text", end_id: int = END_ID) -> DataFrame:
@@ -306,7 +356,12 @@ def written_and_read(docs: DataFrame, tokenizer: str, id: str = "doc_id", text:
     keys = docs.groupBy(F.col(id).cast("long").alias("key")).agg(F.count("*").alias("n")).select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("copy"))
     places = look_up(keys, spark.read.parquet(index), n_buckets).select("key", "shard", "at", "n_ids")
     content = entries.select("shard", "at", "ids_crc32", "n_ids")
-    bases = content.groupBy("shard").agg(F.sum("n_ids").alias("ids")).withColumn("base", F.sum("ids").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))).select("shard", F.coalesce("base", F.lit(0)).cast("long").alias("base"))
+    # Ids before a shard: those of its writing task's earlier shards, and of the tasks before, of which there are as many as partitions.
+    before = (Window.unboundedPreceding, -1)
+    sums = content.groupBy("shard").agg(F.sum("n_ids").alias("ids")).withColumn("part", F.substring("shard", 1, 7))
+    parts = sums.groupBy("part").agg(F.sum("ids").alias("ids")).select("part", F.coalesce(F.sum("ids").over(Window.orderBy("part").rowsBetween(*before)), F.lit(0)).alias("first"))
+    inside = F.coalesce(F.sum("ids").over(Window.partitionBy("part").orderBy("shard").rowsBetween(*before)), F.lit(0))
+    bases = sums.withColumn("inside", inside).join(parts, "part").select("shard", (F.col("first") + F.col("inside")).cast("long").alias("base"))
     found = places.join(content.drop("n_ids"), ["shard", "at"]).join(bases, "shard")
     return found.select(F.col("key").alias(id), (F.col("base") + F.col("at")).alias("start"), F.col("n_ids").alias("n_tokens"), "ids_crc32")
 
