@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanforge.llm._shared import fresh_path, small_batches, table, written
-from spanforge.llm.rawfiles import read_files, write_files
+from spanforge.llm.rawfiles import read_files, read_stretches, write_files
 
 #: Payloads of fewer bytes are never revisits.
 LEAST_SHARED = 100
@@ -27,6 +27,8 @@ FRAME_BYTES, BUNDLE_BYTES = 256 << 10, 8 << 20
 
 # Fixed values of the seekable format.
 SKIPPABLE, TRAILER = 0x184D2A5E, struct.pack("<I", 0x8F92EAB1)
+#: Bytes at the end of a bundle that say how many frames its seek table has.
+FOOT = 9
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _DATE = "1970-01-01T00:00:00Z"
 
@@ -188,14 +190,18 @@ def read_bundles(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_payload(spark: SparkSession, path: str, index: DataFrame, page: int) -> bytes | None:
-    """The payload of one page: its place from the index (revisits are followed), one frame from one bundle."""
+    """The payload of one page: its place from the index (revisits are followed), then the seek table and one frame of one bundle."""
     place = index.where(F.col("page_id") == page).orderBy("refers_to").first()
     if place is None:
         return None
     if place.record_type == "revisit":
         return read_payload(spark, path, index, place.refers_to)
-    bundle = bytes(read_files(spark, path, [place.bundle]).first().body)
-    return payload_of(parse_record(frame(bundle, seek_table(bundle)[place.frame]), place.offset)[1])
+    (foot,) = read_stretches(spark, path, place.bundle, [(-FOOT, FOOT)])
+    size = FOOT + 12 * struct.unpack_from("<I", foot)[0]
+    (table,) = read_stretches(spark, path, place.bundle, [(-size, size)])
+    start, packed, content = seek_table(table)[place.frame]
+    (body,) = read_stretches(spark, path, place.bundle, [(start, packed)])
+    return payload_of(parse_record(frame(body, (0, packed, content)), place.offset)[1])
 
 
 def archive(pages: DataFrame, path: str, id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
