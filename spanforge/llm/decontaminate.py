@@ -4,13 +4,15 @@ A window of a document has as many words as the item it is held against; a docum
 compared at once. Windows that share no word shingle with any
 item of that size have similarity zero and are left out before any fingerprint is made; this loses nothing. Of the
 others, those whose fingerprint lies within the radius of an item's are found through blocks of bits: with radius + 1
-blocks, one at least is equal. What is found is verified by exact weighted-shingle similarity.
+blocks, one at least is equal, and a sorted table of each block names the items that have it. What is found is verified by
+exact weighted-shingle similarity, on the words themselves.
 
 The benchmark comes in blocks of bounded bytes, each held against every document; no pair of documents is ever made.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -38,9 +40,11 @@ class Items:
 
     size: int
     ids: list[int] = field(default_factory=list)
+    words: list[list[bytes]] = field(default_factory=list)
     shingles: list[np.ndarray] = field(default_factory=list)
     weights: list[np.ndarray] = field(default_factory=list)
     prints: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
+    tables: list[tuple[np.uint64, np.ndarray, np.ndarray]] = field(default_factory=list)
     known: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
 
 
@@ -58,7 +62,7 @@ def _words(texts: Texts) -> tuple[Words, np.ndarray]:
     return words, words.hashes()
 
 
-def index(rows: list[tuple[int, str | None]], shingle: int) -> list[Items]:
+def index(rows: list[tuple[int, str | None]], shingle: int, radius: int = RADIUS) -> list[Items]:
     """The items by size; items without a word are left out. An item of fewer words than a shingle is one shingle."""
     by_size: dict[int, Items] = {}
     if not rows:
@@ -75,11 +79,13 @@ def index(rows: list[tuple[int, str | None]], shingle: int) -> list[Items]:
             items = by_size.setdefault(size, Items(size))
             s, w = np.unique(grams, return_counts=True)
             items.ids.append(rows[i + k][0])
+            items.words.append(words.bytes(int(words.first[k]), int(words.first[k + 1])))
             items.shingles.append(s)
             items.weights.append(w)
             items.prints = np.append(items.prints, _print(_signs(grams).sum(axis=0)))
     for items in by_size.values():
         items.known = np.unique(np.concatenate(items.shingles))
+        items.tables = block_tables(items.prints, radius)
     return [by_size[k] for k in sorted(by_size)]
 
 
@@ -90,16 +96,28 @@ def _grams(h: np.ndarray, n: int) -> np.ndarray:
     return mix(total)
 
 
-def within(windows: np.ndarray, prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (window, item) within the radius. radius + 1 blocks: a pair that is within it agrees in one block at least."""
-    cut = [64 * i // (radius + 1) for i in range(radius + 2)]
-    near = np.zeros((len(windows), len(prints)), bool)
+def block_tables(prints: np.ndarray, radius: int) -> list[tuple[np.uint64, np.ndarray, np.ndarray]]:
+    """(mask, sorted values, items in that order) of each of radius + 1 blocks of bits."""
+    cut, out = [64 * i // (radius + 1) for i in range(radius + 2)], []
     for a, b in zip(cut, cut[1:], strict=False):
         mask = np.uint64(((1 << (b - a)) - 1) << a)
-        near |= (windows & mask)[:, None] == (prints & mask)[None, :]
-    w, i = np.nonzero(near)
-    ok = np.bitwise_count(windows[w] ^ prints[i]) <= radius
-    return w[ok], i[ok]
+        order = np.argsort(prints & mask, kind="stable")
+        out.append((mask, (prints & mask)[order], order))
+    return out
+
+
+def within(windows: np.ndarray, prints: np.ndarray, tables: list[tuple[np.uint64, np.ndarray, np.ndarray]], radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (window, item) within the radius. A pair that is within it agrees in one of radius + 1 blocks at least: the items
+    that share a block's value with a window are one stretch of the block's table."""
+    found = [np.zeros(0, np.int64)]
+    for mask, values, order in tables:
+        a = np.searchsorted(values, windows & mask, "left")
+        n = np.searchsorted(values, windows & mask, "right") - a
+        w = np.repeat(np.arange(len(windows)), n)
+        i = order[np.repeat(a - (np.cumsum(n) - n), n) + np.arange(len(w))]
+        near = np.bitwise_count(windows[w] ^ prints[i]) <= radius
+        found.append(w[near] * len(prints) + i[near])
+    return np.divmod(np.unique(np.concatenate(found)), max(1, len(prints)))
 
 
 def similarity(grams: np.ndarray, shingles: np.ndarray, weights: np.ndarray) -> float:
@@ -110,6 +128,12 @@ def similarity(grams: np.ndarray, shingles: np.ndarray, weights: np.ndarray) ->
     return both / (int(w.sum()) + int(weights.sum()) - both)
 
 
+def word_similarity(doc: list[bytes], item: list[bytes], n: int) -> float:
+    """similarity, on the words themselves."""
+    a, b = (Counter(tuple(x[i : i + n]) for i in range(len(x) - n + 1)) for x in (doc, item))
+    return (a & b).total() / (a | b).total()
+
+
 class Scanner:
     def __init__(self, items: list[Items], shingle: int, least: float, radius: int):
         self.items, self.shingle, self.least, self.radius = items, shingle, least, radius
@@ -137,19 +161,24 @@ class Scanner:
                 local = _grams(h[a:b], n)
                 for items in self.items:
                     if min(self.shingle, items.size) == n and items.size <= b - a:
-                        for i, sim, start in self._text(local, hits[own == text] - a, b - a, n, items):
+                        for i, start in self._text(local, hits[own == text] - a, b - a, n, items):
+                            # What hashes alike is compared by its words.
+                            sim = word_similarity(words.bytes(a + start, a + start + items.size), items.words[i], n)
                             key = int(text), items.ids[i]
-                            if sim > best.get(key, (-1.0,))[0]:
+                            if sim >= self.least and sim > best.get(key, (-1.0,))[0]:
                                 best[key] = sim, start, items.size
                     # A text of fewer words is one window, as long as it has shingles enough for the least similarity.
                     elif min(self.shingle, items.size) == n and len(local) >= self.least * (items.size - n + 1) and np.isin(local, items.known).any():
-                        for item, s, w in zip(items.ids, items.shingles, items.weights, strict=True):
-                            sim, key = similarity(local, s, w), (int(text), item)
+                        for item, own_words, s, w in zip(items.ids, items.words, items.shingles, items.weights, strict=True):
+                            if similarity(local, s, w) < self.least:
+                                continue
+                            sim, key = word_similarity(words.bytes(a, b), own_words, n), (int(text), item)
                             if sim >= self.least and sim > best.get(key, (-1.0,))[0]:
                                 best[key] = sim, 0, b - a
         return [(*k, *v) for k, v in sorted(best.items())]
 
-    def _text(self, grams: np.ndarray, hits: np.ndarray, n_words: int, n: int, items: Items) -> Iterator[tuple[int, float, int]]:
+    def _text(self, grams: np.ndarray, hits: np.ndarray, n_words: int, n: int, items: Items) -> Iterator[tuple[int, int]]:
+        """(item, first word) of the windows whose hashes say that they are similar enough."""
         size, per = items.size, items.size - n + 1
         mine = hits[np.isin(grams[hits], items.known)]
         if not len(mine):
@@ -161,11 +190,10 @@ class Scanner:
             sums = np.zeros((int(run[-1]) - lo + per + 1, 64), np.int32)
             np.cumsum(_signs(grams[lo : int(run[-1]) + per]), axis=0, out=sums[1:])
             prints = _print(sums[run - lo + per] - sums[run - lo])
-            for w, i in zip(*within(prints, items.prints, self.radius), strict=True):
+            for w, i in zip(*within(prints, items.prints, items.tables, self.radius), strict=True):
                 start = int(run[w])
-                sim = similarity(grams[start : start + per], items.shingles[i], items.weights[i])
-                if sim >= self.least:
-                    yield int(i), sim, start
+                if similarity(grams[start : start + per], items.shingles[i], items.weights[i]) >= self.least:
+                    yield int(i), start
 
 
 def _scanners(benchmark: DataFrame, item: str, text: str, shingle: int, least: float, radius: int, block_bytes: int) -> Iterator[Scanner]:
@@ -175,9 +203,9 @@ def _scanners(benchmark: DataFrame, item: str, text: str, shingle: int, least: f
         rows.append((r.i, r.t))
         size += len(r.t)
         if size >= block_bytes:
-            yield Scanner(index(rows, shingle), shingle, least, radius)
+            yield Scanner(index(rows, shingle, radius), shingle, least, radius)
             rows, size = [], 0
-    yield Scanner(index(rows, shingle), shingle, least, radius)
+    yield Scanner(index(rows, shingle, radius), shingle, least, radius)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", shingle: int = SHINGLE, least: float = SIMILARITY, radius: int = RADIUS, block_bytes: int = BLOCK_BYTES) -> DataFrame:

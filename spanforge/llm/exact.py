@@ -3,7 +3,7 @@
 1. Every window of WINDOW bytes selects its least GRAM-byte gram (the last of equals). Equal windows select the same gram at
    the same offset, so windows whose gram occurs once in the corpus are unique. Neighbouring windows that select one gram
    form a context; only its hashes and place are shuffled, to the gram.
-2. Where a gram's context occurs again, byte for byte, every later copy is covered; tasks do this for what they hold before
+2. Where a gram's context occurs again (its rolling hash and its XXH64, 128 bits in all, agree), every later copy is covered; tasks do this for what they hold before
    the shuffle, so that a passage in a third of all rows arrives once a batch. Of each different context the first remains.
 3. Grams with several contexts go to shards. A shard's suffix array and common prefixes give the classes of equal windows; all
    but the first of a class are covered. The windows of a gram with very many contexts are grouped by their own hashes.
@@ -53,7 +53,7 @@ def contexts(texts: Texts, window: int, gram: int) -> tuple[np.ndarray, np.ndarr
         none = np.zeros(0, np.int64)
         return none.view(np.uint64), none.view(np.uint64), none, none
     at = np.arange(n - gram + 1)
-    grams = texts.hashes(at, at + gram)
+    grams = texts.rolling(at, at + gram)
     bits = np.uint64(24)
     low = np.uint64((1 << 24) - 1)
     key = (grams & ~low) | (low - at.astype(np.uint64) % np.uint64(1 << 24))

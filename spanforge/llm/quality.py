@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanforge.llm._shared import small_batches, table
-from spanforge.llm.text import Texts, Words, mix, slices
+from spanforge.llm.text import Texts, Words, classes, mix, same_bytes, slices
 
 #: At most so many labelled rows fit the model (those with the least hash of their id).
 MOST_LABELLED = 20_000
@@ -44,11 +44,16 @@ def base_figures(texts: Texts, words: Words, h: np.ndarray) -> dict[str, np.ndar
     """The base columns of each text; h: the hashes of its words."""
     n = texts.n
     grams, at = words.grams(h, REPEAT_WINDOW)
-    own = words.owner()
-    key = mix(grams + own[at].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    order = np.argsort(key)
-    same = np.flatnonzero(key[order[1:]] == key[order[:-1]])
-    twice = at[np.unique(np.concatenate([order[same], order[same + 1]]))] if len(same) else at[:0]
+    own, spread = words.owner(), np.uint64(0x9E3779B97F4A7C15)
+
+    def same_windows(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return (own[at[a]] == own[at[b]]) & words.same(at[a], at[b], REPEAT_WINDOW)
+
+    def window(k: int) -> tuple:
+        return int(own[at[k]]), *(texts.buf[words.start[w] : words.end[w]].tobytes() for w in range(at[k], at[k] + REPEAT_WINDOW))
+
+    number, _ = classes(mix(grams + own[at].astype(np.uint64) * spread), same_windows, window)
+    twice = at[np.bincount(number)[number] > 1] if len(at) else at
     cover = np.zeros(len(h) + 1, np.int64)
     np.add.at(cover, twice, 1)
     np.add.at(cover, twice + REPEAT_WINDOW, -1)
@@ -56,9 +61,13 @@ def base_figures(texts: Texts, words: Words, h: np.ndarray) -> dict[str, np.ndar
     start, end, first = texts.lines()
     full = np.searchsorted(words.start, end) > np.searchsorted(words.start, start)
     line_own = np.repeat(np.arange(n), np.diff(first))[full]
-    key = mix(texts.hashes(start[full], end[full]) + line_own.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    _, one = np.unique(key, return_index=True)
-    again = np.ones(len(key), bool)
+    start, end = start[full], end[full]
+
+    def same_lines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return (line_own[a] == line_own[b]) & same_bytes(texts.buf, start[a], end[a], start[b], end[b])
+
+    _, one = classes(mix(texts.hashes(start, end) + line_own.astype(np.uint64) * spread), same_lines, lambda k: (int(line_own[k]), texts.buf[start[k] : end[k]].tobytes()))
+    again = np.ones(len(start), bool)
     again[one] = False
     return {
         "n_words": words.count.astype(np.int64),

@@ -1,16 +1,19 @@
 """Words, lines and their hashes over a whole Arrow batch of texts at once (numpy, no loop per row).
 
-Texts are handled as UTF-8 bytes. A null text is an empty one. Hashes are polynomial in the bytes modulo 2**64 and then
-mixed; they serve to find equal strings among few million, never to name a string for good.
+Texts are handled as UTF-8 bytes. A null text is an empty one. Stretches of bytes are hashed with XXH64; where equality itself
+counts within a task, same_bytes and classes compare what hashes alike. Rolling hashes, polynomial in the bytes modulo
+2**64, only choose among grams of a few bytes: what they choose is compared by other means.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Hashable, Iterator
 
 import numpy as np
 import pyarrow as pa
 
+from spanforge.llm.xxh import xxh64
+
 #: Bytes of text that are worked on at once; a longer document is a slice of its own.
 SLICE_BYTES = 2 << 20
 
@@ -65,8 +68,12 @@ class Texts:
             self._sums = out
         return self._sums
 
-    def hashes(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """A 64-bit hash of each stretch [start, end)."""
+    def hashes(self, start: np.ndarray, end: np.ndarray, seed: int = 42) -> np.ndarray:
+        """XXH64 of each stretch [start, end)."""
+        return xxh64(self.buf, start, end, seed)
+
+    def rolling(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """A hash of each stretch [start, end) of a few bytes, cheap for every place of the buffer."""
         s = self.sums()
         inv = _power(_BASE_INV, len(self.buf) + 1)
         return mix((s[end] - s[start]) * inv[start] + (end - start).astype(np.uint64))
@@ -110,6 +117,19 @@ class Words:
     def hashes(self) -> np.ndarray:
         return self.texts.hashes(self.start, self.end)
 
+    def bytes(self, a: int, b: int) -> list[bytes]:
+        """The words from number a up to b."""
+        return [self.texts.buf[i:j].tobytes() for i, j in zip(self.start[a:b].tolist(), self.end[a:b].tolist(), strict=True)]
+
+    def same(self, a: np.ndarray, b: np.ndarray, n: int = 1) -> np.ndarray:
+        """Whether the n words from number a on are those from number b on, byte for byte."""
+        out = np.ones(len(a), bool)
+        for k in range(n):
+            live = np.flatnonzero(out)
+            x, y = a[live] + k, b[live] + k
+            out[live] = same_bytes(self.texts.buf, self.start[x], self.end[x], self.start[y], self.end[y])
+        return out
+
     def owner(self) -> np.ndarray:
         """The text of each word."""
         return np.repeat(np.arange(self.texts.n), self.count)
@@ -127,6 +147,44 @@ class Words:
         return mix(total[at]), at
 
 
+def same_bytes(buf: np.ndarray, a: np.ndarray, a_end: np.ndarray, b: np.ndarray, b_end: np.ndarray) -> np.ndarray:
+    """Whether buf[a:a_end] is buf[b:b_end], for each pair."""
+    size = a_end - a
+    out = size == b_end - b
+    live = np.flatnonzero(out & (size > 0) & (a != b))
+    for k in live[size[live] > 1024].tolist():
+        out[k] = np.array_equal(buf[a[k] : a_end[k]], buf[b[k] : b_end[k]])
+    live = live[size[live] <= 1024]
+    # So many pairs at once that their bytes stay few.
+    for some in np.array_split(live, int(size[live].sum()) // SLICE_BYTES + 1):
+        if len(some):
+            n = size[some]
+            first = np.cumsum(n) - n
+            at = np.arange(int(n.sum())) - np.repeat(first, n)
+            out[some] = np.logical_and.reduceat(buf[at + np.repeat(a[some], n)] == buf[at + np.repeat(b[some], n)], first)
+    return out
+
+
+def classes(key: np.ndarray, same: Callable[[np.ndarray, np.ndarray], np.ndarray], name: Callable[[int], Hashable]) -> tuple[np.ndarray, np.ndarray]:
+    """(number, first): equal numbers for equal things, and the first thing of each number.
+
+    key: a hash of each thing. same(a, b): whether the things a are the things b; name(a): what tells a thing from any other.
+    Whatever hashes like another thing without being it gets a number by its name.
+    """
+    _, first, number = np.unique(key, return_index=True, return_inverse=True)
+    wrong = np.flatnonzero(first[number] != np.arange(len(key)))
+    wrong = wrong[~same(wrong, first[number[wrong]])]
+    if len(wrong):
+        named: dict[Hashable, int] = {}
+        firsts = first.tolist()
+        for k in wrong.tolist():
+            number[k] = named.setdefault(name(k), len(firsts))
+            if number[k] == len(firsts):
+                firsts.append(k)
+        first = np.array(firsts)
+    return number, first
+
+
 def buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string or binary column and the n + 1 places at which its values begin. Null: empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import xxhash
 
 # Fixed values of the published XXH64 algorithm.
 P1 = np.uint64(0x9E3779B185EBCA87)
@@ -50,11 +51,22 @@ def _of_length(lanes: np.ndarray, quads: np.ndarray, buf: np.ndarray, at: np.nda
     return h ^ (h >> np.uint64(32))
 
 
+#: Bytes beyond which a stretch is hashed by itself, with the library.
+LONG = 256
+
+
 def xxh64(buf: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 42) -> np.ndarray:
-    """The hash of buf[start:end] for each pair; all stretches of one length are worked on together."""
+    """The hash of buf[start:end] for each pair; all short stretches of one length are worked on together."""
     out = np.zeros(len(start), np.uint64)
     if not len(start):
         return out
+    long = np.flatnonzero(end - start > LONG)
+    if len(long):
+        view = memoryview(np.ascontiguousarray(buf))
+        out[long] = [xxhash.xxh64_intdigest(view[a:b], seed) for a, b in zip(start[long].tolist(), end[long].tolist(), strict=True)]
+        short = np.flatnonzero(end - start <= LONG)
+        out[short] = xxh64(buf, start[short], end[short], seed)
+        return out
     padded = np.concatenate([buf, np.zeros(8, np.uint8)])
     lanes = np.ndarray((len(buf) + 1,), "<u8", padded, 0, (1,))
     quads = np.ndarray((len(buf) + 1,), "<u4", padded, 0, (1,))
