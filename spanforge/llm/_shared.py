@@ -25,6 +25,45 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a folder that fresh_path named and nothing reads any more."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+class Scratch:
+    """Tables that are written on the way to a result and deleted when it is written itself."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        self.paths.append(fresh_path(self.spark, name))
+        df.write.parquet(self.paths[-1])
+        return self.spark.read.schema(df.schema).parquet(self.paths[-1])
+
+    def forget(self, keep: int = 0) -> None:
+        """Delete all tables but the last keep ones."""
+        gone = self.paths[: len(self.paths) - keep]
+        self.paths = self.paths[len(gone) :]
+        for path in gone:
+            removed(self.spark, path)
+
+    def result(self, df: DataFrame, name: str) -> DataFrame:
+        """df as a table that stays, after which the others go."""
+        out = written(df, name)
+        self.forget()
+        return out
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """name, or with underscores after it, so that no column of df is called that."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     importable_on_workers(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -5,41 +5,49 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanforge.llm._shared import written
+from spanforge.llm._shared import Scratch
 
 MOST_ROUNDS = 40
 
 
-def _minimum_of_neighbours(edges: DataFrame) -> DataFrame:
-    """(u, v, m): each edge in both directions with the least of u and its neighbours.
+#: Rows of one node beyond which it meets them by a broadcast, and nodes that may be so many: the bound grows with the table.
+MANY_ROWS, MOST_MANY = 100, 50_000
 
-    The minimum is a grouped aggregate (combined before the shuffle); the join back to the edges has nothing but inner
-    equality, so adaptive execution can split the partition of a node with very many neighbours.
+
+def _with_least(rows: DataFrame, n_rows: int, scratch: Scratch) -> DataFrame:
+    """rows(u, v) with m, the least v of each u.
+
+    The minimum is combined before the shuffle. A node with very many rows would bring them all to one task of the join back;
+    such nodes, at most MOST_MANY by the way their bound is set, are broadcast instead and their rows stay where they are.
     """
-    both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.join(least, "u")
+    many = max(MANY_ROWS, n_rows // MOST_MANY)
+    least = scratch.written(rows.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "least")
+    hubs, others = F.broadcast(least.where(F.col("n") > many).select("u", "m")), least.where(F.col("n") <= many).select("u", "m")
+    return rows.join(hubs, "u").unionByName(rows.join(hubs, "u", "left_anti").join(others, "u"))
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node that edges(u, v) join to another: component is the least node that can be reached.
 
     Edges may repeat, run either way, join a node to itself or hold nulls (both without effect).
-    No edge list, component or label ever comes to the driver; only one count a round does. Each round is written to
+    No edge list, component or label ever comes to the driver; only counts do. What a round makes is written to
     the shared folder, so that a lost executor costs one round.
     """
-    now = written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    scratch = Scratch(edges.sparkSession)
+    now = scratch.written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     for _ in range(MOST_ROUNDS):
         # Large star: what is above u goes to the least of u's neighbourhood.
-        large = _minimum_of_neighbours(now).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        n = now.count()
+        large = scratch.written(_with_least(both, 2 * n, scratch).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")), "large")
         # Small star: u and what is below it go to the least of these.
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e")).select(F.col("e.v").alias("u"), F.col("e.m").alias("v"))
-        nxt = written(small.where("u > v").distinct(), "edges")
+        small = _with_least(large, n, scratch).select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e")).select(F.col("e.v").alias("u"), F.col("e.m").alias("v"))
+        nxt = scratch.written(small.where("u > v").distinct(), "edges")
         # Done once no root is itself below another node, and each node has one root.
         again = nxt.groupBy("u").agg(F.count("*").alias("n"))
         loose = again.where("n > 1").count() or nxt.select(F.col("v").alias("u")).distinct().join(again, "u", "left_semi").count()
         now = nxt
+        scratch.forget(1)
         if not loose:
             break
     else:

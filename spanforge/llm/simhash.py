@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanforge.llm._shared import small_batches, table, written
+from spanforge.llm._shared import small_batches, table, unused, written
 from spanforge.llm.graph import components
 from spanforge.llm.text import LOWER, Texts, slices
 from spanforge.llm.xxh import xxh64
@@ -205,19 +205,21 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", rad
     return prints.join(named, "fp", "left").select(id, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def least_of_each_group(docs: DataFrame, groups: DataFrame, id: str = "doc_id") -> DataFrame:
+def least_of_each_group(docs: DataFrame, groups: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs whose id is the component_id that groups(id, component_id) names, and those without id.
 
-    The groups hold ids alone; the texts meet them in one join. Rows that repeat the least id as well go but for one.
+    The groups hold ids alone; the texts meet them in one join. Of rows that repeat both the least id and its text one stays;
+    rows with that id and another text stay as well.
     """
     stay = groups.where(F.col(id) == F.col("component_id")).select(id).distinct()
-    kept = docs.join(stay, id, "left_semi").dropDuplicates([id])
-    return kept.unionByName(docs.where(F.col(id).isNull()))
+    digest = unused(docs, "digest")
+    kept = docs.join(stay, id, "left_semi").withColumn(digest, F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256))
+    return kept.dropDuplicates([id, digest]).select(*docs.columns).unionByName(docs.where(F.col(id).isNull()))
 
 
 def one_of_each_group(docs: DataFrame, id: str = "doc_id", text: str = "text", **options: int) -> DataFrame:
     """The rows of docs that stay: of each group of near copies the one with the least id (rows without id stay)."""
-    return least_of_each_group(docs, near_duplicates(docs, id, text, **options), id)
+    return least_of_each_group(docs, near_duplicates(docs, id, text, **options), id, text)
 
 
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
