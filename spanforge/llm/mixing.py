@@ -1,8 +1,12 @@
 """Mixing sources to target weights: token weights raked to source, language and topic marginals, then sampled by document.
 
 All of it is DataFrame operations. Documents are summed to cells (source, language, topic) first; raking works on cells, so its
-size is the number of distinct combinations and not of documents. A cell's weight never exceeds its tokens: a document can be
-taken once. Each document is taken if a hash of its id, as a number in [0, 1), lies below its cell's probability.
+size is the number of distinct combinations and not of documents.
+
+A document can be taken once, so no value can give more tokens than it has. Targets are made feasible first: what a value lacks
+is spread over the values that have room, in proportion to their shares. Raking then fits one factor for each value: a cell's
+probability is the product of its three factors, 1 at most, and each step scales one dimension's factors by target / expected
+tokens. Each document is taken if a hash of its id, as a number in [0, 1), lies below its cell's probability.
 """
 
 from __future__ import annotations
@@ -10,10 +14,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from spanforge.llm._shared import table, written
+from spanforge.llm._shared import Scratch, table, written
 
-#: Share of all tokens to take; the exponent that flattens the given shares into targets; rounds of raking.
-RATE, TEMPER, ROUNDS, SEED = 0.5, 0.5, 8, 42
+#: Share of all tokens to take; the exponent that flattens the given shares into targets.
+RATE, TEMPER, SEED = 0.5, 0.5, 42
+#: Rounds of raking at most, and the largest change of a factor in a round at which it is done.
+ROUNDS, SETTLED = 12, 1e-12
+#: Rounds that are planned together, without a job between them.
+AT_ONCE = 4
 #: Cells up to which their table is broadcast (about 100 bytes each); more are joined by a shuffle.
 MOST_BROADCAST = 50_000
 DIMENSIONS = ("source", "lang", "topic")
@@ -38,10 +46,13 @@ def topic_of(text: Column) -> Column:
 
 
 def with_cells(docs: DataFrame, source: str = "source", lang: str = "lang", text: str = "text", topic: Column | None = None) -> DataFrame:
-    """docs with struct column __cell: source, lang, topic (null: '(none)') and tokens. topic: any column; a rule on the text by default."""
+    """(doc, source, lang, topic, tokens): each row of docs as a struct, and its cell (null: '(none)') and tokens.
+
+    topic: any column of docs; a rule on the text by default.
+    """
     topic = topic_of(F.col(text)) if topic is None else topic
     named = {"source": F.col(source), "lang": F.col(lang), "topic": topic}
-    return docs.withColumn("__cell", F.struct(*(F.coalesce(c.cast("string"), F.lit(NONE)).alias(k) for k, c in named.items()), words_in(F.col(text)).alias("tokens")))
+    return docs.select(F.struct("*").alias("doc"), *(F.coalesce(c.cast("string"), F.lit(NONE)).alias(k) for k, c in named.items()), words_in(F.col(text)).alias("tokens"))
 
 
 def tempered(cells: DataFrame, dimension: str, temper: float) -> DataFrame:
@@ -50,21 +61,63 @@ def tempered(cells: DataFrame, dimension: str, temper: float) -> DataFrame:
     return sums.crossJoin(F.broadcast(sums.agg(F.sum("p").alias("all")))).select("value", F.expr("try_divide(p, all)").alias("share"))
 
 
+def feasible(cells: DataFrame, dimension: str, shares: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(value, target): the tokens to take of each value, at most those it has; wanted: one row, all tokens to take.
+
+    target is the lesser of the value's tokens and level * share, and the targets sum to what is wanted. Values in order of
+    tokens / share are full up to some place; the level is the greatest of those that each place would give.
+    """
+    have = cells.groupBy(F.col(dimension).alias("value")).agg(F.sum("tokens").cast("double").alias("have")).join(shares, "value").where("share > 0 AND have > 0")
+    order = Window.orderBy(F.col("have") / F.col("share"), "value")
+    before = F.coalesce(F.sum("have").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    after = F.sum("share").over(order.rowsBetween(0, Window.unboundedFollowing))
+    placed = have.withColumns({"before": before, "after": after}).crossJoin(F.broadcast(wanted))
+    level = placed.agg(F.max((F.col("wanted") - F.col("before")) / F.col("after")).alias("level"))
+    return have.crossJoin(F.broadcast(level)).select("value", F.least("have", F.col("level") * F.col("share")).alias("target"))
+
+
 def raked(cells: DataFrame, targets: dict[str, DataFrame], rate: float = RATE, rounds: int = ROUNDS) -> DataFrame:
     """cells(source, lang, topic, tokens) with probability, by iterative proportional fitting.
 
-    targets: for each dimension, (value, share); values without a target get none. Each step scales the weights of one
-    dimension's values to their share of rate * all tokens and caps them at the cell's tokens; rounds repeat all steps.
+    targets: for each dimension, (value, share); values without a share are not taken. rate * all tokens are taken, or all
+    that there is of the values with a share.
     """
-    total = cells.agg((F.sum("tokens") * F.lit(rate)).cast("double").alias("__total"))
-    now = cells.crossJoin(F.broadcast(total)).withColumn("__w", F.col("tokens").cast("double"))
+    known = cells.where("tokens > 0")
     for k in DIMENSIONS:
-        now = now.join(targets[k].select(F.col("value").alias(k), F.col("share").alias(f"__{k}")), k, "left")
-    for _ in range(rounds):
-        for k in DIMENSIONS:
-            scale = F.try_divide(F.coalesce(F.col(f"__{k}"), F.lit(0.0)) * F.col("__total"), F.sum("__w").over(Window.partitionBy(k)))
-            now = now.withColumn("__w", F.least(F.coalesce(F.col("__w") * scale, F.lit(0.0)), F.col("tokens").cast("double")))
-    return now.select(*DIMENSIONS, "tokens", F.round(F.coalesce(F.try_divide("__w", F.col("tokens")), F.lit(0.0)), 9).alias("probability"))
+        known = known.join(targets[k].where("share > 0").select(F.col("value").alias(k)), k, "left_semi")
+    known = written(known, "cells")
+    wanted = cells.agg((F.sum("tokens") * F.lit(rate)).cast("double").alias("rated")).crossJoin(known.agg(F.sum("tokens").cast("double").alias("there"))).select(F.least("rated", "there").alias("wanted"))
+    now = known.withColumn("factor", F.lit(1.0))
+    for k in DIMENSIONS:
+        # Few values have many cells; their targets are joined to them, however the plan does it.
+        now = now.join(feasible(known, k, targets[k], wanted).select(F.col("value").alias(k), F.col("target").alias(f"target_{k}")), k)
+    scratch = Scratch(cells.sparkSession)
+    now = scratch.written(now, "raking")
+    for first in range(0, rounds, AT_ONCE):
+        for _ in range(first, min(rounds, first + AT_ONCE)):
+            now = now.withColumn("last", F.col("factor"))
+            for k in DIMENSIONS:
+                # Over cells, not documents; a join back to grouped sums would double the plan at each step.
+                expected = F.sum(F.col("tokens") * F.least(F.col("factor"), F.lit(1.0))).over(Window.partitionBy(k))
+                now = now.withColumn("factor", F.col("factor") * F.coalesce(F.try_divide(f"target_{k}", expected), F.lit(0.0)))
+        now = scratch.written(now, "raking")
+        scratch.forget(1)
+        # The one number of a few rounds that comes to the driver.
+        if (now.agg(F.max(F.abs(F.col("factor") - F.col("last")))).first()[0] or 0.0) <= SETTLED:
+            break
+    found = now.select(*DIMENSIONS, F.round(F.least(F.col("factor"), F.lit(1.0)), 9).alias("probability"))
+    return cells.join(found, list(DIMENSIONS), "left").select(*DIMENSIONS, "tokens", F.coalesce("probability", F.lit(0.0)).alias("probability"))
+
+
+def residuals(fitted: DataFrame, targets: dict[str, DataFrame], rate: float = RATE) -> DataFrame:
+    """(dimension, value, target, expected): feasible targets against the expected tokens of cells with a probability."""
+    wanted = fitted.agg((F.sum("tokens") * F.lit(rate)).cast("double").alias("wanted"))
+    out = None
+    for k in DIMENSIONS:
+        expected = fitted.groupBy(F.col(k).alias("value")).agg(F.sum(F.col("tokens") * F.col("probability")).alias("expected"))
+        rows = feasible(fitted, k, targets[k], wanted).join(expected, "value").select(F.lit(k).alias("dimension"), "value", "target", "expected")
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 def uniform(id: Column, seed: int) -> Column:
@@ -73,25 +126,33 @@ def uniform(id: Column, seed: int) -> Column:
     return F.conv(F.substring(F.md5(key.cast("binary")), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
-def calibrated(docs: DataFrame, targets: dict[str, DataFrame] | None = None, id: str = "doc_id", rate: float = RATE, temper: float = TEMPER, rounds: int = ROUNDS, seed: int = SEED, **columns) -> DataFrame:
-    """docs with __cell, __probability and __sampled. targets: (value, share) by dimension; by default the tempered shares.
-
-    Null source, language or topic count as one value; empty texts have no tokens and probability 0; equal ids are taken or
-    left together; an empty table gives an empty one.
-    """
+def _calibrated(docs: DataFrame, targets: dict[str, DataFrame] | None, id: str, rate: float, temper: float, rounds: int, seed: int, **columns) -> DataFrame:
+    """(doc, source, lang, topic, tokens, probability, sampled)"""
     dealt = with_cells(docs, **columns)
-    cells = written(dealt.groupBy(*(F.col(f"__cell.{k}").alias(k) for k in DIMENSIONS)).agg(F.sum("__cell.tokens").alias("tokens")), "cells")
+    cells = written(dealt.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens")), "cells")
     targets = targets or {k: tempered(cells, k, temper) for k in DIMENSIONS}
-    fitted = written(raked(cells, targets, rate, rounds), "raked").select(F.struct(*DIMENSIONS).alias("__key"), F.col("probability").alias("__probability"))
+    fitted = written(raked(cells, targets, rate, rounds), "raked").drop("tokens")
     if fitted.count() <= MOST_BROADCAST:
         fitted = F.broadcast(fitted)
-    found = dealt.withColumn("__key", F.struct(*(F.col(f"__cell.{k}").alias(k) for k in DIMENSIONS))).join(fitted, "__key", "left").drop("__key")
-    return found.withColumn("__sampled", F.coalesce(uniform(F.col(id), seed) < F.col("__probability"), F.lit(False)))
+    taken = F.coalesce(uniform(F.col(f"doc.`{id}`"), seed) < F.col("probability"), F.lit(False))
+    return dealt.join(fitted, list(DIMENSIONS), "left").withColumn("sampled", taken)
 
 
-def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs that are taken, with their columns."""
-    return calibrated(docs, **options).where("__sampled").select(*docs.columns)
+def calibrated(docs: DataFrame, targets: dict[str, DataFrame] | None = None, id: str = "doc_id", rate: float = RATE, temper: float = TEMPER, rounds: int = ROUNDS, seed: int = SEED, **columns) -> DataFrame:
+    """docs with __cell, __probability and __sampled (which replace columns of these names).
+
+    targets: (value, share) by dimension; by default the tempered shares. Null source, language or topic count as one value;
+    null and empty texts have no tokens and probability 0; equal ids are taken or left together, repeated rows each get a
+    row; a very long text counts like any other; an empty table gives an empty one.
+    """
+    found = _calibrated(docs, targets, id, rate, temper, rounds, seed, **columns)
+    own = {"__cell": F.struct(*DIMENSIONS, "tokens"), "__probability": F.col("probability"), "__sampled": F.col("sampled")}
+    return found.select(*(F.col(f"doc.`{c}`") for c in docs.columns if c.lower() not in own), *(c.alias(k) for k, c in own.items()))
+
+
+def mixed(docs: DataFrame, targets: dict[str, DataFrame] | None = None, id: str = "doc_id", rate: float = RATE, temper: float = TEMPER, rounds: int = ROUNDS, seed: int = SEED, **columns) -> DataFrame:
+    """The rows of docs that are taken, with their columns; the cases are those of calibrated."""
+    return _calibrated(docs, targets, id, rate, temper, rounds, seed, **columns).where("sampled").select("doc.*")
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,16 +169,27 @@ def _sql() -> str:
         "c AS (SELECT source, lang, topic, sum(tokens)::BIGINT AS tokens FROM d GROUP BY ALL)",
     ]
     for k in DIMENSIONS:
-        steps.append(f"t_{k} AS (SELECT {k}, p / sum(p) OVER () AS share FROM (SELECT {k}, pow(sum(tokens)::DOUBLE, {TEMPER}) AS p FROM c GROUP BY {k}))")
-    shares = ", ".join(f"t_{k}.share AS s_{k}" for k in DIMENSIONS)
+        steps.append(f"q_{k} AS (SELECT {k}, have, p / sum(p) OVER () AS share FROM (SELECT {k}, sum(tokens)::DOUBLE AS have, pow(sum(tokens)::DOUBLE, {TEMPER}) AS p FROM c GROUP BY {k}))")
+    shares = " ".join(f"JOIN q_{k} USING ({k})" for k in DIMENSIONS)
+    known = " AND ".join(f"q_{k}.share > 0" for k in DIMENSIONS)
+    steps.append(f"known AS (SELECT source, lang, topic, c.tokens FROM c {shares} WHERE c.tokens > 0 AND {known})")
+    steps.append(f"r AS (SELECT least((SELECT {RATE} * sum(tokens) FROM c), (SELECT sum(tokens)::DOUBLE FROM known)) AS wanted)")
+    for k in DIMENSIONS:
+        steps.append(
+            f"""t_{k} AS (SELECT {k}, least(have, share * max((wanted - before) / after) OVER ()) AS target FROM (
+  SELECT *, coalesce(sum(have) OVER (ORDER BY have / share, {k} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+    sum(share) OVER (ORDER BY have / share, {k} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS after
+  FROM (SELECT {k}, sum(known.tokens)::DOUBLE AS have, any_value(share) AS share FROM known JOIN q_{k} USING ({k}) GROUP BY {k})), r)"""
+        )
     joins = " ".join(f"JOIN t_{k} USING ({k})" for k in DIMENSIONS)
-    steps.append(f"w0 AS (SELECT c.*, tokens::DOUBLE AS w, {RATE} * sum(tokens) OVER () AS total, {shares} FROM c {joins})")
+    targets = ", ".join(f"t_{k}.target AS target_{k}" for k in DIMENSIONS)
+    steps.append(f"w0 AS (SELECT known.*, 1.0::DOUBLE AS f, {targets} FROM known {joins})")
     n = 0
     for _ in range(ROUNDS):
         for k in DIMENSIONS:
-            steps.append(f"w{n + 1} AS MATERIALIZED (SELECT * REPLACE (least(coalesce(w * s_{k} * total / nullif(sum(w) OVER (PARTITION BY {k}), 0), 0), tokens::DOUBLE) AS w) FROM w{n})")
+            steps.append(f"w{n + 1} AS MATERIALIZED (SELECT * REPLACE (coalesce(f * target_{k} / nullif(sum(tokens * least(f, 1.0)) OVER (PARTITION BY {k}), 0), 0) AS f) FROM w{n})")
             n += 1
-    steps.append(f"f AS (SELECT source, lang, topic, round(coalesce(w / nullif(tokens, 0), 0), 9) AS probability FROM w{n})")
+    steps.append(f"f AS (SELECT source, lang, topic, round(coalesce(least(f, 1.0), 0), 9) AS probability FROM c LEFT JOIN w{n} USING (source, lang, topic))")
     return (
         "WITH "
         + ",\n".join(steps)
