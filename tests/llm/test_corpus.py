@@ -15,7 +15,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from spanforge.llm import decontaminate, exact, extract, graph, lines, mixing, nearcopies, quality, simhash, suffix, text, tokenfile, tokens, warc
+from spanforge.llm import decontaminate, exact, extract, graph, lines, mixing, nearcopies, quality, simhash, suffix, text, tokenfile, tokens, warc, wordtable
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -146,13 +146,57 @@ def test_blocks_find_all_within_radius():
     a, b = rng.integers(0, 2**63, 50, dtype=np.uint64), rng.integers(0, 2**63, 40, dtype=np.uint64)
     b[:20] = a[:20] ^ np.uint64(0b1011 << 7)
     for radius in (3, 10, 24):
-        got = set(zip(*map(list, decontaminate.within(a, b, radius)), strict=True))
+        got = set(zip(*map(list, decontaminate.within(a, b, decontaminate.block_tables(b, radius), radius)), strict=True))
         assert got == {(i, j) for i in range(50) for j in range(40) if bin(int(a[i] ^ b[j])).count("1") <= radius}
 
 
 # 2. Lines.
 
 
+def thue_morse(bits):
+    """Two different strings of 2**bits letters on which every hash that is polynomial modulo 2**64 agrees from 10 bits on."""
+    a, b = "a", "b"
+    for _ in range(bits):
+        a, b = a + b, b + a
+    return a, b
+
+
+@pytest.mark.parametrize("bits", [9, 10, 11])
+def test_lines_on_which_polynomials_collide(spark, bits):
+    a, b = thue_morse(bits)
+    page = pa.array([f"{a}\n{b}\n{a}\n{b} {b} x\n", "\n".join([a, b, a]), " ".join([a, b] * 5)])
+    ((_, _, t),) = text.slices(page, 1 << 30)
+    w = t.words()
+    assert quality.base_figures(t, w, w.hashes())["n_dup_lines"].tolist() == [1, 1, 0]
+    rows = [(1, f"{a}\n{a}\n{a}"), (2, f"{b}\n{b}\n{b}"), (3, f"{a}\n{b}\n{a}"), (4, f"{b}\n{b}\n{b}")]
+    got = lines.without_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.n_removed) for r in got) == [(1, 0), (2, 0), (3, 0), (4, 3)]
+    items = decontaminate.index([(1, " ".join([a] * 6))], 5)
+    scanner = decontaminate.Scanner(items, 5, 0.8, decontaminate.RADIUS)
+    ((_, _, t),) = text.slices(pa.array([" ".join([b] * 6), " ".join([a] * 6)], pa.large_string()), 1 << 30)
+    assert [f[:2] for f in scanner.find(t)] == [(1, 1)]
+
+
+def test_equal_hashes_do_not_make_equal_things():
+    data = [b"ab", b"cd", b"ab", b"cd", b"ef", b"", b"ab"]
+    at = np.cumsum([0, *map(len, data)])
+    buf, start, end = np.frombuffer(b"".join(data), np.uint8), at[:-1], at[1:]
+    number, first = text.classes(np.zeros(len(data), np.uint64), lambda a, b: text.same_bytes(buf, start[a], end[a], start[b], end[b]), lambda k: data[k])
+    assert [data[first[n]] for n in number] == data and len(set(number.tolist())) == 4
+    x = np.random.default_rng(0).integers(0, 2, 6000).astype(np.uint8)
+    a, b, n = np.array([0, 0, 0, 5]), np.array([3000, 0, 3000, 6]), np.array([2900, 2900, 5, 0])
+    x[3000:5900] = x[:2900]
+    x[5000] ^= 1
+    assert text.same_bytes(x, a, a + n, b, b + n).tolist() == [False, True, True, True]
+
+
+def test_a_long_line_is_a_run(spark):
+    line = " ".join(f"w{k}" for k in range(lines.LONG_LINE))
+    rows = [(1, f"x\n {line}\t\ny"), (2, f"{line}\nz"), (3, line.rsplit(" ", 1)[0]), (4, line.rsplit(" ", 1)[0]), (5, f"\n{line}\n{line}")]
+    got = lines.without_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.n_removed, r.n_runs, r.text) for r in got if r.n_removed) == [(2, 1, 1, "z"), (5, 2, 1, "")]
+
+
 def brute_lines(rows, n=3):
     seen, out = set(), []
     order = sorted(range(len(rows)), key=lambda k: (rows[k][0] is None, rows[k][0] or 0))
@@ -196,11 +240,27 @@ def test_mixing_meets_its_marginals(spark, docs, nothing):
     total = sum(r.t for r in got)
     assert abs(total / (4000 * 30) - 0.3) < 0.03
     assert abs(sum(r.t for r in got if r.source == "a") / total - 0.5) < 0.05 and abs(sum(r.t for r in got if r.lang == "en") / total - 0.6) < 0.05
+    clash = df.withColumns({"__key": F.lit(1), "__cell": F.lit(2), "__probability": F.lit(3), "doc": F.lit(4), "factor": F.lit(5), "tokens": F.lit(6)})
+    assert mixing.mixed(clash).columns == clash.columns
+    assert set(mixing.calibrated(clash).columns) == {*clash.columns, "__sampled"}
     kept = mixing.mixed(docs)
     assert kept.columns == docs.columns and 0 < kept.count() < docs.count() and mixing.mixed(nothing).count() == 0
     assert sorted(map(repr, kept.collect())) == sorted(map(repr, mixing.mixed(docs.repartition(2)).collect()))
 
 
+@pytest.mark.parametrize(("sf", "least"), [("sf0.001", 0.01), ("sf0.01", 0.005)])
+def test_default_targets_are_met(spark, sf, least):
+    docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
+    found = mixing.calibrated(docs)
+    fitted = found.groupBy("__cell.source", "__cell.lang", "__cell.topic").agg(F.sum("__cell.tokens").alias("tokens"), F.first("__probability").alias("probability"))
+    targets = {k: mixing.tempered(fitted, k, mixing.TEMPER) for k in mixing.DIMENSIONS}
+    rows = mixing.residuals(fitted, targets).collect()
+    total = sum(r.target for r in rows) / 3
+    assert rows and max(abs(r.target - r.expected) for r in rows) <= least * total
+    for k in mixing.DIMENSIONS:
+        assert abs(sum(r.target for r in rows if r.dimension == k) / total - 1) < 1e-9
+
+
 # 4. HTML.
 
 
@@ -466,8 +526,54 @@ def test_token_counts(docs, nothing, library):
     assert tokens.token_counts(nothing, PATH).count() == 0
 
 
-def test_token_files_round_trip(spark, docs, nothing, library, monkeypatch):
-    monkeypatch.setattr(tokenfile, "MOST_WORDS", 40)
+class Numbered(wordtable.WordTable):
+    def learn(self, words):
+        self.told = getattr(self, "told", 0) + len(words)
+        return np.array([zlib.crc32(w) for w in words], np.int64)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.binary(max_size=40), max_size=60), max_size=12), st.integers(3, 7))
+def test_word_table_tells_all_words_apart(batches, bits):
+    table = Numbered(bits)
+    for words in batches:
+        words = [*words, *words[::2], b"\0" * 5, b"\0" * 6]
+        at = np.cumsum([0, *map(len, words)])
+        buf = np.frombuffer(b"".join(words) + bytes(wordtable.PADDING), np.uint8)
+        assert table.numbers(buf, at[:-1], at[1:]).tolist() == [zlib.crc32(w) for w in words]
+    assert len(table.new.long) <= 1 << bits and table.new.n <= 1 << bits
+
+
+def test_word_table_remembers(library):
+    table = Numbered(12)
+    words = [b"w%d" % k for k in range(900)]
+    at = np.cumsum([0, *map(len, words)])
+    buf = np.frombuffer(b"".join(words) + bytes(wordtable.PADDING), np.uint8)
+    for _ in range(5):
+        table.numbers(buf, at[:-1], at[1:])
+    assert table.told == len(words)
+
+
+def test_encoder_through_several_generations(library):
+    e = tokenfile.Encoder(PATH)
+    e.known.new, e.known.bits = wordtable.Generation(8), 8
+    rng = np.random.default_rng(4)
+    for _ in range(12):
+        texts = [" ".join(f"{'x' * int(rng.integers(0, 3))}word{int(k)} Donaudampfschiff{int(k) % 7}fahrt" for k in rng.integers(0, 200, 40)) for _ in range(3)]
+        assert [np.frombuffer(x, e.dtype).tolist() for x in e.encode(texts)] == [x.ids for x in library.encode_batch_fast(texts, add_special_tokens=False)]
+
+
+def test_transducer_forgets_and_long_words(library, monkeypatch):
+    monkeypatch.setattr(tokens, "MOST_STATES", 50)
+    machine = tokens.Bpe(PATH)
+    rng = np.random.default_rng(5)
+    letters = list("abcdefghijklmnopqrstuvwxyzéß漢")
+    for _ in range(6):
+        texts = ["".join(rng.choice(letters, int(n))) for n in (3, 30, 90, 400)] + ["ab" * 200, "<|endoftext|>" * 3]
+        assert machine.count_texts(texts).tolist() == [len(x.ids) for x in library.encode_batch_fast(texts, add_special_tokens=False)]
+
+
+def test_token_files_round_trip(spark, docs, nothing, library):
     rows = sorted(fixture_rows(), key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
     start, expected = 0, []
     for r in rows:
@@ -490,7 +596,9 @@ def test_perfect_hash_is_minimal(keys):
     k = np.array(sorted(keys), np.int64)
     h = tokenfile.key_hash(k, np.ones(len(k), bool), np.zeros(len(k), np.int64))
     levels = tokenfile.perfect_levels(h)
-    assert sorted(tokenfile.perfect_slots(h, levels).tolist()) == list(range(len(k)))
+    sizes, packed = [len(x) for x in levels], tokenfile.packed_levels(levels)
+    assert sorted(tokenfile.perfect_slots(h, sizes, *packed).tolist()) == list(range(len(k)))
+    assert all(-1 <= x < len(k) for x in tokenfile.perfect_slots(tokenfile.key_hash(k + 1, np.ones(len(k), bool), np.ones(len(k), np.int64)), sizes, *packed))
 
 
 # Near copies in the pipeline.
@@ -515,8 +623,17 @@ def brute_groups(rows):
     return {i: find(i) for i in sets}
 
 
-@pytest.mark.parametrize("small_bucket", [32, 1])
-def test_near_copies_equal_brute_force(spark, small_bucket):
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.sets(st.integers(0, 60)), min_size=1, max_size=80))
+def test_shared_shingles_are_all_counted(sets):
+    at = np.cumsum([0, *map(len, sets)])
+    flat = np.array([x for s in sets for x in sorted(s)], np.int64)
+    for k, shared in nearcopies.shared_shingles(flat, at, np.arange(0, len(sets), 2)):
+        assert shared.tolist() == [len(sets[k] & s) for s in sets]
+
+
+@pytest.mark.parametrize(("small_bucket", "block"), [(32, 1 << 19), (1, 1 << 19), (1, 2000)])
+def test_near_copies_equal_brute_force(spark, small_bucket, block):
     rng = random.Random(11)
     rows = [(1, None), (2, " "), (3, "one two"), (4, "ONE two"), (5, "one two three")]
     for g in range(12):
@@ -528,13 +645,23 @@ def test_near_copies_equal_brute_force(spark, small_bucket):
     docs = spark.createDataFrame(rows + [(None, rows[5][1]), rows[7]], "doc_id long, text string").repartition(3)
     want = brute_groups(rows)
     assert len(set(want.values())) < len(rows) - 30
-    got = nearcopies.near_copies(docs, small_bucket=small_bucket).collect()
+    got = nearcopies.near_copies(docs, small_bucket=small_bucket, block=block).collect()
     assert len(got) == len(rows) + 2
     assert {r.doc_id: r.component_id for r in got if r.doc_id is not None} == want
     assert [r.component_id for r in got if r.doc_id is None] == [want[10]]
     assert nearcopies.near_copies(docs.where("false")).count() == 0
 
 
+def test_rows_that_share_an_id_and_not_a_text_stay(spark):
+    rng = random.Random(12)
+    a, b, c = (sentence(rng, 40) for _ in range(3))
+    df = spark.createDataFrame([(1, a, "x"), (1, b, "y"), (1, b, "z"), (2, a, "x"), (3, c, "x"), (None, c, "x"), (None, None, "x")], "doc_id long, text string, digest string")
+    for keep in (simhash.one_of_each_group, nearcopies.one_of_each_group):
+        kept = keep(df)
+        assert kept.columns == df.columns
+        assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == sorted([(1, a), (1, b), (3, c), (None, c), (None, None)], key=repr)
+
+
 def test_pipeline_drops_copies_with_many_differing_bits(spark):
     import corpus_pipeline as cp
 
