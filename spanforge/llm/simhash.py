@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import functools
+import operator
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanforge.llm._shared import small_batches, table, unused, written
@@ -112,6 +114,26 @@ def links_within(fp: np.ndarray, start: int, radius: int, n_segments: int) -> It
             yield i, rest
 
 
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) * (mask >> 63)
+
+
+def viable(a: Column, b: Column, radius: int, n_segments: int) -> Column:
+    """Whether two fingerprints are within the radius, as an expression: first some chain of segments must keep its budgets
+    (see links_within), then the full count decides."""
+    cut = segments(n_segments)
+    differ = a.bitwiseXOR(b)
+    chains = []
+    for start in range(n_segments):
+        mask, kept = 0, F.lit(True)
+        for step in range(n_segments - 1):
+            shift, width = cut[(start + step) % n_segments]
+            mask |= ((1 << width) - 1) << shift
+            kept = kept & (F.bit_count(differ.bitwiseAND(F.lit(_signed(mask)).cast("long"))) <= (step + 1) * radius // n_segments)
+        chains.append(kept)
+    return functools.reduce(operator.or_, chains) & (F.bit_count(differ) <= radius)
+
+
 def _bucket_links(radius: int, n_segments: int):
     """mapInArrow function: rows sorted by (segment, key) -> for each bucket a spanning forest of its links."""
 
@@ -175,8 +197,7 @@ def links(prints: DataFrame, radius: int = 2, n_segments: int = 5, small_bucket:
     def key(start: int):
         at = [cut[(start + k) % n_segments] for k in range(exact)]
         mask = sum(((1 << w) - 1) << s for s, w in at)
-        mask -= (1 << 64) * (mask >> 63)
-        return F.struct(F.lit(start).cast("long").alias("seg"), F.col("fp").bitwiseAND(F.lit(mask).cast("long")).alias("key"))
+        return F.struct(F.lit(start).cast("long").alias("seg"), F.col("fp").bitwiseAND(F.lit(_signed(mask)).cast("long")).alias("key"))
 
     rows = prints.select(F.explode(F.array(*(key(k) for k in range(n_segments)))).alias("k"), "fp", "rep").select("k.seg", "k.key", "fp", "rep")
     sizes = rows.groupBy("seg", "key").agg(F.count("*").alias("size")).where("size > 1")

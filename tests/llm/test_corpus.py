@@ -623,6 +623,19 @@ def brute_groups(rows):
     return {i: find(i) for i in sets}
 
 
+def test_viable_is_the_hamming_radius(spark):
+    rng = np.random.default_rng(6)
+    a = rng.integers(-(2**63), 2**63 - 1, 400)
+    b = a.copy()
+    for k in range(400):
+        for bit in rng.choice(64, int(rng.integers(0, 40)), replace=False):
+            b[k] ^= np.int64(1) << np.int64(bit)
+    df = spark.createDataFrame([(int(x), int(y)) for x, y in zip(a, b, strict=True)], "a long, b long")
+    for radius, n in ((24, 8), (2, 5), (9, 4)):
+        got = df.select("a", "b", simhash.viable(F.col("a"), F.col("b"), radius, n).alias("ok")).collect()
+        assert all(r.ok == (((r.a ^ r.b) % (1 << 64)).bit_count() <= radius) for r in got)
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.sets(st.integers(0, 60)), min_size=1, max_size=80))
 def test_shared_shingles_are_all_counted(sets):
