@@ -24,6 +24,8 @@ MOST_LINKS = 0.5
 SHORT, LONG = 70, 200
 #: Share of stop words of running text: surely, and perhaps.
 STOPS_HIGH, STOPS_LOW = 0.30, 0.18
+#: Share of stop words on the whole page below which it is taken for another language.
+FEW_STOPS = 0.02
 #: Inside an article these are enough.
 ARTICLE_STOPS, ARTICLE_SHORT = 0.08, 25
 
@@ -40,13 +42,26 @@ STOP_WORDS = frozenset(
     """.split()
 )
 
-_RAW = "script|style|noscript|template|textarea|select|button|svg|iframe|object|title|math|canvas|audio|video"
-_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({_RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-z][a-z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^>]*(?:>|\Z)", re.IGNORECASE | re.DOTALL)
+#: Elements whose content is no markup; without an end tag, that of the first two runs to the end of the page.
+_RAW = frozenset("script style title textarea iframe noembed noframes xmp".split())
+_RAW_TO_END = frozenset(("script", "style"))
+#: Elements that show no running text. Without an end tag, or closed by "/>", only their tag goes.
+_DROPPED = frozenset("noscript template select button svg object math canvas audio video datalist".split())
+_TOKEN = re.compile(
+    r"<!--.*?(?:-->|\Z)"
+    r"|<(/?)([a-z][^\s/<>]*)((?:[^<>\"']|\"[^\"]*\"(?=[\s/>])|'[^']*'(?=[\s/>]))*+)>"
+    # A quote that is not closed before the tag ends belongs to the tag.
+    r"|<(/?)([a-z][^\s/<>]*)([^<>]*)>"
+    r"|<[!?/][^>]*(?:>|\Z)",
+    re.IGNORECASE | re.DOTALL,
+)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.IGNORECASE)
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img input del picture source".split())
 #: Elements that are followed from their start to their end tag.
 _NESTED = frozenset("div section article main nav header footer aside form ul ol dl table head fieldset dialog menu figure details".split())
 _OUT = frozenset("nav footer aside form head dialog menu fieldset".split())
+#: Of these, and of elements named by hints, pages sometimes have one around everything: then it decides nothing.
+_PAGE_WIDE = frozenset(("form", "fieldset"))
 _HINTS = frozenset(
     """
     ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion sidebar menu nav navbar navigation
@@ -55,8 +70,13 @@ _HINTS = frozenset(
     widget pagination pager toolbar skip copyright disclaimer alert topbar
     """.split()
 )
+#: Words before a hint that make a class speak of the page around it, as in has-sidebar.
+_ABOUT = frozenset("has have no non not with without is hide show hidden disable disabled enable enabled js layout theme page main content body article post entry template type style single left right".split())
+#: Share of a page's text that an element may hold and still go for its class (part of one, whole one), or without an end tag.
+MOST_PART, MOST_WHOLE = 0.5, 0.8
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 _PUNCTUATION = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»„“”‚‘’…–—¿¡"
+_DENSE = re.compile("[\u2e80-\u9fff\uac00-\ud7af\uf900-\ufaff]")
 _HEADLINES = frozenset(("h1", "h2", "h3"))
 
 
@@ -64,63 +84,117 @@ _HEADLINES = frozenset(("h1", "h2", "h3"))
 class Block:
     text: str
     links: int
-    out: bool
+    inside: tuple[int, ...]
     article: int
     headline: bool
+    out: bool = False
     label: str = ""
 
 
-def _unwanted(name: str, attributes: str, in_article: bool) -> bool:
-    """Whether an element holds no main text, from its name and attributes."""
+@dataclass
+class Element:
+    """An element that is followed to its end. most: the share of the page's text from which on it isn't unwanted (0: wanted)."""
+
+    name: str
+    most: float
+    article: int
+    closed: bool = False
+    holds_main: bool = False
+    chars: int = 0
+
+
+def _hinted(value: str, in_article: bool) -> float:
+    """The most share for a class or id: whole names weigh more than parts of names."""
+    most = 0.0
+    for name in value.split():
+        parts = [x for x in re.split(r"[-_]+", name) if x]
+        known = _HINTS - {"header"} if in_article else _HINTS
+        if name in known:
+            return MOST_WHOLE
+        if len(parts) > 1 and not known.isdisjoint(parts) and parts[0] not in _ABOUT:
+            most = MOST_PART
+    return most
+
+
+def _unwanted(name: str, attributes: str, in_article: bool) -> float:
+    """The most share of the page's text that an element may hold and still be no main text, from its name and attributes."""
+    most = 0.0
     if name in _OUT or name == "header" and not in_article:
-        return True
-    if not attributes:
-        return False
-    for key, value in _ATTRIBUTE.findall(attributes):
+        most = MOST_PART if name in _PAGE_WIDE else 1.0
+    for key, value in _ATTRIBUTE.findall(attributes) if attributes else ():
         key, value = key.lower(), value.strip("\"'").lower()
         if key == "hidden" or key == "aria-hidden" and value == "true":
-            return True
+            return 1.0
         if key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
+            return 1.0
         if key == "role" and value in _ROLES:
-            return True
+            most = 1.0
         if key in ("class", "id"):
-            found = _HINTS.intersection(re.split(r"[\s_-]+", value))
-            if found - {"header"} or found and not in_article:
-                return True
-    return False
+            most = max(most, _hinted(value, in_article))
+    return most
 
 
 def blocks(page: str) -> list[Block]:
     """The blocks of a page in order; those without text are left out."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, int]] = []
-    unwanted, article, articles = 0, 0, 0
+    elements: list[Element] = []
+    stack: list[int] = []
+    article, articles = 0, 0
     parts: list[str] = []
     links = link = 0
     headline = False
-    at = 0
+    # The element that is left out with all it holds, and how often it stands inside itself.
+    dropped, depth = "", 0
+    without_end: set[str] = set()
 
     def flush() -> None:
         nonlocal links, link
         if parts:
             text = " ".join(entities.unescape("".join(parts)).split())
             if text:
-                out.append(Block(text, links, unwanted > 0, article, headline))
+                out.append(Block(text, links, tuple(k for k in stack if elements[k].most), article, headline))
+                for k in stack:
+                    elements[k].chars += _length(text)
             parts.clear()
         links = link = 0
 
-    for m in _TOKEN.finditer(page):
-        if m.start() > at:
-            piece = page[at : m.start()]
+    def end_of(name: str, at: int) -> re.Match | None:
+        if name in without_end:
+            return None
+        found = re.compile(rf"</{re.escape(name)}\b[^>]*(?:>|\Z)", re.IGNORECASE).search(page, at)
+        if not found:
+            without_end.add(name)
+        return found
+
+    at = 0
+    while at < len(page):
+        m = _TOKEN.search(page, at)
+        piece = page[at : m.start() if m else len(page)]
+        if piece and not depth:
             parts.append(piece)
             if link:
                 links += len(piece)
+        if not m:
+            break
         at = m.end()
-        name = m[3]
+        name = m[2] or m[5]
         if name is None:
             continue
-        name, ends = name.lower(), bool(m[2])
+        name, ends, attributes = name.lower(), bool(m[1] or m[4]), m[3] or m[6] or ""
+        if depth:
+            # A button or a list of choices can't hold another; of other elements the inner ones are counted.
+            if name == dropped and (ends or name not in ("button", "select")) and not attributes.endswith("/"):
+                depth += -1 if ends else 1
+            continue
+        if name in _RAW:
+            if not ends:
+                found = end_of(name, at)
+                at = found.end() if found else len(page) if name in _RAW_TO_END else at
+            continue
+        if name in _DROPPED:
+            if not ends and not attributes.endswith("/") and end_of(name, at):
+                dropped, depth = name, 1
+            continue
         if name in _INLINE:
             if name == "a":
                 link = 0 if ends else 1
@@ -134,24 +208,30 @@ def blocks(page: str) -> list[Block]:
             continue
         if ends:
             for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    while len(stack) > k:
-                        _, bad, before = stack.pop()
-                        unwanted -= bad
-                        article = before
+                if elements[stack[k]].name == name:
+                    elements[stack[k]].closed = True
+                    article = elements[stack[k]].article
+                    del stack[k:]
                     break
         else:
-            bad = _unwanted(name, m[4], article > 0)
-            stack.append((name, bad, article))
-            unwanted += bad
-            if name in ("article", "main") and not unwanted:
+            if name == "main":
+                for k in stack:
+                    elements[k].holds_main = True
+            most = _unwanted(name, attributes, article > 0)
+            elements.append(Element(name, most, article))
+            stack.append(len(elements) - 1)
+            if name in ("article", "main") and not any(elements[k].most for k in stack):
                 articles += 1
                 article = articles
-    if at < len(page):
-        parts.append(page[at:])
-        if link:
-            links += len(page) - at
     flush()
+    total = sum(_length(b.text) for b in out)
+
+    def goes(e: Element) -> bool:
+        most = min(e.most, MOST_WHOLE) if not e.closed else e.most
+        return not e.holds_main and (most == 1.0 or e.chars <= most * total)
+
+    for b in out:
+        b.out = any(goes(elements[k]) for k in b.inside)
     return out
 
 
@@ -160,14 +240,19 @@ def stop_share(text: str) -> float:
     return sum(w.strip(_PUNCTUATION) in STOP_WORDS for w in words) / max(1, len(words))
 
 
-def decide(block: Block) -> str:
-    """First pass: good, bad, near (perhaps text) or short."""
-    n = len(block.text)
-    if block.out or block.links > MOST_LINKS * n:
+def _length(text: str) -> int:
+    """Characters, those of scripts that write words without blanks for three."""
+    return len(text) + 2 * len(_DENSE.findall(text))
+
+
+def decide(block: Block, known_language: bool = True) -> str:
+    """First pass: good, bad, near (perhaps text) or short. In other languages than those of the stop words, length decides."""
+    n = _length(block.text)
+    if block.out or block.links > MOST_LINKS * len(block.text):
         return "bad"
-    stops = stop_share(block.text)
+    stops = stop_share(block.text) if known_language else STOPS_HIGH
     if block.article:
-        return "good" if stops >= ARTICLE_STOPS or n >= LONG else "near" if n >= ARTICLE_SHORT or block.headline else "short"
+        return "good" if stops >= ARTICLE_STOPS and known_language or n >= LONG else "near" if n >= ARTICLE_SHORT or block.headline else "short"
     if n < SHORT:
         return "bad" if block.links else "near" if block.headline else "short"
     if stops >= STOPS_HIGH:
@@ -202,29 +287,37 @@ def _inherit(row: list[Block], when_none: str) -> None:
 
 
 def main_text(page: str | None) -> str:
-    """The text of the good blocks, joined by blanks; '' for a null or empty page or one without main text."""
+    """The text of the good blocks, joined by blanks; '' for a null or empty page or one without main text.
+
+    Where articles hold less than the good blocks outside them (teasers around a text), all blocks are judged alike.
+    """
     if not page:
         return ""
     found = blocks(page)
+    known_language = stop_share(" ".join(b.text for b in found if not b.out)) >= FEW_STOPS
     for b in found:
-        b.label = decide(b)
+        b.label = decide(b, known_language)
+    outside = [b for b in found if not b.article]
     inside: dict[int, list[Block]] = {}
     for b in found:
         if b.article and not b.out:
             inside.setdefault(b.article, []).append(b)
     for row in inside.values():
         _inherit(row, "good")
-    if any(b.label == "good" for row in inside.values() for b in row):
-        for b in found:
-            if not b.article:
-                b.label = "bad"
+    in_articles = sum(len(b.text) for row in inside.values() for b in row if b.label == "good")
+    if in_articles and in_articles >= sum(len(b.text) for b in outside if b.label == "good"):
+        for b in outside:
+            b.label = "bad"
     else:
         _inherit(found, "bad")
     return " ".join(b.text for b in found if b.label == "good")
 
 
 def extracted(pages: DataFrame, id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """(id, url, text, n_chars) for each row of pages; null html gives an empty text, rows repeat as they do in pages."""
+    """(id, url, text, n_chars) for each row of pages; null html gives an empty text, rows repeat as they do in pages.
+
+    A very long page is worked on whole, in one pass over its tags; broken markup gives what text there is.
+    """
     small_batches(pages.sparkSession)
     narrow = pages.select(id, url, F.col(html).alias("__html"))
     schema = narrow.select(id, url).withColumn("text", F.lit("")).schema

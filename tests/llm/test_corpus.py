@@ -289,6 +289,64 @@ def test_articles_keep_short_and_odd_blocks(spark):
     assert sorted((r.page_id or 0, r.text, r.n_chars) for r in got) == [(0, "", 0), (1, "Ab Cdéef g h", 12), (1, "Ab Cdéef g h", 12)]
 
 
+SENTENCES = {
+    "en": "it is the work of the house that was there and of all the people who have been in it for a very long time",
+    "ru": "это длинный рассказ о старом доме который стоял на берегу реки и о людях которые жили в нём много лет подряд",
+    "zh": "这是一个关于河边老房子的很长的故事以及多年来住在那里的人们和他们的生活还有他们每天所做的事情",
+}
+JUNK = [
+    "<nav><ul><li><a href='/'>Home</a></li><li><a href=/b>All of the news</a></li></ul></nav>",
+    "<header class=site-header><p>The name of the house and of the people who have it for all of the time</p></header>",
+    "<footer>All rights are with the owner of the site and of the house that is there</footer>",
+    "<aside><p>There is more to the left of the text, and it is for all who have the time to read it</p></aside>",
+    "<div class='cookie-notice'><p>We use the cookies of this site for you and for all the people who are here and have been here before</p></div>",
+    "<div id=sidebar><p>The side of the page is for the news that have not been in the text and will not be in it for now</p></div>",
+    "<form><p>Sign up for all the news of the site and of the people who are there and have been</p><input name=a></form>",
+    "<section class='comments'><p>I have been there and it was not as it is in the text, and that is what I have to say of it</p></section>",
+    "<script>if (a < b) { document.write('<p>the and of it is</p>') }</script><style>p > a {}</style>",
+    "<div style='display: none'><p>the of and it is that was for on with as are be at by this from have</p></div>",
+    "<button type=button>Share it with the people of the house</button><select><option>the one<option>and the other</select>",
+    "<!-- <p>the and of it is that was there for the people</p> -->",
+]
+
+
+def made_page(rng, lang):
+    """(page, its main text): paragraphs with markup that changes nothing among boilerplate."""
+    inert = ["<svg class='i' viewBox='0 0 1 1'/>", "<img src=a.png alt='the \"best\" of it'>", "<wbr>", "<b>", "</b>", "<span data-x='a > b'>", "</span>", "<object data=x />", "<!-- x -->", "<button>", "<svg><path d='M0'/></svg>"]
+    paragraphs, body = [], ""
+    for k in range(rng.randint(2, 5)):
+        text = f"{k} " + " ".join(SENTENCES[lang] for _ in range(rng.randint(3, 5)))
+        paragraphs.append(text)
+        words = text.split(" ")
+        for _ in range(rng.randint(0, 3)):
+            at = rng.randrange(1, len(words))
+            words[at] = rng.choice([x for x in inert if x != "<button>"]) + words[at]
+        opened = rng.choice(["<p>", '<p class="x>', "<p class='lead' id=a>", "<div><p>", "<P\nDATA-A=1>"])
+        body += opened + " ".join(words) + ("</p></div>" if opened == "<div><p>" else rng.choice(["</p>", ""]) if opened != "<div><p>" else "") + "\n"
+    around = rng.choice(["<article>%s</article>", "<main>%s</main>", "<div class='content has-sidebar'>%s</div>", "<div class='page no-sidebar with-menu'>%s</div>", "<div id=text>%s</div>", "<form id=aspnet><div>%s</div></form>"])
+    before, after = (" ".join(rng.sample(JUNK, rng.randint(0, 3))) for _ in range(2))
+    return f"<!doctype html><html><head><title>The title</title></head><body class='js with-sidebar'>{before}{around % body}{after}</body></html>", " ".join(paragraphs)
+
+
+@pytest.mark.parametrize("lang", SENTENCES)
+def test_main_text_equals_what_pages_are_made_from(lang):
+    rng = random.Random(lang)
+    for _ in range(150):
+        page, text = made_page(rng, lang)
+        assert extract.main_text(page) == text, page
+
+
+def test_broken_markup_loses_no_text():
+    p = "<p>" + SENTENCES["en"] * 3 + "</p>"
+    text = SENTENCES["en"] * 3
+    for page in (f"<svg class='i'/>{p}", f"<object data=x />{p}", f"<div><button>x{p}</div>", f"<video src=a>{p}", f"<div class=has-sidebar>{p}</div>", f"<section class='page with-sidebar'>{p}</section>", f"<div class='layout'><div class='sidebar-left-layout main'>{p}</div></div>", f"<textarea>{p}"):
+        assert text in extract.main_text(page), page
+    assert extract.main_text(f"<article>{p}<p class=\"x>{text}</p><p id='y>{text}</p></article>") == " ".join([text] * 3)
+    assert extract.main_text(f"<button>a<button>b</button>{p}<svg><svg/><g>the</svg>") == text
+    long = "<div>" * 3000 + p * 200 + "<b" * 5000 + "<!--" * 3000
+    assert extract.main_text(long).startswith(text)
+
+
 # 5. Near duplicates.
 
 
