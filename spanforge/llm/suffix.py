@@ -1,16 +1,18 @@
-"""Suffix arrays by induced sorting and permuted common prefixes, in numpy.
+"""Suffix arrays by induced sorting and permuted common prefixes.
 
-Induced sorting walks the suffix array bucket by bucket; what one bucket holds is handled in waves, each a few array
-operations: a wave's members put the suffixes that begin one place earlier into their buckets, and those that fall into the
-same bucket are the next wave. There are as many waves as the longest run of one character.
+Suffixes are classified, leftmost-smaller substrings are sorted by induction and named, the string of their names is sorted by
+the same method, and its order induces that of all suffixes. Induction walks the suffix array bucket by bucket. With few
+buckets (bytes) what one bucket holds is handled in waves, each a few array operations: a wave's members put the suffixes that
+begin one place earlier into their buckets, and those that fall into the same bucket are the next wave. With many buckets
+(names) the array is walked place by place, which is linear whatever the buckets are.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-#: Names of LMS substrings up to which the reduced string is sorted by induction again; with more, by doubling of ranks.
-MOST_BUCKETS = 1024
+#: Buckets up to which induction goes in waves.
+FEW_BUCKETS = 1024
 
 
 def types(s: np.ndarray) -> np.ndarray:
@@ -32,8 +34,44 @@ def _spread(values: np.ndarray, chars: np.ndarray, place: np.ndarray, into: np.n
     place[c[first]] += step * size
 
 
+def _by_place(s: np.ndarray, small: np.ndarray, lms: np.ndarray, size: int) -> np.ndarray:
+    """_induce, place by place."""
+    n = len(s)
+    head = np.concatenate([[0], np.cumsum(np.bincount(s, minlength=size))])
+    order = np.argsort(s[lms], kind="stable")
+    chars = s[lms[order]]
+    # LMS places stand at the ends of their buckets.
+    above = np.searchsorted(chars, chars, "right") - np.arange(len(chars))
+    start = np.full(n, -1, np.int64)
+    start[head[chars + 1] - above] = lms[order]
+    # For each place the character before it if that is L-type, or S-type, else -1; the last entry is that of no place.
+    before_l, before_s = np.full(n + 1, -1, np.int64), np.full(n + 1, -1, np.int64)
+    before_l[1:n] = np.where(small[:-1], -1, s[:-1])
+    before_s[1:n] = np.where(small[:-1], s[:-1], -1)
+    sa, place, last = start.tolist(), head[:-1].tolist(), int(s[n - 1])
+    sa[place[last]] = n - 1
+    place[last] += 1
+    chars = before_l.tolist()
+    for j in sa:
+        c = chars[j]
+        if c >= 0:
+            p = place[c]
+            sa[p] = j - 1
+            place[c] = p + 1
+    place, chars = (head[1:] - 1).tolist(), before_s.tolist()
+    for j in reversed(sa):
+        c = chars[j]
+        if c >= 0:
+            p = place[c]
+            sa[p] = j - 1
+            place[c] = p - 1
+    return np.array(sa, np.int64)
+
+
 def _induce(s: np.ndarray, small: np.ndarray, lms: np.ndarray, size: int) -> np.ndarray:
     """The suffix array from the LMS places, given in order within each bucket."""
+    if size > FEW_BUCKETS:
+        return _by_place(s, small, lms, size)
     n = len(s)
     chars = s.astype(np.uint8 if size <= 256 else np.uint16 if size <= 65536 else np.int64)
     counts = np.bincount(s, minlength=size)
@@ -79,22 +117,6 @@ def _induce(s: np.ndarray, small: np.ndarray, lms: np.ndarray, size: int) -> np.
     return sa
 
 
-def _doubled(s: np.ndarray) -> np.ndarray:
-    """The suffix array by sorting pairs of ranks, twice as far in each round."""
-    n, far = len(s), 1
-    _, rank = np.unique(s, return_inverse=True)
-    while True:
-        key = rank * (n + 1)
-        key[: n - far] += rank[far:] + 1
-        order = np.argsort(key, kind="stable")
-        new = np.cumsum(np.diff(key[order], prepend=key[order[0]]) != 0)
-        rank = np.empty(n, np.int64)
-        rank[order] = new
-        if new[-1] == n - 1 or far >= n:
-            return order
-        far *= 2
-
-
 def _same(s: np.ndarray, a: np.ndarray, b: np.ndarray, length: np.ndarray) -> np.ndarray:
     """Whether s[a:a + length] equals s[b:b + length]."""
     out = np.ones(len(a), bool)
@@ -135,7 +157,7 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     if names[-1] < len(lms) - 1:
         reduced = np.empty(len(lms), np.int64)
         reduced[number[order]] = names
-        order = lms[suffix_array(reduced) if names[-1] < MOST_BUCKETS else _doubled(reduced)]
+        order = lms[suffix_array(reduced)]
     return _induce(s, small, order, size)
 
 
