@@ -5,6 +5,8 @@ Every operator takes column names, so that it runs on alignments, annotations or
 
 from __future__ import annotations
 
+import functools
+import operator
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -61,40 +63,84 @@ def range_join(left: DataFrame, right: DataFrame, on: Sequence[str], lo: str = "
     return both.where(overlaps(F.col(lo), F.col(hi), F.col(lo + suffix), F.col(hi + suffix)) & (F.col("__bin") == first)).drop("__bin", "__bin_r")
 
 
-def islands(df: DataFrame, group: Sequence[str], lo: str = "lo", hi: str = "hi", slack: int = 0, order: Sequence[str] = (), name: str = "island") -> DataFrame:
-    """df with the number, from 1, of the island in its group: rows join one that begins before the running end + slack."""
-    w = Window.partitionBy(*group).orderBy(lo, *order)
-    end = F.max(hi).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    starts = F.when(end.isNull() | (F.col(lo) >= end + slack), 1).otherwise(0)
-    return df.withColumn("__new", starts).withColumn(name, F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__new")
+#: Positions of a range: windows order a group's rows inside ranges, and carry running values over from range to range, so that
+#: no task orders a whole group. Only the table of ranges, one row each, is ordered by group.
+RANGE = 1 << 14
+
+
+def _ranged(df: DataFrame, at: str, width: int, name: str) -> DataFrame:
+    return df.withColumn(name, F.coalesce(F.floor(F.col(at) / width), F.lit(-(1 << 62))))
+
+
+def _with_carried(df: DataFrame, group: Sequence[str], place: str, summary: Column, carried: Column, name: str, after: bool = False) -> DataFrame:
+    """df with name: carried(values of summary in the group's earlier ranges, or in its later ones), null where there are none.
 
+    summary is an aggregate of one range; carried is an aggregate of the column __value, in order of the ranges.
+    """
+    along = Window.partitionBy(*group).orderBy(place)
+    frame = along.rowsBetween(1, Window.unboundedFollowing) if after else along.rowsBetween(Window.unboundedPreceding, -1)
+    keys = {c: f"__key_{i}" for i, c in enumerate([*group, place])}
+    ranges = df.groupBy(*keys).agg(summary.alias("__value")).withColumn(name, carried.over(frame)).select(*(F.col(c).alias(k) for c, k in keys.items()), name)
+    same = functools.reduce(operator.and_, (F.col(c).eqNullSafe(F.col(k)) for c, k in keys.items()))
+    return df.join(ranges, same).drop(*keys.values())
+
+
+def islands(df: DataFrame, group: Sequence[str], lo: str = "lo", hi: str = "hi", slack: int = 0, order: Sequence[str] = (), name: str = "island", width: int | None = RANGE) -> DataFrame:
+    """df with the number, from 1, of the island in its group: rows join one that begins before the running end + slack.
 
-def merged(df: DataFrame, group: Sequence[str], lo: str = "lo", hi: str = "hi", slack: int = 0, order: Sequence[str] = (), aggregates: Sequence[Column] = ()) -> DataFrame:
+    width: positions of a range; None orders each group in one task, which suits many groups of few rows.
+    """
+    w = Window.partitionBy(*group) if width is None else Window.partitionBy(*group, "__range")
+    w = w.orderBy(lo, *order)
+    end = F.max(hi).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    if width is not None:
+        df = _with_carried(_ranged(df, lo, width, "__range"), group, "__range", F.max(hi), F.max("__value"), "__end")
+        end = F.greatest(end, "__end")
+    new = df.withColumn("__new", F.when(end.isNull() | (F.col(lo) >= end + slack), 1).otherwise(0))
+    number = F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    if width is not None:
+        new = _with_carried(new, group, "__range", F.sum("__new"), F.sum("__value"), "__before")
+        number = number + F.coalesce("__before", F.lit(0))
+    return new.withColumn(name, number).drop("__new", "__range", "__end", "__before")
+
+
+def merged(df: DataFrame, group: Sequence[str], lo: str = "lo", hi: str = "hi", slack: int = 0, order: Sequence[str] = (), aggregates: Sequence[Column] = (), width: int | None = RANGE) -> DataFrame:
     """One row for each island: its bounds, its number of rows and any aggregates."""
-    found = islands(df, group, lo, hi, slack, order, "island")
+    found = islands(df, group, lo, hi, slack, order, "island", width)
     return found.groupBy(*group, "island").agg(F.min(lo).alias(lo), F.max(hi).alias(hi), F.count("*").alias("n"), *aggregates)
 
 
-def coverage(df: DataFrame, group: Sequence[str], lo: str = "lo", hi: str = "hi", weight: Column | None = None) -> DataFrame:
+def coverage(df: DataFrame, group: Sequence[str], lo: str = "lo", hi: str = "hi", weight: Column | None = None, width: int | None = RANGE) -> DataFrame:
     """Maximal stretches of constant depth (lo, hi, depth), depth not 0: ends are summed by place before they are ordered."""
     w = F.lit(1) if weight is None else weight
     ends = df.select(*group, F.explode(F.array(F.struct(F.col(lo).alias("at"), w.alias("d")), F.struct(F.col(hi).alias("at"), (-w).alias("d")))).alias("e"))
     steps = ends.groupBy(*group, F.col("e.at").alias("at")).agg(F.sum("e.d").alias("d")).where("d <> 0")
-    run = Window.partitionBy(*group).orderBy("at")
-    depth = steps.withColumn("depth", F.sum("d").over(run.rowsBetween(Window.unboundedPreceding, 0))).withColumn("hi", F.lead("at").over(run))
-    return depth.where("hi IS NOT NULL AND depth <> 0").select(*group, F.col("at").alias("lo"), "hi", "depth")
+    run = (Window.partitionBy(*group) if width is None else Window.partitionBy(*group, "__range")).orderBy("at")
+    depth, end = F.sum("d").over(run.rowsBetween(Window.unboundedPreceding, 0)), F.lead("at").over(run)
+    if width is not None:
+        steps = _with_carried(_ranged(steps, "at", width, "__range"), group, "__range", F.sum("d"), F.sum("__value"), "__before")
+        steps = _with_carried(steps, group, "__range", F.min("at"), F.first("__value"), "__after", after=True)
+        depth, end = depth + F.coalesce("__before", F.lit(0)), F.coalesce(end, "__after")
+    found = steps.withColumn("depth", depth).withColumn("hi", end)
+    return found.where("hi IS NOT NULL AND depth <> 0").select(*group, F.col("at").alias("lo"), "hi", "depth")
 
 
-def nearest_preceding(left: DataFrame, right: DataFrame, group: Sequence[str], at: str, value: str, within: int) -> DataFrame:
+def nearest_preceding(left: DataFrame, right: DataFrame, group: Sequence[str], at: str, value: str, within: int, width: int | None = RANGE) -> DataFrame:
     """left with {value}_before: the latest value of right at the same or an earlier place, no more than within away.
 
     An as-of join in one ordered pass over the union: no pair of rows is made.
     """
     marked = left.withColumn("__side", F.lit(1)).withColumn("__v", F.lit(None).cast(right.schema[value].dataType)).withColumn("__at", F.lit(None).cast(right.schema[at].dataType))
     other = right.select(*group, at, F.lit(0).alias("__side"), F.col(value).alias("__v"), F.col(at).alias("__at"))
-    w = Window.partitionBy(*group).orderBy(F.col(at), "__side", F.col("__v")).rowsBetween(Window.unboundedPreceding, 0)
     all_rows = marked.unionByName(other, allowMissingColumns=True)
-    found = all_rows.withColumn("__last", F.last(F.when(F.col("__side") == 0, F.struct(F.col("__v").alias("v"), F.col("__at").alias("a"))), ignorenulls=True).over(w))
+    seen = F.when(F.col("__side") == 0, F.struct(F.col("__v").alias("v"), F.col("__at").alias("a")))
+    w = Window.partitionBy(*group) if width is None else Window.partitionBy(*group, "__range")
+    last = F.last(seen, ignorenulls=True).over(w.orderBy(F.col(at), "__side", F.col("__v")).rowsBetween(Window.unboundedPreceding, 0))
+    if width is not None:
+        latest = F.max_by(seen, F.when(F.col("__side") == 0, F.struct(F.col(at).alias("a"), F.col("__v").alias("v"))))
+        all_rows = _with_carried(_ranged(all_rows, at, width, "__range"), group, "__range", latest, F.last("__value", ignorenulls=True), "__carried")
+        last = F.coalesce(last, "__carried")
+    found = all_rows.withColumn("__last", last)
     near = F.col("__last.a") >= F.col(at) - within
     return found.where("__side = 1").withColumn(f"{value}_before", F.when(near, F.col("__last.v"))).select(*left.columns, f"{value}_before")
 

@@ -33,18 +33,21 @@ def softmask_share(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "documents").select("doc_id", F.round(sequence.soft_masked(F.col("text")), 9).alias("masked"))
 
 
-@query("codon_translate", f"""WITH s AS (SELECT doc_id, left({_BASES}, 300) AS seq FROM documents), k AS (SELECT doc_id, i, substr(seq, i * 3 - 2, 3) AS codon FROM (SELECT doc_id, seq, unnest(range(1, length(seq) // 3 + 1)) AS i FROM s)),
-a AS (SELECT doc_id, string_agg(CASE WHEN regexp_full_match(codon, '[ACGT]{{3}}') THEN substr('{sequence.AMINO_ACIDS}', ((instr('TCAG', codon[1]) - 1) * 16 + (instr('TCAG', codon[2]) - 1) * 4 + instr('TCAG', codon[3]))::BIGINT, 1) ELSE 'X' END, '' ORDER BY i) AS protein FROM k GROUP BY ALL)
-SELECT doc_id, coalesce(protein, '') AS protein FROM s LEFT JOIN a USING (doc_id)""")
+_PROTEINS = f"""s AS (SELECT doc_id, {_BASES} AS seq FROM documents), k AS (SELECT doc_id, i, substr(seq, i * 3 - 2, 3) AS codon FROM (SELECT doc_id, seq, unnest(range(1, length(seq) // 3 + 1)) AS i FROM s)),
+a AS (SELECT doc_id, string_agg(CASE WHEN regexp_full_match(codon, '[ACGT]{{3}}') THEN substr('{sequence.AMINO_ACIDS}', ((instr('TCAG', codon[1]) - 1) * 16 + (instr('TCAG', codon[2]) - 1) * 4 + instr('TCAG', codon[3]))::BIGINT, 1) ELSE 'X' END, '' ORDER BY i) AS protein FROM k GROUP BY ALL),
+p AS (SELECT doc_id, CASE WHEN seq IS NOT NULL THEN coalesce(protein, '') END AS protein FROM s LEFT JOIN a USING (doc_id))"""
+
+
+@query("codon_translate", f"WITH {_PROTEINS} SELECT doc_id, protein FROM p")
 def codon_translate(spark: SparkSession, d: str) -> DataFrame:
-    """The first hundred codons of each text's letters."""
-    return bases(spark, d).select("doc_id", sequence.translate(F.left("seq", F.lit(300))).alias("protein"))
+    """All codons of each text's letters."""
+    return bases(spark, d).select("doc_id", sequence.translate(F.col("seq")).alias("protein"))
 
 
-@query("codon_translate_whole")
+@query("codon_translate_whole", f"WITH {_PROTEINS} SELECT doc_id, length(protein)::BIGINT AS length, md5(protein) AS digest FROM p")
 def codon_translate_whole(spark: SparkSession, d: str) -> DataFrame:
-    """Length and digest of the translation of all of each text's letters. Without SQL; a test holds it against brute force."""
-    proteins = bases(spark, d).select("doc_id", sequence.translate(F.col("seq")).alias("protein"))
+    """Length and digest of the translation of all of each text's letters."""
+    proteins = codon_translate(spark, d)
     return proteins.select("doc_id", F.length("protein").cast("long").alias("length"), F.md5(F.col("protein").cast("binary")).alias("digest"))
 
 

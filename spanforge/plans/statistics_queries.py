@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanforge.operators import abundance, cluster, normalize, stats
+from spanforge.plans import workflows
 from spanforge.plans.interval_queries import load
 from spanforge.plans.registry import query
 
@@ -100,9 +101,12 @@ def test_status(spark: SparkSession, d: str) -> DataFrame:
 
 @query("default_contrasts", "SELECT a.r_name AS condition_1, b.r_name AS condition_2 FROM region a JOIN region b ON a.r_regionkey < b.r_regionkey")
 def default_contrasts(spark: SparkSession, d: str) -> DataFrame:
-    r = load(spark, d, "region")
-    a, b = r.select("r_regionkey", F.col("r_name").alias("condition_1")), r.select(F.col("r_regionkey").alias("k"), F.col("r_name").alias("condition_2"))
-    return a.join(F.broadcast(b), F.col("r_regionkey") < F.col("k")).select("condition_1", "condition_2")
+    return workflows.all_contrasts(load(spark, d, "region"), "r_name", "r_regionkey")
+
+
+@query("time_series_contrasts", "SELECT a.r_name AS condition_1, b.r_name AS condition_2 FROM region a JOIN region b ON b.r_regionkey = (SELECT min(r_regionkey) FROM region c WHERE c.r_regionkey > a.r_regionkey)")
+def time_series_contrasts(spark: SparkSession, d: str) -> DataFrame:
+    return workflows.time_series(load(spark, d, "region"), "r_name", "r_regionkey")
 
 
 _MIX = """m AS (SELECT user_id % 50 AS cohort, event_type, count(*) FILTER (WHERE user_id % 2 = event_id % 2) AS a, count(*) FILTER (WHERE user_id % 2 <> event_id % 2) AS b FROM events GROUP BY ALL)"""
@@ -166,27 +170,35 @@ def start_sites(spark: SparkSession, d: str) -> DataFrame:
     return cluster.start_sites(s, ["s_nationkey"], "s", 100, ["s_suppkey"]).select("s_suppkey", "tss")
 
 
-@query("cluster_components", """WITH RECURSIVE e AS (SELECT DISTINCT a.l_partkey AS x, b.l_partkey AS y FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_partkey <> b.l_partkey WHERE a.l_returnflag = 'R' AND b.l_returnflag = 'R' AND a.l_orderkey % 5 = 0),
-c(x, r) AS (SELECT p_partkey, p_partkey FROM part UNION SELECT e.y, c.r FROM c JOIN e ON c.x = e.x WHERE c.r < e.y)
-SELECT x AS p_partkey, min(r) AS component FROM c GROUP BY x""")
-def cluster_components(spark: SparkSession, d: str) -> DataFrame:
-    """Parts linked by orders that returned them together; an order links its parts to its least one."""
-    return _returned_together(spark, d, "l_returnflag = 'R' AND l_orderkey % 5 = 0")
-
-
-@query("cluster_components_all_orders")
-def cluster_components_all_orders(spark: SparkSession, d: str) -> DataFrame:
-    """As cluster_components, over the orders with every key. Without SQL; a test holds it against brute force."""
-    return _returned_together(spark, d, "l_returnflag = 'R'")
+def _labels_sql() -> str:
+    """Least labels of neighbours, then the label's own label, in so many rounds that they settle on the tables."""
+    steps = [
+        "f AS (SELECT l_orderkey, min(l_partkey) AS y FROM lineitem WHERE l_returnflag = 'R' GROUP BY ALL)",
+        "e AS MATERIALIZED (SELECT DISTINCT l_partkey AS x, y FROM lineitem JOIN f USING (l_orderkey) WHERE l_returnflag = 'R' AND l_partkey <> y)",
+        "b AS MATERIALIZED (SELECT x, y FROM e UNION SELECT y, x FROM e)",
+        "l0 AS (SELECT p_partkey AS n, p_partkey AS l FROM part)",
+    ]
+    for k in range(8):
+        steps.append(f"m{k} AS MATERIALIZED (SELECT n, least(l, coalesce((SELECT min(o.l) FROM b JOIN l{k} o ON b.y = o.n WHERE b.x = l{k}.n), l)) AS l FROM l{k})")
+        steps.append(f"l{k + 1} AS MATERIALIZED (SELECT a.n, least(a.l, z.l) AS l FROM m{k} a JOIN l{k} z ON a.l = z.n)")
+    return "WITH " + ", ".join(steps) + " SELECT n AS p_partkey, l AS component FROM l8"
 
 
-def _returned_together(spark: SparkSession, d: str, lines: str) -> DataFrame:
-    lines = load(spark, d, "lineitem").where(lines).select("l_orderkey", "l_partkey")
+@query("cluster_components", _labels_sql())
+def cluster_components(spark: SparkSession, d: str) -> DataFrame:
+    """Parts linked by orders that returned them together; an order links its parts to its least one."""
+    lines = load(spark, d, "lineitem").where("l_returnflag = 'R'").select("l_orderkey", "l_partkey")
     first = lines.groupBy("l_orderkey").agg(F.min("l_partkey").alias("first"))
     parts = load(spark, d, "part").select("p_partkey")
     return cluster.label_components(parts, lines.join(first, "l_orderkey"), "p_partkey", "l_partkey", "first")
 
 
+@query("cluster_components_all_orders", _labels_sql())
+def cluster_components_all_orders(spark: SparkSession, d: str) -> DataFrame:
+    """The same, under the name it had while cluster_components took a part of the orders."""
+    return cluster_components(spark, d)
+
+
 @query("em_mixture")
 def em_mixture(spark: SparkSession, d: str) -> DataFrame:
     """Orders as fragments, suppliers as models, the nation's suppliers as a locus; closer parts are likelier."""
@@ -200,7 +212,7 @@ def resampling_test(spark: SparkSession, d: str) -> DataFrame:
     side = lambda x: F.coalesce(F.sum(F.when(F.col("l_returnflag") == x, F.round("l_quantity"))), F.lit(0.0))
     s = load(spark, d, "lineitem").groupBy("l_partkey").agg(side("A").alias("a"), side("R").alias("b"))
     s = s.withColumns({"va": F.col("a") * 1.5, "vb": F.col("b") * 1.5})
-    return stats.resampled_p(s, "l_partkey", "a", "va", "b", "vb", draws=2000)
+    return stats.resampled_p(s, "l_partkey", "a", "va", "b", "vb")
 
 
 @query("bad_splices")
@@ -214,4 +226,4 @@ def bad_splices(spark: SparkSession, d: str) -> DataFrame:
 def kmeans_assign(spark: SparkSession, d: str) -> DataFrame:
     m = _mix(spark, d)
     every = m.select("cohort").distinct().crossJoin(F.broadcast(m.select("event_type").distinct())).join(m, ["cohort", "event_type"], "left").withColumn("n", F.coalesce(F.col("a") + F.col("b"), F.lit(0)))
-    return cluster.js_kmeans(abundance.shares(every, ["cohort"], "n", "p"), 4, "cohort", "event_type", "p", rounds=3)
+    return cluster.js_kmeans(abundance.shares(every, ["cohort"], "n", "p"), 4, "cohort", "event_type", "p")

@@ -118,6 +118,13 @@ def time_series(conditions: DataFrame, condition: str, order: str) -> DataFrame:
     return conditions.select(F.lag(condition).over(w).alias("condition_1"), F.col(condition).alias("condition_2")).where("condition_1 IS NOT NULL")
 
 
+def all_contrasts(conditions: DataFrame, condition: str, order: str) -> DataFrame:
+    """Contrasts of each condition with every later one. There are few: each lists the later ones from one sorted array."""
+    every = conditions.agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(condition).alias("c")))).alias("all"))
+    first = every.select("all", F.posexplode("all").alias("at", "a"))
+    return first.select(F.col("a.c").alias("condition_1"), F.explode(F.slice("all", F.col("at") + 2, F.size("all"))).alias("b")).select("condition_1", F.col("b.c").alias("condition_2"))
+
+
 def merged_assemblies(assemblies: DataFrame) -> DataFrame:
     """Models of several samples(sample, id, contig, strand, exons, mass) assembled again as evidence, weighted by their mass."""
     loci = cluster.exon_loci(assemblies.withColumn("id", F.concat_ws("/", "sample", "id")), "id", "contig", "strand", "exons")

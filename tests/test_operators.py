@@ -1,4 +1,5 @@
 import math
+import random
 from itertools import pairwise
 
 import numpy as np
@@ -234,3 +235,16 @@ def test_translation_of_whole_texts(spark):
         want[r.doc_id] = len(protein), hashlib.md5(protein.encode()).hexdigest()
     assert max(n for n, _ in want.values()) > 100
     assert {r.doc_id: (r.length, r.digest) for r in entry.queries()["codon_translate_whole"](spark, sf).collect()} == want
+
+
+def test_ranges_give_what_whole_groups_give(spark):
+    rng = random.Random(9)
+    rows = [(rng.choice(["a", "b", None]), k, lo, lo + rng.choice([0, 1, 5, 30, 200]), rng.randint(0, 3)) for k, lo in enumerate(rng.choices(range(-100, 1000), k=300))] + [("c", 1000, None, 4, 1)]
+    df = spark.createDataFrame(rows, "g string, k int, lo int, hi int, side int")
+    got = {}
+    for width in (None, 7, 64, 1 << 20):
+        islands = intervals.islands(df, ["g"], slack=2, order=["hi", "k"], width=width).select("k", "island").collect()
+        depth = intervals.coverage(df.where("lo is not null"), ["g"], width=width).collect()
+        near = intervals.nearest_preceding(df.where("side = 0"), df.where("side = 1").withColumn("v", F.col("k") * 2).select("g", "lo", "v"), ["g"], "lo", "v", 50, width=width).select("k", "v_before").collect()
+        got[width] = [sorted(map(repr, x)) for x in (islands, depth, near)]
+    assert all(x == got[None] for x in got.values())
