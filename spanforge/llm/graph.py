@@ -14,14 +14,14 @@ MOST_ROUNDS = 40
 MANY_ROWS, MOST_MANY = 100, 50_000
 
 
-def _with_least(rows: DataFrame, n_rows: int, scratch: Scratch) -> DataFrame:
+def _with_least(rows: DataFrame, n_rows: int) -> DataFrame:
     """rows(u, v) with m, the least v of each u.
 
     The minimum is combined before the shuffle. A node with very many rows would bring them all to one task of the join back;
     such nodes, at most MOST_MANY by the way their bound is set, are broadcast instead and their rows stay where they are.
     """
     many = max(MANY_ROWS, n_rows // MOST_MANY)
-    least = scratch.written(rows.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "least")
+    least = rows.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
     hubs, others = F.broadcast(least.where(F.col("n") > many).select("u", "m")), least.where(F.col("n") <= many).select("u", "m")
     return rows.join(hubs, "u").unionByName(rows.join(hubs, "u", "left_anti").join(others, "u"))
 
@@ -39,9 +39,9 @@ def components(edges: DataFrame) -> DataFrame:
         # Large star: what is above u goes to the least of u's neighbourhood.
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         n = now.count()
-        large = scratch.written(_with_least(both, 2 * n, scratch).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")), "large")
+        large = scratch.written(_with_least(both, 2 * n).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")), "large")
         # Small star: u and what is below it go to the least of these.
-        small = _with_least(large, n, scratch).select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e")).select(F.col("e.v").alias("u"), F.col("e.m").alias("v"))
+        small = _with_least(large, n).select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e")).select(F.col("e.v").alias("u"), F.col("e.m").alias("v"))
         nxt = scratch.written(small.where("u > v").distinct(), "edges")
         # Done once no root is itself below another node, and each node has one root.
         again = nxt.groupBy("u").agg(F.count("*").alias("n"))

@@ -19,7 +19,7 @@ from spanforge.llm._shared import Scratch, table, written
 #: Share of all tokens to take; the exponent that flattens the given shares into targets.
 RATE, TEMPER, SEED = 0.5, 0.5, 42
 #: Rounds of raking at most, and the largest change of a factor in a round at which it is done.
-ROUNDS, SETTLED = 12, 1e-12
+ROUNDS, SETTLED = 8, 1e-12
 #: Rounds that are planned together, without a job between them.
 AT_ONCE = 4
 #: Cells up to which their table is broadcast (about 100 bytes each); more are joined by a shuffle.
@@ -61,19 +61,18 @@ def tempered(cells: DataFrame, dimension: str, temper: float) -> DataFrame:
     return sums.crossJoin(F.broadcast(sums.agg(F.sum("p").alias("all")))).select("value", F.expr("try_divide(p, all)").alias("share"))
 
 
-def feasible(cells: DataFrame, dimension: str, shares: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(value, target): the tokens to take of each value, at most those it has; wanted: one row, all tokens to take.
+def feasible(cells: DataFrame, dimension: str, shares: DataFrame, wanted: float) -> DataFrame:
+    """(value, target): the tokens to take of each value, at most those it has, wanted in all.
 
-    target is the lesser of the value's tokens and level * share, and the targets sum to what is wanted. Values in order of
-    tokens / share are full up to some place; the level is the greatest of those that each place would give.
+    target is the lesser of the value's tokens and level * share. Values in order of tokens / share are full up to some place;
+    the level is the greatest of those that each place would give: one number, which comes to the driver.
     """
     have = cells.groupBy(F.col(dimension).alias("value")).agg(F.sum("tokens").cast("double").alias("have")).join(shares, "value").where("share > 0 AND have > 0")
     order = Window.orderBy(F.col("have") / F.col("share"), "value")
     before = F.coalesce(F.sum("have").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     after = F.sum("share").over(order.rowsBetween(0, Window.unboundedFollowing))
-    placed = have.withColumns({"before": before, "after": after}).crossJoin(F.broadcast(wanted))
-    level = placed.agg(F.max((F.col("wanted") - F.col("before")) / F.col("after")).alias("level"))
-    return have.crossJoin(F.broadcast(level)).select("value", F.least("have", F.col("level") * F.col("share")).alias("target"))
+    level = have.select(((F.lit(wanted) - before) / after).alias("level")).agg(F.max("level")).first()[0]
+    return have.select("value", F.least(F.col("have"), F.lit(level or 0.0) * F.col("share")).alias("target"))
 
 
 def raked(cells: DataFrame, targets: dict[str, DataFrame], rate: float = RATE, rounds: int = ROUNDS) -> DataFrame:
@@ -86,7 +85,7 @@ def raked(cells: DataFrame, targets: dict[str, DataFrame], rate: float = RATE, r
     for k in DIMENSIONS:
         known = known.join(targets[k].where("share > 0").select(F.col("value").alias(k)), k, "left_semi")
     known = written(known, "cells")
-    wanted = cells.agg((F.sum("tokens") * F.lit(rate)).cast("double").alias("rated")).crossJoin(known.agg(F.sum("tokens").cast("double").alias("there"))).select(F.least("rated", "there").alias("wanted"))
+    wanted = min((cells.agg(F.sum("tokens")).first()[0] or 0) * rate, float(known.agg(F.sum("tokens")).first()[0] or 0))
     now = known.withColumn("factor", F.lit(1.0))
     for k in DIMENSIONS:
         # Few values have many cells; their targets are joined to them, however the plan does it.
@@ -111,7 +110,7 @@ def raked(cells: DataFrame, targets: dict[str, DataFrame], rate: float = RATE, r
 
 def residuals(fitted: DataFrame, targets: dict[str, DataFrame], rate: float = RATE) -> DataFrame:
     """(dimension, value, target, expected): feasible targets against the expected tokens of cells with a probability."""
-    wanted = fitted.agg((F.sum("tokens") * F.lit(rate)).cast("double").alias("wanted"))
+    wanted = (fitted.agg(F.sum("tokens")).first()[0] or 0) * rate
     out = None
     for k in DIMENSIONS:
         expected = fitted.groupBy(F.col(k).alias("value")).agg(F.sum(F.col("tokens") * F.col("probability")).alias("expected"))
