@@ -68,6 +68,86 @@ def js_distance(df: DataFrame, group: Sequence[str], a: str, b: str) -> DataFram
     return pq.groupBy(*group).agg(F.sqrt(F.greatest(F.lit(0.0), divergence)).alias("js"))
 
 
+def member_shares(members: DataFrame, group: Sequence[str], member: str, condition: str, value: str) -> DataFrame:
+    """(group, condition, member, mean, share, replicates): means over replicates of each member's value, 0 for a member that a
+    condition lacks, and its share of the group's (0 where the group has nothing)."""
+    replicates = members.groupBy(*group, condition, member).agg(F.avg(value).alias("mean"), F.count("*").alias("n"))
+    every = members.select(*group, member).distinct().join(members.select(*group, condition).distinct(), list(group))
+    full = every.join(replicates, [*group, condition, member], "left").withColumns({"mean": F.coalesce("mean", F.lit(0.0)), "n": F.coalesce("n", F.lit(0))})
+    whole = Window.partitionBy(*group, condition)
+    return full.select(*group, condition, member, "mean", F.coalesce(F.try_divide("mean", F.sum("mean").over(whole)), F.lit(0.0)).alias("share"), F.max("n").over(whole).alias("replicates"))
+
+
+def _divergences(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Jensen-Shannon distance of each row of p and q."""
+    def entropy(x: np.ndarray) -> np.ndarray:
+        return -np.where(x > 0, x * np.log(np.where(x > 0, x, 1)), 0).sum(axis=-1)
+
+    return np.sqrt(np.maximum(0, entropy((p + q) / 2) - (entropy(p) + entropy(q)) / 2))
+
+
+def _null_tail(js: float, sides: list[tuple[np.ndarray, np.ndarray]], replicates: tuple[int, int], draws: int, rng: np.random.Generator) -> float:
+    """Share of null distances above js: both halves of a pair are means of as many draws as there are replicates, from one side."""
+    above = 0
+    for mean, variance in sides:
+        scale = np.divide(variance, mean, out=np.zeros_like(mean), where=mean > 0)
+        shape = np.divide(mean, scale, out=np.zeros_like(mean), where=scale > 0)
+        # In blocks, so that memory follows the members and not the draws.
+        for first in range(0, draws, 1000):
+            n = min(1000, draws - first)
+            halves = []
+            for k in replicates:
+                drawn = np.where(shape > 0, rng.gamma(np.where(shape > 0, shape, 1), np.where(shape > 0, scale, 1), (n, max(1, k), len(mean))), mean).mean(axis=1)
+                total = drawn.sum(axis=1, keepdims=True)
+                halves.append(np.divide(drawn, total, out=np.zeros_like(drawn), where=total > 0))
+            above += int((_divergences(*halves) > js).sum())
+    return max(1, above) / (len(sides) * draws)
+
+
+def split_tests(members: DataFrame, contrasts: DataFrame, group: Sequence[str], member: str, condition: str = "condition", value: str = "value", variance: str = "variance", status: str = "status", least_replicates: int = 3, draws: int = 10_000, seed: int = 0) -> DataFrame:
+    """(group, condition_1, condition_2, js, p_value, status): tests of how a group's value is split among its members.
+
+    With transcripts of a start site as members this is a test of splicing, with the start sites of a gene one of promoter use,
+    with its proteins one of coding output. members has a row for each replicate; variance is that of a member's value. The
+    statistic is the Jensen-Shannon distance of the two conditions' mean shares. Its null holds pairs of means drawn from
+    one condition alone, half from each. Members with a status other than OK make a group FAIL or LOWDATA; groups of one
+    member, without value or without a difference are NOTEST, as are those of fewer replicates than least_replicates.
+    The draws depend on the seed and the group, not on partitions.
+    """
+    importable_on_workers(members.sparkSession)
+    shares = member_shares(members, group, member, condition, value)
+    spread = members.groupBy(*group, condition, member).agg(F.max(variance).alias("spread"), F.max(F.when(F.col(status) == "FAIL", 2).when(F.col(status) != "OK", 1).otherwise(0)).alias("bad"))
+    sides = shares.join(spread, [*group, condition, member], "left").groupBy(*group, condition).agg(
+        F.array_sort(F.collect_list(F.struct(F.col(member).cast("string").alias("m"), F.col("share").alias("s"), F.col("mean").alias("v"), F.coalesce("spread", F.lit(0.0)).alias("w")))).alias("x"),
+        F.max("replicates").alias("n"), F.max("bad").alias("bad"), F.sum("mean").alias("total"),
+    )
+    side = lambda k: sides.select(*group, F.col(condition).alias(f"condition_{k}"), *(F.col(c).alias(f"{c}{k}") for c in ("x", "n", "bad", "total")))
+    pairs = side(1).join(F.broadcast(contrasts.select("condition_1", "condition_2")), "condition_1").join(side(2), [*group, "condition_2"])
+    p, q = F.transform("x1", lambda e: e["s"]), F.transform("x2", lambda e: e["s"])
+    entropy = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + F.when(x > 0, -x * F.log(x)).otherwise(0.0))
+    middle = F.zip_with(p, q, lambda a, b: (a + b) / 2)
+    js = F.sqrt(F.greatest(F.lit(0.0), entropy(middle) - (entropy(p) + entropy(q)) / 2))
+    worst = F.greatest(F.coalesce("bad1", F.lit(0)), F.coalesce("bad2", F.lit(0)))
+    empty = (F.size("x1") < 2) | (F.col("total1") <= 0) | (F.col("total2") <= 0)
+    tests = pairs.withColumn("js", F.when(empty, 0.0).otherwise(js))
+    verdict = F.when(empty, "NOTEST").when(worst == 2, "FAIL").when(worst == 1, "LOWDATA").when((F.round("js", 12) == 0) | (F.least("n1", "n2") < least_replicates), "NOTEST").otherwise("OK")
+    tests = tests.withColumn("status", verdict)
+
+    @F.pandas_udf("double")
+    def tail(key: pd.Series, js: pd.Series, v1: pd.Series, w1: pd.Series, n1: pd.Series, v2: pd.Series, w2: pd.Series, n2: pd.Series) -> pd.Series:
+        out = []
+        for k, d, a, s, m, b, t, n in zip(key, js, v1, w1, n1, v2, w2, n2, strict=True):
+            rng = np.random.default_rng([seed, k & 0xFFFFFFFF, (k >> 32) & 0xFFFFFFFF])
+            out.append(_null_tail(d, [(np.asarray(a, float), np.asarray(s, float)), (np.asarray(b, float), np.asarray(t, float))], (int(m), int(n)), draws, rng))
+        return pd.Series(out, dtype=float)
+
+    pick = lambda c, f: F.transform(c, lambda e: e[f])
+    key = F.xxhash64(*(F.col(c).cast("string") for c in group), "condition_1", "condition_2")
+    drawn = tests.where("status = 'OK'").withColumn("p_value", tail(key, "js", pick("x1", "v"), pick("x1", "w"), "n1", pick("x2", "v"), pick("x2", "w"), "n2"))
+    rest = tests.where("status <> 'OK'").withColumn("p_value", F.lit(1.0))
+    return drawn.unionByName(rest).select(*group, "condition_1", "condition_2", "js", "p_value", "status")
+
+
 def specificity(df: DataFrame, item: str, condition: str, value: str) -> DataFrame:
     """(item, condition, specificity): 1 - JS(the item's shares, all in this condition) / JS(two different single conditions)."""
     w = Window.partitionBy(item)

@@ -122,6 +122,22 @@ def js_distance(spark: SparkSession, d: str) -> DataFrame:
     return stats.js_distance(_mix(spark, d), ["cohort"], "a", "b").withColumn("js", F.round("js", 7))
 
 
+@query("split_tests", """WITH v AS (SELECT l_suppkey AS g, l_linenumber AS m, l_returnflag AS c, month(l_shipdate) AS r, sum(round(l_quantity))::DOUBLE AS v FROM lineitem WHERE l_returnflag IN ('A', 'R') GROUP BY ALL),
+a AS (SELECT g, c, m, avg(v) AS mean, count(*) AS n FROM v GROUP BY ALL),
+f AS (SELECT g, c, m, coalesce(mean, 0) AS mean, coalesce(n, 0) AS n FROM (SELECT DISTINCT g, m FROM v) JOIN (SELECT DISTINCT g, c FROM v) USING (g) LEFT JOIN a USING (g, c, m)),
+s AS (SELECT g, c, m, mean / sum(mean) OVER (PARTITION BY g, c) AS p, max(n) OVER (PARTITION BY g, c) AS n FROM f),
+h AS (SELECT x.g, x.p, y.p AS q, (x.p + y.p) / 2 AS k, least(x.n, y.n) AS n FROM s x JOIN s y ON x.g = y.g AND x.m = y.m AND x.c = 'A' AND y.c = 'R'),
+j AS (SELECT g, min(n) AS n, count(*) AS members, sqrt(greatest(0, sum(CASE WHEN k > 0 THEN -k * ln(k) ELSE 0 END) - sum(CASE WHEN p > 0 THEN -p * ln(p) ELSE 0 END + CASE WHEN q > 0 THEN -q * ln(q) ELSE 0 END) / 2)) AS js FROM h GROUP BY g)
+SELECT g AS l_suppkey, 'A' AS condition_1, 'R' AS condition_2, CASE WHEN members < 2 THEN 0 ELSE round(js, 6) END AS js, CASE WHEN members < 2 OR round(js, 12) = 0 OR n < 3 THEN 'NOTEST' ELSE 'OK' END AS status FROM j""")
+def split_tests(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of a supplier's orders as members, return flags as conditions, months as replicates. (p-values are drawn: not in SQL.)"""
+    flags = load(spark, d, "lineitem").where(F.col("l_returnflag").isin("A", "R"))
+    values = flags.groupBy("l_suppkey", F.col("l_linenumber").alias("member"), F.col("l_returnflag").alias("condition"), F.month("l_shipdate").alias("replicate")).agg(F.sum(F.round("l_quantity")).alias("value"))
+    contrasts = spark.createDataFrame([("A", "R")], "condition_1 string, condition_2 string")
+    found = stats.split_tests(values.withColumns({"variance": F.col("value"), "status": F.lit("OK")}), contrasts, ["l_suppkey"], "member", draws=100)
+    return found.select("l_suppkey", "condition_1", "condition_2", F.round("js", 6).alias("js"), "status")
+
+
 @query("specificity", f"WITH {_MIX}, t AS (SELECT cohort, event_type, (a + b) / sum(a + b) OVER (PARTITION BY cohort) AS p FROM m), x AS (SELECT s.cohort, s.event_type, sum(CASE WHEN z.p > 0 THEN -z.p * ln(z.p) ELSE 0 END) AS h, sum(CASE WHEN z.event_type = s.event_type THEN -((z.p + 1) / 2) * ln((z.p + 1) / 2) WHEN z.p > 0 THEN -(z.p / 2) * ln(z.p / 2) ELSE 0 END) AS hm FROM t s JOIN t z USING (cohort) GROUP BY ALL) SELECT cohort, event_type, round(1 - sqrt(greatest(0, hm - h / 2)) / sqrt(ln(2)), 7) AS specificity FROM x")
 def specificity(spark: SparkSession, d: str) -> DataFrame:
     m = _mix(spark, d).withColumn("n", F.col("a") + F.col("b"))

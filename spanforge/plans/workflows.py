@@ -112,6 +112,18 @@ def differential(genes: DataFrame, samples: DataFrame, contrasts: DataFrame, lib
     return judged.select("gene_id", "condition_1", "condition_2", "value_1", "value_2", "status", stats.log2_fold_change(F.col("value_1"), F.col("value_2")).alias("log2_fold_change"), "p_value", "q_value", "significant")
 
 
+def splicing(quantified: DataFrame, samples: DataFrame, contrasts: DataFrame, group: str = "gene_id", member: str = "id", library: str = "library", least_replicates: int = 3, draws: int = 10_000, alpha: float = 0.05) -> DataFrame:
+    """(group, condition_1, condition_2, js, p_value, status, q_value, significant): whether a group's members share its FPKM otherwise.
+
+    quantified has a row for each library and model. Models of a start site as members test splicing, start sites of a gene
+    promoter use, proteins of a gene coding output: sum quantified to the member first. q-values are over all tests together.
+    """
+    rows = quantified.join(F.broadcast(samples), library).select(group, member, "condition", F.col("fpkm").alias("value"), "status")
+    spread = rows.groupBy(group, member, "condition").agg(F.coalesce(F.var_samp("value"), F.lit(0.0)).alias("variance"))
+    tests = stats.split_tests(rows.join(spread, [group, member, "condition"]), contrasts, [group], member, least_replicates=least_replicates, draws=draws)
+    return stats.fdr(tests, id=[group, "condition_1", "condition_2"], alpha=alpha)
+
+
 def time_series(conditions: DataFrame, condition: str, order: str) -> DataFrame:
     """Contrasts of consecutive conditions. There are few: they are ordered in one task."""
     w = Window.orderBy(order)

@@ -67,3 +67,26 @@ def test_bundles_by_annotation(spark):
     assert sorted(r.read_id for r in workflows.bundled_by(reads, models, "reference").collect()) == ["a", "b"]
     got = {r.read_id: r.bundle for r in workflows.bundled_by(reads, models, "guided").collect()}
     assert got["a"] == got["b"] == got["d"] != got["e"]
+
+
+def test_splicing(spark):
+    rng = random.Random(3)
+    rows = []
+    for lib, condition in [(f"{c}{k}", c) for c in "xy" for k in range(3)]:
+        for gene, shares in {"turned": {"x": (90, 10), "y": (10, 90)}, "same": {"x": (60, 40), "y": (60, 40)}, "one": {"x": (5,), "y": (9,)}, "gone": {"x": (5, 6), "y": (0, 0)}}.items():
+            rows += [(lib, gene, f"{gene}{k}", v * rng.uniform(0.9, 1.1), "OK") for k, v in enumerate(shares[condition])]
+        rows += [(lib, "low", f"low{k}", 3.0 + (k if condition == "x" else 0), "LOWDATA" if k else "OK") for k in range(2)]
+    q = spark.createDataFrame(rows, "library string, gene_id string, id string, fpkm double, status string")
+    samples = spark.createDataFrame([(f"{c}{k}", c) for c in "xy" for k in range(3)], "library string, condition string")
+    contrasts = spark.createDataFrame([("x", "y")], "condition_1 string, condition_2 string")
+    got = {r.gene_id: r for r in workflows.splicing(q, samples, contrasts, draws=2000).collect()}
+    assert {k: r.status for k, r in got.items()} == {"turned": "OK", "same": "OK", "one": "NOTEST", "gone": "NOTEST", "low": "LOWDATA"}
+    assert got["turned"].significant and got["turned"].js > 0.5 and not got["same"].significant and got["one"].p_value == 1
+    again = workflows.splicing(q.repartition(5), samples, contrasts, draws=2000).collect()
+    assert {r.gene_id: r.p_value for r in again} == {k: r.p_value for k, r in got.items()}
+    assert {r.status for r in workflows.splicing(q, samples, contrasts, least_replicates=4, draws=50).collect()} == {"NOTEST", "LOWDATA"}
+    # Its test is no more often significant than it should be where nothing differs.
+    null = [(f"{c}{k}", f"g{g}", f"g{g}.{m}", rng.gammavariate(20, 1), "OK") for c in "xy" for k in range(4) for g in range(60) for m in range(3)]
+    four = spark.createDataFrame([(f"{c}{k}", c) for c in "xy" for k in range(4)], "library string, condition string")
+    tests = workflows.splicing(spark.createDataFrame(null, q.schema), four, contrasts, draws=500).collect()
+    assert len(tests) == 60 and sum(r.p_value < 0.05 for r in tests) <= 12
