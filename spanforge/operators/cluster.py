@@ -76,7 +76,7 @@ def js_kmeans_step(points: DataFrame, centres: DataFrame, id: str, item: str, p:
 
 def js_kmeans(points: DataFrame, k: int, id: str, item: str, p: str, rounds: int = 10) -> DataFrame:
     """(id, centre, distance) after rounds of assignment and means, from the k points of least hash. Items absent from a row must be there as 0."""
-    seeds = points.select(id).distinct().orderBy(F.xxhash64(F.col(id).cast("string")), id).limit(k).rdd.map(lambda r: r[0]).collect()
+    seeds = [r[0] for r in points.select(id).distinct().orderBy(F.xxhash64(F.col(id).cast("string")), id).limit(k).collect()]
     number = F.create_map(*(F.lit(x) for pair in zip(seeds, range(len(seeds)), strict=True) for x in pair))
     centres = points.where(F.col(id).isin(seeds)).select(number[F.col(id)].alias("centre"), item, F.col(p).alias("q"))
     for _ in range(rounds):

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 def gtf_attributes(text: Column) -> Column:
     """Column 9 as a map: key "value"; pairs, or key=value; pairs with percent escapes."""
-    gtf = F.regexp_extract_all(text, F.lit(r'([A-Za-z_][A-Za-z0-9_.]*) +"?([^";]*)"?'), 1), F.regexp_extract_all(text, F.lit(r'([A-Za-z_][A-Za-z0-9_.]*) +"?([^";]*)"?'), 2)
+    pair = F.lit(r'([A-Za-z_][A-Za-z0-9_.]*) +(?:"([^"]*)"|([^";\s][^";]*))')
+    quoted, bare = F.regexp_extract_all(text, pair, F.lit(2)), F.regexp_extract_all(text, pair, F.lit(3))
+    gtf = F.regexp_extract_all(text, pair, F.lit(1)), F.zip_with(quoted, bare, lambda x, y: F.concat(F.coalesce(x, F.lit("")), F.coalesce(y, F.lit(""))))
     gff = F.regexp_extract_all(text, F.lit(r"([^=;]+)=([^;]*)"), 1), F.transform(F.regexp_extract_all(text, F.lit(r"([^=;]+)=([^;]*)"), 2), lambda v: F.coalesce(F.try_url_decode(F.replace(v, F.lit("+"), F.lit("%2B"))), v))
     pairs = F.when(text.rlike(r"^\s*[^ \"=;]+="), F.arrays_zip(F.transform(gff[0], lambda k: F.trim(k)).alias("k"), gff[1].alias("v"))).otherwise(F.arrays_zip(gtf[0].alias("k"), gtf[1].alias("v")))
     # The first of equal keys counts.
@@ -53,7 +55,9 @@ def transcripts(found: DataFrame, gap: int = 0) -> DataFrame:
 
 def fasta(spark: SparkSession, path: str) -> DataFrame:
     """(name, length, seq): one row for each record. Whole records are read, so one must fit a task."""
-    records = spark.read.option("lineSep", ">").text(path).where(F.length(F.trim("value")) > 0)
+    # A record begins with ">" at the start of a line; in a header it is a character like any other.
+    whole = F.regexp_replace("value", r"^>", "")
+    records = spark.read.option("lineSep", "\n>").text(path).select(whole.alias("value")).where(F.length(F.trim("value")) > 0)
     head = F.substring_index("value", "\n", 1)
     seq = F.regexp_replace(F.substr("value", F.length(head) + 1), r"\s", "")
     return records.select(F.regexp_extract(head, r"^(\S+)", 1).alias("name"), F.length(seq).alias("length"), seq.alias("seq"))

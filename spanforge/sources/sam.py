@@ -36,12 +36,13 @@ def header(spark: SparkSession, path: str) -> DataFrame:
 def alignments(spark: SparkSession, path: str, soft_clip: str = "reference", longest_intron: int = LONGEST_INTRON) -> DataFrame:
     """Mapped records: read_id, flag, contig, left (0-based), right, read_len, cigar, mate_left, strand, nm, nh, mass.
 
-    Records that are unmapped, have an operation without length, an intron over the limit or a mate on another contig are
+    Records that are unmapped, have an unknown operation or one without length, an intron over the limit or a mate on another contig are
     left out. soft_clip='reference' lets clipped bases take up reference, 'standard' doesn't.
     """
     rows = spark.read.text(path).where(~F.startswith("value", F.lit("@"))).select(F.split("value", "\t").alias("f")).where(F.size("f") >= 11)
     f = lambda k: F.get(F.col("f"), F.lit(k))
-    parsed = rows.select(
+    # A record with an operation that isn't known goes as a whole.
+    parsed = rows.where(f(5).rlike(r"^([0-9]+[MIDNSHP=X])+$")).select(
         f(0).alias("read_id"), f(1).cast("int").alias("flag"), f(2).alias("contig"), (f(3).cast("int") - 1).alias("left"),
         F.filter(cigar(f(5)), lambda x: x["op"] != "H").alias("cigar"), f(6).alias("mate_contig"),
         F.when(f(6) == "*", None).otherwise(f(7).cast("int") - 1).alias("mate_left"), F.slice("f", 12, 1_000).alias("tags"),
@@ -49,12 +50,12 @@ def alignments(spark: SparkSession, path: str, soft_clip: str = "reference", lon
     mapped = (F.col("flag").bitwiseAND(4) == 0) & (F.col("contig") != "*") & (F.size("cigar") > 0)
     kept = parsed.where(mapped & (F.col("mate_contig").isin("=", "*") | (F.col("mate_contig") == F.col("contig"))))
     kept = kept.where(F.forall("cigar", lambda x: (x["len"] > 0) & ((x["op"] != "N") | (x["len"] <= longest_intron))))
-    takes = "MNDS" if soft_clip == "reference" else "MND"
+    takes = "MNDS=X" if soft_clip == "reference" else "MND=X"
     ops, tags = F.col("cigar"), F.col("tags")
     nh = F.coalesce(tag(tags, "NH").cast("int"), F.lit(1))
     single = is_single(F.col("left"), F.col("mate_left"), F.lit(True))
     return kept.select(
-        "read_id", "flag", "contig", "left", (F.col("left") + cigar_sum(ops, takes)).alias("right"), cigar_sum(ops, "MIS").alias("read_len"), "cigar", "mate_left",
+        "read_id", "flag", "contig", "left", (F.col("left") + cigar_sum(ops, takes)).alias("right"), cigar_sum(ops, "MIS=X").alias("read_len"), "cigar", "mate_left",
         F.coalesce(tag(tags, "XS"), F.lit(".")).alias("strand"), F.coalesce(tag(tags, "NM").cast("int"), F.lit(0)).alias("nm"), nh.alias("nh"), raw_mass(nh.cast("double"), single).alias("mass"),
     )
 

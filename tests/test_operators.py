@@ -248,3 +248,14 @@ def test_ranges_give_what_whole_groups_give(spark):
         near = intervals.nearest_preceding(df.where("side = 0"), df.where("side = 1").withColumn("v", F.col("k") * 2).select("g", "lo", "v"), ["g"], "lo", "v", 50, width=width).select("k", "v_before").collect()
         got[width] = [sorted(map(repr, x)) for x in (islands, depth, near)]
     assert all(x == got[None] for x in got.values())
+
+
+def test_sources_with_odd_records(spark, tmp_path):
+    (tmp_path / "a.sam").write_text("".join(f"{n}\t0\tc\t11\t255\t{c}\t*\t0\t0\t*\t*\n" for n, c in [("m", "5=1X4="), ("u", "5M2Z3M"), ("e", "*"), ("s", "3=2S")]))
+    got = {r.read_id: (r.right, r.read_len) for r in sam.alignments(spark, str(tmp_path / "a.sam")).collect()}
+    assert got == {"m": (20, 10), "s": (15, 5)}
+    (tmp_path / "a.gtf").write_text('c\ts\texon\t1\t9\t.\t+\t.\tgene_id "a; b"; transcript_id t1 ; note "x ""; level 2;\n')
+    (row,) = gff.features(spark, str(tmp_path / "a.gtf")).collect()
+    assert row.attributes["gene_id"] == "a; b" and row.attributes["transcript_id"].strip() == "t1" and row.attributes["level"] == "2"
+    (tmp_path / "a.fa").write_text(">one a>b\nACG\nT\n>two\nGG\n>\n")
+    assert sorted((r.name, r.seq) for r in gff.fasta(spark, str(tmp_path / "a.fa")).collect() if r["name"]) == [("one", "ACGT"), ("two", "GG")]
