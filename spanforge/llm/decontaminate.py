@@ -256,4 +256,9 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
 
 
 def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, item_id, similarity, first_word, n_words) for every document and benchmark item that it holds, over whole tables.
+
+    Null, empty and blank texts and items hold and match nothing; a very long text is scanned whole, in one slice; of windows
+    that tie the first is named; repeated rows are each reported; an empty table on either side gives an empty one.
+    """
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -308,4 +308,8 @@ def without_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", win
 
 
 def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every document; the cases are those of without_repeats.
+
+    Very long texts are worked on in stretches; an empty table gives an empty one.
+    """
     return without_repeats(table(spark, sf_dir, "documents")).drop("kept")

@@ -331,4 +331,5 @@ def extracted(pages: DataFrame, id: str = "page_id", url: str = "url", html: str
 
 
 def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(page_id, url, text, n_chars) of every page; the cases are those of extracted. Repeated rows each get a row."""
     return extracted(table(spark, sf_dir, "pages"))

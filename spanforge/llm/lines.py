@@ -139,6 +139,11 @@ def without_repeated_lines(docs: DataFrame, id: str = "doc_id", text: str = "tex
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, n_lines, n_removed, n_runs, kept_chars, kept_sha256) of every document after without_repeated_lines.
+
+    Null is the empty text, of one line; the cases of ties, repeated rows and rows without id are those of that operator; a very
+    long text is worked on whole; an empty table gives an empty one.
+    """
     found = without_repeated_lines(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_lines", "n_removed", "n_runs", F.char_length("text").cast("long").alias("kept_chars"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 

@@ -155,6 +155,7 @@ def mixed(docs: DataFrame, targets: dict[str, DataFrame] | None = None, id: str
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, source, lang, topic, tokens, probability, sampled) of every document; the cases are those of calibrated."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
     return calibrated(docs).select("doc_id", F.col("__cell.source").alias("source"), F.col("__cell.lang").alias("lang"), F.col("__cell.topic").alias("topic"), F.col("__cell.tokens").alias("tokens"), F.col("__probability").alias("probability"), F.col("__sampled").alias("sampled"))
 

@@ -205,5 +205,11 @@ def filtered(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, n_words, base figures, base_failed, score, kept) of every document, by the model fitted on documents and labels.
+
+    Null, empty and blank texts have no words and fail the base rules; a very long text is judged whole; a score equal to the
+    threshold is kept; repeated rows are each judged; without labels of both kinds only the base rules reject; an empty
+    table gives an empty one.
+    """
     docs = table(spark, sf_dir, "documents")
     return judged(docs, fit(docs, table(spark, sf_dir, "labels")))

@@ -244,4 +244,8 @@ def one_of_each_group(docs: DataFrame, id: str = "doc_id", text: str = "text", *
 
 
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, fingerprint, component_id) of every document, links at two bits; the cases are those of near_duplicates.
+
+    A very long text is hashed whole, in one slice; an empty table gives an empty one.
+    """
     return near_duplicates(table(spark, sf_dir, "documents"))

@@ -367,6 +367,11 @@ def written_and_read(docs: DataFrame, tokenizer: str, id: str = "doc_id", text:
 
 
 def op10_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32) of every document, read back from the files: null and empty texts have the end id alone.
+
+    Rows without id come first, rows that share an id in order of their texts (all of one id are written by one task); very
+    long texts are encoded in pieces; an empty table gives an empty one.
+    """
     import public_tokenizers
 
     return written_and_read(table(spark, sf_dir, "documents"), str(public_tokenizers.path(TOKENIZER)))

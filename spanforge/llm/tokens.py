@@ -424,6 +424,11 @@ def token_counts(docs: DataFrame, tokenizer: str, id: str = "doc_id", text: str
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, n_bytes, n_tokens, over_limit) of every document; null and empty texts have none.
+
+    Very long texts are counted in pieces that begin with a word; repeated rows are each counted; an empty table gives an
+    empty one.
+    """
     import public_tokenizers
 
     return token_counts(table(spark, sf_dir, "documents"), str(public_tokenizers.path(TOKENIZER)))

@@ -213,6 +213,11 @@ def archive(pages: DataFrame, path: str, id: str = "page_id", url: str = "url",
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(page_id, payload_bytes, payload_digest, record_type, refers_to) of every page, read back from the archive written.
+
+    Null html is an empty payload. A page that is there twice gives two records; equal payloads refer to the least page_id,
+    rows without an id are responses. A very long page is one record of one frame. An empty table gives an empty one.
+    """
     return archive(table(spark, sf_dir, "pages"), fresh_path(spark, "warc")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
