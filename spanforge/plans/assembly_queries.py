@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,8 @@ from spanforge.operators import assemble, compare, dispersion, filters, interval
 from spanforge.plans.interval_queries import load, order_spans, units
 from spanforge.plans.registry import query
 from spanforge.plans.statistics_queries import counts
+from spanforge.session import shared_dir
+from spanforge.sources import gff, sam
 
 _LINE_EXONS = """l AS (SELECT DISTINCT l_orderkey, l_suppkey % 3 AS dataset, epoch_us(l_shipdate) // 86400000000 AS d FROM lineitem),
 s AS (SELECT *, CASE WHEN d > max(d) OVER (PARTITION BY l_orderkey, dataset ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 10 THEN 1 ELSE 0 END AS new FROM l),
@@ -130,6 +134,30 @@ def assembly(spark: SparkSession, d: str) -> DataFrame:
     return assemble.assembled(m.select("contig", "strand", blocks.alias("blocks"), F.lit(1.0).alias("mass")), "contig", "strand", "blocks", "mass")
 
 
+def _fresh(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query("gtf_round_trip", f"WITH {_LINE_EXONS} SELECT l_orderkey || '.' || dataset AS id, 'g' || l_orderkey AS gene_id, l_orderkey::VARCHAR AS contig, lo, hi FROM x")
+def gtf_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """The models written as GTF and read again."""
+    path = _fresh(spark, "models-gtf")
+    m = order_models(spark, d).withColumns({"gene_id": F.concat(F.lit("g"), "contig"), "fpkm": F.lit(1.0)})
+    gff.as_gtf(m).select("value").write.text(path)
+    back = gff.transcripts(gff.features(spark, path))
+    return back.select("id", "gene_id", "contig", F.explode("exons").alias("e")).select("id", "gene_id", "contig", "e.lo", "e.hi")
+
+
+@query("sam_round_trip", f"WITH {_LINE_EXONS} SELECT l_orderkey || '.' || dataset AS id, l_orderkey::VARCHAR AS contig, lo, hi FROM x")
+def sam_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """The models written as spliced alignments and read again: their matches."""
+    path = _fresh(spark, "models-sam")
+    sam.as_sam(order_models(spark, d).withColumn("fpkm", F.lit(1.0))).write.text(path)
+    matches = F.filter("ops", lambda x: x["op"] == "MATCH")
+    back = sam.operations(sam.alignments(spark, path)).select(F.col("read_id").alias("id"), "contig", F.explode(matches).alias("e"))
+    return back.select("id", "contig", (F.col("e.lo") + 1).alias("lo"), F.col("e.hi").alias("hi"))
+
+
 @query("dispersion_fit")
 def dispersion_fit(spark: SparkSession, d: str) -> DataFrame:
     """Variance over libraries of each part's counts against its mean, and the model's value at each part."""

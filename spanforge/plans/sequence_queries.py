@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanforge.functions import sequence
 from spanforge.plans.interval_queries import load
 from spanforge.plans.registry import query
+from spanforge.session import shared_dir
+from spanforge.sources.gff import fasta
 
 _BASES = "translate(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')), 'BDEFHIJKLMNOPQRSUVWXYZ', 'ACGTACGTACGTACGTACGTAC')"
 
@@ -51,6 +55,15 @@ def codon_translate_whole(spark: SparkSession, d: str) -> DataFrame:
     return proteins.select("doc_id", F.length("protein").cast("long").alias("length"), F.md5(F.col("protein").cast("binary")).alias("digest"))
 
 
+@query("fasta_round_trip", f"WITH s AS (SELECT doc_id, {_BASES} AS seq FROM documents) SELECT doc_id::VARCHAR AS name, length(seq) AS length, md5(seq) AS digest FROM s WHERE length(seq) > 0")
+def fasta_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Each text's letters written as a wrapped FASTA record and read again."""
+    path = f"{shared_dir(spark)}/bases-{uuid.uuid4().hex}"
+    records = bases(spark, d).where(F.length("seq") > 0)
+    records.select(sequence.wrapped(F.col("doc_id").cast("string"), F.col("seq")).alias("value")).write.text(path)
+    return fasta(spark, path).select("name", F.col("length").cast("bigint").alias("length"), F.md5(F.col("seq").cast("binary")).alias("digest"))
+
+
 @query("gff_attributes", r"""SELECT page_id, nullif(regexp_extract(url, '[?&]page=([^&#]*)', 1), '') AS page, nullif(regexp_extract(url, '[?&]ref=([^&#]*)', 1), '') AS ref FROM pages""")
 def gff_attributes(spark: SparkSession, d: str) -> DataFrame:
     """The query string of each page's address as key=value attributes."""

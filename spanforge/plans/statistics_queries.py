@@ -231,11 +231,13 @@ def resampling_test(spark: SparkSession, d: str) -> DataFrame:
     return stats.resampled_p(s, "l_partkey", "a", "va", "b", "vb")
 
 
-@query("bad_splices")
+@query("bad_splices", """WITH r AS (SELECT l_partkey, count(*) AS n, count(*) FILTER (WHERE l_quantity <= 5) AS small FROM lineitem GROUP BY ALL),
+t AS (SELECT l_partkey, n, small, sum(exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln(0.1) + (n - j) * ln(0.9))) AS p FROM (SELECT *, unnest(range(small, n + 1)) AS j FROM r WHERE small > 0) GROUP BY ALL)
+SELECT l_partkey, n, small, round(p, 9) AS p_value FROM t WHERE p < 0.05""")
 def bad_splices(spark: SparkSession, d: str) -> DataFrame:
     """Parts as junctions, lines as reads; a small quantity is a small anchor."""
     reads = load(spark, d, "lineitem").groupBy("l_partkey").agg(F.count("*").alias("n"), F.count_if(F.col("l_quantity") <= 5).alias("small"))
-    return stats.bad_junctions(reads, "n", "small", 0.1, 0.05)
+    return stats.bad_junctions(reads, "n", "small", 0.1, 0.05).withColumn("p_value", F.round("p_value", 9))
 
 
 @query("kmeans_assign")
