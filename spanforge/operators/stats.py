@@ -143,7 +143,7 @@ def split_tests(members: DataFrame, contrasts: DataFrame, group: Sequence[str],
 
     pick = lambda c, f: F.transform(c, lambda e: e[f])
     key = F.xxhash64(*(F.col(c).cast("string") for c in group), "condition_1", "condition_2")
-    drawn = tests.where("status = 'OK'").withColumn("p_value", tail(key, "js", pick("x1", "v"), pick("x1", "w"), "n1", pick("x2", "v"), pick("x2", "w"), "n2"))
+    drawn = tests.where("status = 'OK'").repartition(members.sparkSession.sparkContext.defaultParallelism, *group).withColumn("p_value", tail(key, "js", pick("x1", "v"), pick("x1", "w"), "n1", pick("x2", "v"), pick("x2", "w"), "n2"))
     rest = tests.where("status <> 'OK'").withColumn("p_value", F.lit(1.0))
     return drawn.unionByName(rest).select(*group, "condition_1", "condition_2", "js", "p_value", "status")
 
@@ -209,4 +209,6 @@ def resampled_p(df: DataFrame, id: str, mean_a: str, var_a: str, mean_b: str, va
                 ps.append(max(1 / draws, float((np.abs(null) >= abs(seen)).mean())))
             yield pd.DataFrame({"id": pdf.id, "log2_fold_change": folds, "p_value": ps})
 
-    return narrow.mapInPandas(run, "id string, log2_fold_change double, p_value double").withColumnRenamed("id", id)
+    # Rows are short and their draws long: as many tasks as there are cores, however few bytes they hold.
+    dealt = narrow.repartition(df.sparkSession.sparkContext.defaultParallelism, "h")
+    return dealt.mapInPandas(run, "id string, log2_fold_change double, p_value double").withColumnRenamed("id", id)
