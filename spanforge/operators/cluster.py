@@ -49,6 +49,20 @@ def exon_loci(df: DataFrame, id: str, contig: str, strand: str, exons: str, bin:
     return df.join(found.withColumnRenamed("component", "locus"), id)
 
 
+def annotated_clusters(df: DataFrame, id: str, keys: Sequence[str]) -> DataFrame:
+    """df with cluster: the least id of the rows linked by equal values of any of the keys (gene, start site or protein ids).
+
+    Each value links its rows to the least of them, so that there are as many links as rows. Nulls link nothing.
+    """
+    edges = None
+    for k in keys:
+        rows = df.where(F.col(k).isNotNull()).select(F.col(k).alias("__k"), F.col(id).alias("__id"))
+        pairs = rows.join(rows.groupBy("__k").agg(F.min("__id").alias("__first")), "__k").where("__id <> __first").select("__id", "__first")
+        edges = pairs if edges is None else edges.union(pairs)
+    found = label_components(df, edges.distinct(), id, "__id", "__first").withColumnRenamed("component", "cluster")
+    return df.join(found, id)
+
+
 def overlap_loci(df: DataFrame, id: str, group: Sequence[str], bin: int = 10_000) -> DataFrame:
     """df(id, group, lo, hi) with locus, from the pairs of a range join; for links that are not chains of islands."""
     pairs = range_join(df.select(id, *group, "lo", "hi"), df.select(id, *group, "lo", "hi"), group, bin=bin).where(F.col(id) < F.col(f"{id}_r"))

@@ -23,6 +23,11 @@ def junctions(reads: DataFrame, read_id: str, contig: str, ops: str, anchor: int
     return each.groupBy(contig, F.col("j.lo").alias("lo"), F.col("j.hi").alias("hi")).agg(F.count("*").alias("n"), F.count_if(F.least("j.left", "j.right") < anchor).alias("small"), F.count_if(F.col("nh") > many).alias("multi"))
 
 
+def multimapping_junctions(junctions: DataFrame, n: str = "n", multi: str = "multi", fraction: float = 0.5) -> DataFrame:
+    """Junctions of whose reads more than fraction map to many places."""
+    return junctions.where((F.col(n) > 0) & (F.col(multi) / F.col(n) > fraction))
+
+
 def without_bad_junctions(reads: DataFrame, bad: DataFrame, contig: str, ops: str, id: str) -> DataFrame:
     """reads without those that use a junction(contig, lo, hi) of bad."""
     uses = reads.select(id, contig, F.explode(F.filter(ops, lambda x: x["op"] == "INTRON")).alias("j")).select(id, contig, F.col("j.lo").alias("lo"), F.col("j.hi").alias("hi"))

@@ -86,3 +86,21 @@ def rolled_up(df: DataFrame, levels: dict[str, Sequence[str]], sums: Sequence[st
         level = F.when(F.col("__g") == bits, name).otherwise(level)
         key = F.when(F.col("__g") == bits, F.concat_ws("|", *(F.col(c).cast("string") for c in keys))).otherwise(key)
     return found.select(level.alias("level"), key.alias("key"), *sums)
+
+
+def group_effective_length(members: DataFrame, group: Sequence[str], length: str, fpkm: str) -> DataFrame:
+    """(group, effective_length): its members' effective lengths, each weighted by its share of the group's FPKM; 0 without any."""
+    total, weighted = F.sum(fpkm), F.sum(F.col(length) * F.col(fpkm))
+    return members.groupBy(*group).agg(F.when(total == 0, 0.0).otherwise(weighted / total).alias("effective_length"))
+
+
+def id_sets(members: DataFrame, group: Sequence[str], ids: Sequence[str]) -> DataFrame:
+    """(group, ids): for each group the different ids of its members in order, joined by ','; '-' where it has none."""
+    known = lambda c: F.collect_set(F.when(F.col(c).cast("string") != "", F.col(c).cast("string")))
+    sets = members.groupBy(*group).agg(*(F.array_sort(known(c)).alias(c) for c in ids))
+    return sets.select(*group, *(F.when(F.size(c) == 0, "-").otherwise(F.array_join(c, ",")).alias(c) for c in ids))
+
+
+def replicate_means(rows: DataFrame, id: Sequence[str], values: Sequence[str], replicates: int) -> DataFrame:
+    """(id, values): means over a condition's replicates; one in which the id isn't there counts as 0."""
+    return rows.groupBy(*id).agg(*((F.sum(v) / replicates).alias(v) for v in values))

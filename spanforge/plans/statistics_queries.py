@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanforge.operators import abundance, cluster, normalize, stats
+from spanforge.operators import abundance, cluster, filters, fragments, normalize, stats
 from spanforge.plans import workflows
 from spanforge.plans.interval_queries import load
 from spanforge.plans.registry import query
@@ -215,6 +215,38 @@ def cluster_components_all_orders(spark: SparkSession, d: str) -> DataFrame:
     return cluster_components(spark, d)
 
 
+@query("group_effective_length", "WITH c AS (SELECT l_partkey, sum(round(l_quantity))::DOUBLE AS q FROM lineitem GROUP BY ALL) SELECT p_brand, round(CASE WHEN sum(q) = 0 THEN 0 ELSE sum(p_size * q) / sum(q) END, 6) AS effective_length FROM part JOIN c ON p_partkey = l_partkey GROUP BY p_brand")
+def group_effective_length(spark: SparkSession, d: str) -> DataFrame:
+    q = load(spark, d, "lineitem").groupBy("l_partkey").agg(F.sum(F.round("l_quantity")).alias("q"))
+    members = load(spark, d, "part").join(q, F.col("p_partkey") == F.col("l_partkey"))
+    return fragments.group_effective_length(members, ["p_brand"], "p_size", "q").withColumn("effective_length", F.round("effective_length", 6))
+
+
+@query("id_sets", "SELECT l_orderkey, string_agg(DISTINCT l_returnflag, ',' ORDER BY l_returnflag) AS l_returnflag, coalesce(string_agg(DISTINCT nullif(CASE WHEN l_quantity > 25 THEN l_suppkey::VARCHAR ELSE '' END, ''), ',' ORDER BY nullif(CASE WHEN l_quantity > 25 THEN l_suppkey::VARCHAR ELSE '' END, '')), '-') AS large FROM lineitem GROUP BY ALL")
+def id_sets(spark: SparkSession, d: str) -> DataFrame:
+    lines = load(spark, d, "lineitem").withColumn("large", F.when(F.col("l_quantity") > 25, F.col("l_suppkey").cast("string")).otherwise(""))
+    return fragments.id_sets(lines, ["l_orderkey"], ["l_returnflag", "large"])
+
+
+@query("replicate_means", "SELECT l_partkey, round(sum(l_quantity) / 3, 6) AS l_quantity, round(sum(l_discount) / 3, 6) AS l_discount FROM lineitem GROUP BY ALL")
+def replicate_means(spark: SparkSession, d: str) -> DataFrame:
+    """Return flags as the three replicates of a part."""
+    rows = load(spark, d, "lineitem").groupBy("l_partkey", "l_returnflag").agg(F.sum("l_quantity").alias("l_quantity"), F.sum("l_discount").alias("l_discount"))
+    means = fragments.replicate_means(rows, ["l_partkey"], ["l_quantity", "l_discount"], 3)
+    return means.select("l_partkey", F.round("l_quantity", 6).alias("l_quantity"), F.round("l_discount", 6).alias("l_discount"))
+
+
+@query("multimapping_junctions", "SELECT l_partkey, count(*) AS n, count(*) FILTER (WHERE l_tax > 0.04) AS multi FROM lineitem GROUP BY ALL HAVING multi / n > 0.5")
+def multimapping_junctions(spark: SparkSession, d: str) -> DataFrame:
+    reads = load(spark, d, "lineitem").groupBy("l_partkey").agg(F.count("*").alias("n"), F.count_if(F.col("l_tax") > 0.04).alias("multi"))
+    return filters.multimapping_junctions(reads)
+
+
+@query("annotated_clusters", "SELECT s_suppkey, min(s_suppkey) OVER (PARTITION BY s_nationkey) AS cluster FROM supplier")
+def annotated_clusters(spark: SparkSession, d: str) -> DataFrame:
+    return cluster.annotated_clusters(load(spark, d, "supplier").select("s_suppkey", "s_nationkey"), "s_suppkey", ["s_nationkey"]).select("s_suppkey", "cluster")
+
+
 @query("em_mixture")
 def em_mixture(spark: SparkSession, d: str) -> DataFrame:
     """Orders as fragments, suppliers as models, the nation's suppliers as a locus; closer parts are likelier."""

@@ -46,3 +46,15 @@ def write_tsv(df: DataFrame, path: str) -> None:
 def as_gct(wide: DataFrame, name: str, description: str, conditions: Sequence[str]) -> DataFrame:
     """The rows of a GCT matrix (without its two counts of header): name, description, values."""
     return wide.select(F.col(name).cast("string").alias("Name"), F.coalesce(F.col(description).cast("string"), F.lit("na")).alias("Description"), *conditions)
+
+
+def as_test_table(tests: DataFrame) -> DataFrame:
+    """The fourteen columns of a table of tests, from test_id, gene_id, gene, locus, condition_1, condition_2, status, value_1,
+    value_2, log2_fold_change, test_stat, p_value, q_value and significant; '-' for names that aren't there."""
+    name = lambda c: F.coalesce(F.nullif(F.col(c).cast("string"), F.lit("")), F.lit("-")).alias(c)
+    number = lambda c, missing: F.coalesce(F.col(c).cast("double"), F.lit(missing))
+    return tests.select(
+        "test_id", name("gene_id"), name("gene"), name("locus"), F.col("condition_1").alias("sample_1"), F.col("condition_2").alias("sample_2"), "status",
+        number("value_1", 0.0).alias("value_1"), number("value_2", 0.0).alias("value_2"), number("log2_fold_change", 0.0).alias("log2(fold_change)"), number("test_stat", 0.0).alias("test_stat"),
+        number("p_value", 1.0).alias("p_value"), number("q_value", 1.0).alias("q_value"), F.when(F.col("significant"), "yes").otherwise("no").alias("significant"),
+    )

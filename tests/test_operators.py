@@ -259,3 +259,22 @@ def test_sources_with_odd_records(spark, tmp_path):
     assert row.attributes["gene_id"] == "a; b" and row.attributes["transcript_id"].strip() == "t1" and row.attributes["level"] == "2"
     (tmp_path / "a.fa").write_text(">one a>b\nACG\nT\n>two\nGG\n>\n")
     assert sorted((r.name, r.seq) for r in gff.fasta(spark, str(tmp_path / "a.fa")).collect() if r["name"]) == [("one", "ACGT"), ("two", "GG")]
+
+
+def test_clusters_by_two_keys(spark):
+    df = spark.createDataFrame([(1, "a", None), (2, "a", "x"), (3, "b", "x"), (4, "c", None), (5, None, None)], "id int, gene string, tss string")
+    assert {r.id: r.cluster for r in cluster.annotated_clusters(df, "id", ["gene", "tss"]).collect()} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5}
+
+
+def test_table_of_tests(spark):
+    rows = [("t", "g", None, "", "a", "b", "OK", 1.0, 2.0, 1.0, None, 0.01, 0.02, True), ("u", None, None, None, "a", "b", "NOTEST", None, None, None, None, None, None, False)]
+    df = spark.createDataFrame(rows, "test_id string, gene_id string, gene string, locus string, condition_1 string, condition_2 string, status string, value_1 double, value_2 double, log2_fold_change double, test_stat double, p_value double, q_value double, significant boolean")
+    got = tables.as_test_table(df)
+    assert len(got.columns) == 14
+    assert sorted(map(tuple, got.collect())) == [("t", "g", "-", "-", "a", "b", "OK", 1.0, 2.0, 1.0, 0.0, 0.01, 0.02, "yes"), ("u", "-", "-", "-", "a", "b", "NOTEST", 0.0, 0.0, 0.0, 0.0, 1.0, 1.0, "no")]
+
+
+def test_groups_without_ids_or_fpkm(spark):
+    df = spark.createDataFrame([("g", "", 10.0, 0.0), ("g", None, 20.0, 0.0), ("h", "b", 10.0, 1.0), ("h", "a", 40.0, 2.0)], "g string, name string, len double, fpkm double")
+    assert {r.g: r.name for r in fragments.id_sets(df, ["g"], ["name"]).collect()} == {"g": "-", "h": "a,b"}
+    assert {r.g: r.effective_length for r in fragments.group_effective_length(df, ["g"], "len", "fpkm").collect()} == {"g": 0.0, "h": 30.0}
