@@ -117,17 +117,39 @@ def _induce(s: np.ndarray, small: np.ndarray, lms: np.ndarray, size: int) -> np.
     return sa
 
 
-def _same(s: np.ndarray, a: np.ndarray, b: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """Whether s[a:a + length] equals s[b:b + length]."""
-    out = np.ones(len(a), bool)
-    live = np.flatnonzero(length > 0)
-    off = 0
+def names(s: np.ndarray, small: np.ndarray, lms: np.ndarray, size: int) -> np.ndarray:
+    """The rank, from 0, of each leftmost-smaller substring: from one LMS place up to the next, which is part of it.
+
+    Characters are told apart by type as well (L-type first), so that no substring is the beginning of another; the last one
+    runs to the end of the string, which is less than any character. Several characters make one key; what is still equal
+    is sorted by the next ones.
+    """
+    bits = (2 * size).bit_length()
+    per = 63 // bits
+    code = np.append(s * 2 + small + 1, 0)
+    end = np.append(lms[1:], len(s) - 1)
+    rank, live, off = np.zeros(len(lms), np.int64), np.arange(len(lms)), 0
     while len(live):
-        differ = s[a[live] + off] != s[b[live] + off]
-        out[live[differ]] = False
-        off += 1
-        live = live[~differ & (length[live] > off)]
-    return out
+        at, stop = lms[live] + off, end[live]
+        key = np.zeros(len(live), np.int64)
+        for k in range(per):
+            key = (key << bits) | np.where(at + k <= stop, code[np.minimum(at + k, len(s))], 0)
+        order = np.lexsort((key, rank[live])) if off else np.argsort(key, kind="stable")
+        live, key = live[order], key[order]
+        group = rank[live]
+        place = np.arange(len(live))
+        first_of_group = np.maximum.accumulate(np.where(np.diff(group, prepend=-1) != 0, place, 0))
+        new = np.append(True, (key[1:] != key[:-1]) | (group[1:] != group[:-1]))
+        first = np.maximum.accumulate(np.where(new, place, 0))
+        rank[live] = group + first - first_of_group
+        off += per
+        alone = new & np.append(new[1:], True)
+        live = live[~alone]
+        # Equal ones end together, but for the last one, which stays until it is alone.
+        live = live[(lms[live] + off <= end[live]) | (live == len(lms) - 1)]
+        if len(live) == 1:
+            break
+    return np.unique(rank, return_inverse=True)[1]
 
 
 def suffix_array(s: np.ndarray) -> np.ndarray:
@@ -141,23 +163,8 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     lms = np.flatnonzero(small[1:] & ~small[:-1]) + 1
     if not len(lms):
         return _induce(s, small, lms, size)
-    sa = _induce(s, small, lms, size)
-    is_lms = np.zeros(n, bool)
-    is_lms[lms] = True
-    order = sa[is_lms[sa]]
-    # Name the sorted LMS substrings: each runs up to the next LMS place, which is part of it.
-    number = np.empty(n, np.int64)
-    number[lms] = np.arange(len(lms))
-    length = np.append(np.diff(lms) + 1, n - lms[-1])[number[order]]
-    last = order == lms[-1]
-    equal = np.zeros(len(order), bool)
-    pair = np.flatnonzero((length[1:] == length[:-1]) & ~last[1:] & ~last[:-1])
-    equal[pair + 1] = _same(s, order[pair], order[pair + 1], length[pair])
-    names = np.cumsum(~equal) - 1
-    if names[-1] < len(lms) - 1:
-        reduced = np.empty(len(lms), np.int64)
-        reduced[number[order]] = names
-        order = lms[suffix_array(reduced)]
+    number = names(s, small, lms, size)
+    order = lms[suffix_array(number)] if number.max() < len(lms) - 1 else lms[np.argsort(number)]
     return _induce(s, small, order, size)
 
 
