@@ -8,7 +8,9 @@ from spanforge.llm.extract import op4_html_extraction
 from spanforge.llm.lines import OP2_SQL, op2_line_dedup
 from spanforge.llm.mixing import OP3_SQL, op3_mixing
 from spanforge.llm.quality import op8_quality_rules
+from spanforge.llm.resample import OP13_SQL, op13_importance_resampling
 from spanforge.llm.simhash import op5_simhash_near_dedup
+from spanforge.llm.spelling import OP12_SQL, op12_spelling_variants
 from spanforge.llm.tokenfile import op10_token_id_output
 from spanforge.llm.tokens import op9_token_counts
 from spanforge.llm.warc import OP6_SQL, op6_warc
@@ -24,6 +26,8 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_token_counts": op9_token_counts,
     "op10_token_id_output": op10_token_id_output,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_importance_resampling": op13_importance_resampling,
 }
 
-ORACLES = {"op2_line_dedup": OP2_SQL, "op3_mixing": OP3_SQL, "op6_warc": OP6_SQL}
+ORACLES = {"op2_line_dedup": OP2_SQL, "op3_mixing": OP3_SQL, "op6_warc": OP6_SQL, "op12_spelling_variants": OP12_SQL, "op13_importance_resampling": OP13_SQL}
