@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -58,8 +59,9 @@ _TOKEN = re.compile(
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.IGNORECASE)
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img input del picture source".split())
 #: Elements that are followed from their start to their end tag.
-_NESTED = frozenset("div section article main nav header footer aside form ul ol dl table head fieldset dialog menu figure details".split())
+_NESTED = frozenset("div section article main nav header footer aside form ul ol dl table head fieldset dialog menu figure details li".split())
 _OUT = frozenset("nav footer aside form head dialog menu fieldset".split())
+_LISTS = frozenset("ul ol dl menu".split())
 #: Of these, and of elements named by hints, pages sometimes have one around everything: then it decides nothing.
 _PAGE_WIDE = frozenset(("form", "fieldset"))
 _HINTS = frozenset(
@@ -70,8 +72,19 @@ _HINTS = frozenset(
     widget pagination pager toolbar skip copyright disclaimer alert topbar
     """.split()
 )
+#: Words that with hints make up whole names, as in share-buttons; other names only have a hint as a part.
+_HOLDERS = frozenset(
+    """
+    list lists section area thread threads wrapper wrap container box block blocks inner outer form panel feed holder group item items bar
+    button buttons icon icons link links post posts article articles story stories content slot unit units label text title top bottom left
+    right js id widget widgets banner popup modal
+    """.split()
+)
 #: Words before a hint that make a class speak of the page around it, as in has-sidebar.
 _ABOUT = frozenset("has have no non not with without is hide show hidden disable disabled enable enabled js layout theme page main content body article post entry template type style single left right".split())
+#: Names under which readers write, if what they hold also has authors or dates.
+_VOICES = frozenset("comment comments commentary reply replies respond response responses discussion discussions feedback review reviews thread threads disqus guestbook".split())
+_SIGNED = frozenset("author byline date datetime timestamp posted username user avatar ago permalink vcard".split())
 #: Share of a page's text that an element may hold and still go for its class (part of one, whole one), or without an end tag.
 MOST_PART, MOST_WHOLE = 0.5, 0.8
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
@@ -82,56 +95,100 @@ _HEADLINES = frozenset(("h1", "h2", "h3"))
 
 @dataclass
 class Block:
+    """holder: the nearest element around it that may go, or -1; listed: it stands in a list."""
+
     text: str
     links: int
-    inside: tuple[int, ...]
+    holder: int
     article: int
     headline: bool
+    listed: bool
     out: bool = False
     label: str = ""
 
 
 @dataclass
 class Element:
-    """An element that is followed to its end. most: the share of the page's text from which on it isn't unwanted (0: wanted)."""
+    """An element that is followed to its end.
+
+    most: the share of the page's text from which on it isn't unwanted (0: wanted); comments: by its name it holds readers' comments;
+    voices: it may hold them; under: it or one around it is unwanted by its name; outer: the nearest one around it that may go;
+    begin, chars: text before and in it; signed: authors and dates in it.
+    """
 
     name: str
     most: float
+    comments: bool
+    voices: bool
+    under: bool
+    outer: int
     article: int
+    begin: int
+    signed: int
+    chars: int = 0
     closed: bool = False
     holds_main: bool = False
-    chars: int = 0
+
+
+def _parts(name: str) -> list[str]:
+    return [x for x in re.split(r"[-_]+", name) if x]
 
 
 def _hinted(value: str, in_article: bool) -> float:
-    """The most share for a class or id: whole names weigh more than parts of names."""
+    """The most share for a class or id: whole names weigh more than parts of names, which don't count in an article."""
     most = 0.0
     for name in value.split():
-        parts = [x for x in re.split(r"[-_]+", name) if x]
+        parts = _parts(name)
         known = _HINTS - {"header"} if in_article else _HINTS
         if name in known:
             return MOST_WHOLE
         if len(parts) > 1 and not known.isdisjoint(parts) and parts[0] not in _ABOUT:
-            most = MOST_PART
+            if all(x in known or x in _HOLDERS or x.isdigit() for x in parts):
+                return MOST_WHOLE
+            if not in_article:
+                most = MOST_PART
     return most
 
 
-def _unwanted(name: str, attributes: str, in_article: bool) -> float:
-    """The most share of the page's text that an element may hold and still be no main text, from its name and attributes."""
-    most = 0.0
-    if name in _OUT or name == "header" and not in_article:
+def _of_readers(value: str) -> bool:
+    """Whether a class or id names the place of readers' comments: the plural, last or before words for places; or comment-list and the like."""
+    for name in value.split():
+        parts = _parts(name)
+        if not parts or parts[0] in _ABOUT:
+            continue
+        places = [x in _HOLDERS or x.isdigit() for x in parts]
+        if name in ("commentlist", "commentsection", "disqus") or "comments" in parts and all(places[parts.index("comments") + 1 :]):
+            return True
+        if parts[0] in ("comment", "disqus") and len(parts) > 1 and all(places[1:]):
+            return True
+    return False
+
+
+def _unwanted(name: str, attributes: str, in_article: bool) -> tuple[float, bool, bool]:
+    """(most, comments, voices) of an element, from its name and attributes."""
+    most, comments, voices = 0.0, False, False
+    if name in _OUT and not (name == "aside" and in_article) or name == "header" and not in_article:
         most = MOST_PART if name in _PAGE_WIDE else 1.0
     for key, value in _ATTRIBUTE.findall(attributes) if attributes else ():
         key, value = key.lower(), value.strip("\"'").lower()
         if key == "hidden" or key == "aria-hidden" and value == "true":
-            return 1.0
+            most = 1.0
         if key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return 1.0
+            most = 1.0
         if key == "role" and value in _ROLES:
             most = 1.0
         if key in ("class", "id"):
             most = max(most, _hinted(value, in_article))
-    return most
+            comments = comments or _of_readers(value)
+            voices = voices or not _VOICES.isdisjoint(x for n in value.split() for x in _parts(n))
+    return most, comments, voices
+
+
+def _is_signed(name: str, attributes: str) -> bool:
+    """Whether a tag begins an author's name or a date."""
+    if name == "time":
+        return True
+    return "class" in attributes and any(k.lower() == "class" and not _SIGNED.isdisjoint(x for n in v.strip("\"'").lower().split() for x in _parts(n)) for k, v in _ATTRIBUTE.findall(attributes))
 
 
 def blocks(page: str) -> list[Block]:
@@ -139,7 +196,10 @@ def blocks(page: str) -> list[Block]:
     out: list[Block] = []
     elements: list[Element] = []
     stack: list[int] = []
+    opened: Counter[str] = Counter()
     article, articles = 0, 0
+    #: The nearest element around that may go; text and authors or dates so far; open elements that readers may have written.
+    holder, total, signed, voices = -1, 0, 0, 0
     parts: list[str] = []
     links = link = 0
     headline = False
@@ -148,16 +208,23 @@ def blocks(page: str) -> list[Block]:
     without_end: set[str] = set()
 
     def flush() -> None:
-        nonlocal links, link
+        nonlocal links, link, total
         if parts:
             text = " ".join(entities.unescape("".join(parts)).split())
             if text:
-                out.append(Block(text, links, tuple(k for k in stack if elements[k].most), article, headline))
-                for k in stack:
-                    elements[k].chars += _length(text)
+                out.append(Block(text, links, holder, article, headline, any(opened[x] for x in _LISTS)))
+                total += _length(text)
             parts.clear()
         links = link = 0
 
+    def shut(k: int) -> None:
+        """Element k ends here."""
+        nonlocal voices
+        e = elements[k]
+        e.chars, e.signed = total - e.begin, signed - e.signed
+        opened[e.name] -= 1
+        voices -= e.voices
+
     def end_of(name: str, at: int) -> re.Match | None:
         if name in without_end:
             return None
@@ -195,6 +262,8 @@ def blocks(page: str) -> list[Block]:
             if not ends and not attributes.endswith("/") and end_of(name, at):
                 dropped, depth = name, 1
             continue
+        if voices and not ends and _is_signed(name, attributes):
+            signed += 1
         if name in _INLINE:
             if name == "a":
                 link = 0 if ends else 1
@@ -207,32 +276,54 @@ def blocks(page: str) -> list[Block]:
         if name not in _NESTED:
             continue
         if ends:
-            for k in range(len(stack) - 1, -1, -1):
-                if elements[stack[k]].name == name:
-                    elements[stack[k]].closed = True
-                    article = elements[stack[k]].article
-                    del stack[k:]
+            while opened[name]:
+                k = stack.pop()
+                shut(k)
+                article, holder = elements[k].article, elements[k].outer
+                if elements[k].name == name:
+                    elements[k].closed = True
                     break
         else:
             if name == "main":
-                for k in stack:
+                for k in reversed(stack):
+                    if elements[k].holds_main:
+                        break
                     elements[k].holds_main = True
-            most = _unwanted(name, attributes, article > 0)
-            elements.append(Element(name, most, article))
+            most, comments, voiced = _unwanted(name, attributes, article > 0)
+            under = most > 0 or comments or holder >= 0 and elements[holder].under
+            elements.append(Element(name, most, comments, voiced, under, holder, article, total, signed))
             stack.append(len(elements) - 1)
-            if name in ("article", "main") and not any(elements[k].most for k in stack):
+            opened[name] += 1
+            voices += voiced
+            if most or comments or voiced:
+                holder = stack[-1]
+            if name in ("article", "main") and not under:
                 articles += 1
                 article = articles
     flush()
-    total = sum(_length(b.text) for b in out)
+    for k in stack:
+        shut(k)
+    _leave_out(out, elements, total)
+    return out
 
-    def goes(e: Element) -> bool:
-        most = min(e.most, MOST_WHOLE) if not e.closed else e.most
-        return not e.holds_main and (most == 1.0 or e.chars <= most * total)
 
-    for b in out:
-        b.out = any(goes(elements[k]) for k in b.inside)
-    return out
+def _leave_out(found: list[Block], elements: list[Element], total: int) -> None:
+    """Mark the blocks in elements that go: readers' comments whatever they hold, others up to a share of the page without comments."""
+    by_readers = [
+        not e.holds_main and (e.comments and (e.closed or e.begin >= LONG) or e.voices and e.signed >= 2 and e.begin >= SHORT) for e in elements
+    ]
+    # An element comes after those around it.
+    inside = [False] * len(elements)
+    for k, e in enumerate(elements):
+        inside[k] = e.outer >= 0 and (by_readers[e.outer] or inside[e.outer])
+    rest = total - sum(e.chars for k, e in enumerate(elements) if by_readers[k] and not inside[k])
+    gone = [False] * len(elements)
+    for k, e in enumerate(elements):
+        most = e.most if e.closed else min(e.most, MOST_WHOLE)
+        alone = by_readers[k] or not e.holds_main and most > 0 and (most == 1.0 or e.chars <= most * rest)
+        gone[k] = alone or e.outer >= 0 and gone[e.outer]
+    for b in found:
+        b.out = b.holder >= 0 and gone[b.holder]
 
 
 def stop_share(text: str) -> float:
@@ -248,7 +339,8 @@ def _length(text: str) -> int:
 def decide(block: Block, known_language: bool = True) -> str:
     """First pass: good, bad, near (perhaps text) or short. In other languages than those of the stop words, length decides."""
     n = _length(block.text)
-    if block.out or block.links > MOST_LINKS * len(block.text):
+    # In an article a paragraph may be a link as a whole; a list of links is none of its text.
+    if block.out or block.links > MOST_LINKS * len(block.text) and (block.listed or not block.article):
         return "bad"
     stops = stop_share(block.text) if known_language else STOPS_HIGH
     if block.article:
@@ -289,7 +381,8 @@ def _inherit(row: list[Block], when_none: str) -> None:
 def main_text(page: str | None) -> str:
     """The text of the good blocks, joined by blanks; '' for a null or empty page or one without main text.
 
-    Where articles hold less than the good blocks outside them (teasers around a text), all blocks are judged alike.
+    Where articles hold less than the good blocks outside them (teasers around a text), all blocks are judged alike. Where
+    no block is good, those that the first pass left open are the text: it is a short page.
     """
     if not page:
         return ""
@@ -297,6 +390,8 @@ def main_text(page: str | None) -> str:
     known_language = stop_share(" ".join(b.text for b in found if not b.out)) >= FEW_STOPS
     for b in found:
         b.label = decide(b, known_language)
+    undecided = [b for b in found if b.label in ("near", "short") and any(c.isalnum() for c in b.text)]
+    nothing_decided = all(b.out for b in found if b.label in ("good", "bad"))
     outside = [b for b in found if not b.article]
     inside: dict[int, list[Block]] = {}
     for b in found:
@@ -310,6 +405,9 @@ def main_text(page: str | None) -> str:
             b.label = "bad"
     else:
         _inherit(found, "bad")
+    if nothing_decided or not any(b.label == "good" for b in found):
+        for b in undecided:
+            b.label = "good"
     return " ".join(b.text for b in found if b.label == "good")
 
 

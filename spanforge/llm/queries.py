@@ -5,6 +5,7 @@ from __future__ import annotations
 from spanforge.llm.decontaminate import op1_benchmark_decontamination
 from spanforge.llm.exact import op7_suffix_array_dedup
 from spanforge.llm.extract import op4_html_extraction
+from spanforge.llm.hmm import op11_lm_scoring
 from spanforge.llm.lines import OP2_SQL, op2_line_dedup
 from spanforge.llm.mixing import OP3_SQL, op3_mixing
 from spanforge.llm.quality import op8_quality_rules
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_token_counts": op9_token_counts,
     "op10_token_id_output": op10_token_id_output,
+    "op11_lm_scoring": op11_lm_scoring,
     "op12_spelling_variants": op12_spelling_variants,
     "op13_importance_resampling": op13_importance_resampling,
 }

@@ -4,8 +4,10 @@ import hashlib
 import os
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
+from html.parser import HTMLParser
 
 import numpy as np
 import pyarrow as pa
@@ -347,6 +349,87 @@ def test_broken_markup_loses_no_text():
     assert extract.main_text(long).startswith(text)
 
 
+REMARK = "<p>I have been there and it was not as it is in the text, and that is what I have to say of it as one of the people.</p>"
+
+
+@pytest.mark.parametrize("opened", ["<div class='reader-comments'>", "<ol class=commentlist>", "<section id=comments-section>", "<div class='comment-list'>", "<div id=disqus_thread>", "<div class='comments list'>", "<div class=discussion>"])
+@pytest.mark.parametrize("inside", [True, False])
+@pytest.mark.parametrize("closed", [True, False])
+def test_comments_go_whatever_they_hold(opened, inside, closed):
+    text = SENTENCES["en"] * 3
+    signed = "<span class='author'>A</span> <time>now</time>" if "discussion" in opened else ""
+    block = opened + f"<div>{signed}{REMARK}</div>" * 30 + (f"</{opened[1:].split()[0]}>" if closed or signed else "")
+    page = f"<body><article><p>{text}</p>{block}</article></body>" if inside else f"<body><article><p>{text}</p></article>{block}</body>"
+    assert extract.main_text(page) == text
+
+
+@pytest.mark.parametrize("name", "share-price related-work ad-hoc-analysis login-flow navigation-history notice-period menu-planning comment-on-the-law comments-on-law discussion review".split())
+def test_sections_of_an_article_stay(name):
+    text = SENTENCES["en"]
+    page = f"<article><p>{text}</p><section class='{name}'><h2>A part</h2><p>{text}</p></section><p><a href=/x>All of this paragraph is a link</a></p><aside>As an aside it is said.</aside></article>"
+    assert extract.main_text(page) == f"{text} A part {text} All of this paragraph is a link As an aside it is said."
+    bare = f"<article class='comment'><p>{text}</p></article>"
+    assert extract.main_text(bare) == text
+
+
+def test_parts_of_an_article_that_are_none_of_it_go():
+    text = SENTENCES["en"]
+    for junk in ("<div class='share-buttons'>Share it</div>", "<ul class=related-posts><li>More of it</ul>", "<div class=ad>Buy it</div>", "<div class='newsletter'><p>Sign up for it</div>", "<ul><li><a href=/a>One of them</a><li><a href=/b>Two of them</a></ul>", "<aside class=sidebar>Side</aside>"):
+        assert extract.main_text(f"<article><p>{text}</p>{junk}<p>{text}</p></article>") == f"{text} {text}", junk
+
+
+def test_short_pages_keep_their_text():
+    assert extract.main_text("<p>Hello world.</p>") == "Hello world."
+    assert extract.main_text("<h1>Short note</h1><p>Closed today.</p>") == "Short note Closed today."
+    assert extract.main_text("<nav><a href=/>Home</a></nav><p>Hello world.</p><footer>Rights</footer>") == "Hello world."
+    assert extract.main_text("<ul><li><a href=/>Home</a></ul><p>Hello world.</p>") == "Hello world."
+
+
+@pytest.mark.parametrize("unit", ["<div>x ", "<div class=ad>x ", "<div class=thread><article>x ", "<section></div>x ", "<main>x ", "<li>x", "</div>", "<a href='x>", "<button>x", "<p class=\"x>y"])
+def test_time_is_linear_in_nesting(unit):
+    took = []
+    for n in (5_000, 50_000):
+        began = time.process_time()
+        extract.main_text(unit * n)
+        took.append(time.process_time() - began)
+    assert took[1] < 25 * max(took[0], 0.05)
+
+
+class Plain(HTMLParser):
+    """All text of a page, by the standard library's parser: a second opinion on markup, references and white space."""
+
+    def __init__(self):
+        super().__init__()
+        self.parts, self.hidden = [], 0
+
+    def handle_starttag(self, tag, attrs):
+        self.hidden += tag in ("script", "style", "svg")
+        self.between(tag)
+
+    def handle_endtag(self, tag):
+        self.hidden -= tag in ("script", "style", "svg")
+        self.between(tag)
+
+    def between(self, tag):
+        if tag not in extract._INLINE and tag not in ("script", "style", "svg", "g"):
+            self.parts.append(" ")
+
+    def handle_data(self, data):
+        if not self.hidden:
+            self.parts.append(" ".join(data.split("\n")) if data.strip("\n") else " ")
+
+
+def test_articles_equal_a_plain_parser():
+    rng = random.Random(12)
+    bits = ["word", "of the", " ", "\n", "&amp;", "&#233;", "&nbsp;", "&lt;b&gt;", "<b>", "</b>", "<br>", "<i class='a'>", "</i>", "</p><p>", "<h2>", "</h2>", "<div>", "</div>", "<blockquote>", "</blockquote>", "<script>the <p>of</script>", "<!-- the -->", "<img alt='the'>", "漢字", "<svg><g>x</g></svg>"]
+    for _ in range(300):
+        body = "".join(rng.choice(bits) for _ in range(rng.randint(1, 60)))
+        parser = Plain()
+        parser.feed(body)
+        parser.close()
+        assert extract.main_text(f"<article>{body}</article>") == " ".join("".join(parser.parts).split()), body
+
+
 # 5. Near duplicates.
 
 
