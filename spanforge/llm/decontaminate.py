@@ -3,11 +3,13 @@
 A window of a document has as many words as the item it is held against; a document of fewer words is one window, which is
 compared at once. Windows that share no word shingle with any
 item of that size have similarity zero and are left out before any fingerprint is made; this loses nothing. Of the
-others, those whose fingerprint lies within the radius of an item's are found through blocks of bits: with radius + 1
-blocks, one at least is equal, and a sorted table of each block names the items that have it. What is found is verified by
-exact weighted-shingle similarity, on the words themselves.
+others, those whose fingerprint lies within the radius of an item's are found through three blocks of bits: in one at least
+they differ in no more than a third of the radius, and a table of each block's different values names the items that have
+them. Of random fingerprints that leaves an eighth. What is found is verified by exact weighted-shingle similarity, on the
+words themselves.
 
-The benchmark comes in blocks of bounded bytes, each held against every document; no pair of documents is ever made.
+The benchmark comes in blocks of bounded bytes, each held against every document in a pass of its own; no pair of documents
+is ever made.
 """
 
 from __future__ import annotations
@@ -22,13 +24,17 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanforge.llm._shared import small_batches, table
+from spanforge.llm._shared import Scratch, small_batches, table
 from spanforge.llm.text import NOT_ALNUM, Texts, Words, mix, slices
 
 SHINGLE = 5
 SIMILARITY = 0.8
 #: Differing bits of 64. At similarity 0.8 about 10 are expected, with a deviation of 3.
 RADIUS = 20
+#: Blocks of bits that fingerprints are looked up by.
+BLOCKS = 3
+#: Windows that are fingerprinted at once, and pairs of block values that are compared at once.
+WINDOWS, CELLS = 1 << 15, 1 << 22
 #: Bytes of benchmark text that go to the tasks at once.
 BLOCK_BYTES = 32 << 20
 _FILTER_BITS = 20
@@ -44,7 +50,7 @@ class Items:
     shingles: list[np.ndarray] = field(default_factory=list)
     weights: list[np.ndarray] = field(default_factory=list)
     prints: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
-    tables: list[tuple[np.uint64, np.ndarray, np.ndarray]] = field(default_factory=list)
+    tables: list[tuple[np.uint64, np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=list)
     known: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
 
 
@@ -82,7 +88,8 @@ def index(rows: list[tuple[int, str | None]], shingle: int, radius: int = RADIUS
             items.words.append(words.bytes(int(words.first[k]), int(words.first[k + 1])))
             items.shingles.append(s)
             items.weights.append(w)
-            items.prints = np.append(items.prints, _print(_signs(grams).sum(axis=0)))
+            total = sum(_signs(grams[x : x + WINDOWS]).sum(axis=0) for x in range(0, len(grams), WINDOWS))
+            items.prints = np.append(items.prints, _print(total))
     for items in by_size.values():
         items.known = np.unique(np.concatenate(items.shingles))
         items.tables = block_tables(items.prints, radius)
@@ -96,25 +103,40 @@ def _grams(h: np.ndarray, n: int) -> np.ndarray:
     return mix(total)
 
 
-def block_tables(prints: np.ndarray, radius: int) -> list[tuple[np.uint64, np.ndarray, np.ndarray]]:
-    """(mask, sorted values, items in that order) of each of radius + 1 blocks of bits."""
-    cut, out = [64 * i // (radius + 1) for i in range(radius + 2)], []
+def block_tables(prints: np.ndarray, radius: int) -> list[tuple[np.uint64, np.ndarray, np.ndarray, np.ndarray]]:
+    """(mask, different values, first place of each, items in that order) of each block of bits."""
+    n = min(BLOCKS, radius + 1)
+    cut, out = [64 * i // n for i in range(n + 1)], []
     for a, b in zip(cut, cut[1:], strict=False):
         mask = np.uint64(((1 << (b - a)) - 1) << a)
         order = np.argsort(prints & mask, kind="stable")
-        out.append((mask, (prints & mask)[order], order))
+        values, first = np.unique((prints & mask)[order], return_index=True)
+        out.append((mask, values, np.append(first, len(order)), order))
     return out
 
 
-def within(windows: np.ndarray, prints: np.ndarray, tables: list[tuple[np.uint64, np.ndarray, np.ndarray]], radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (window, item) within the radius. A pair that is within it agrees in one of radius + 1 blocks at least: the items
-    that share a block's value with a window are one stretch of the block's table."""
+def candidates(windows: np.ndarray, tables: list[tuple[np.uint64, np.ndarray, np.ndarray, np.ndarray]], radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (window, item) that differ in no more than a block's share of the radius in some block, block by block: all
+    pairs within the radius are among them. A block's different values are compared, each once."""
+    share = radius // len(tables) if tables else 0
+    for mask, values, first, order in tables:
+        asked, of = np.unique(windows & mask, return_inverse=True)
+        at = np.argsort(of, kind="stable")
+        begin = np.searchsorted(of[at], np.arange(len(asked) + 1))
+        for some in np.array_split(np.arange(len(asked)), len(asked) * len(values) // CELLS + 1):
+            x, y = np.nonzero(np.bitwise_count(asked[some][:, None] ^ values[None, :]) <= share)
+            x = some[x]
+            # Every window with the one value meets every item with the other.
+            n, m = begin[x + 1] - begin[x], first[y + 1] - first[y]
+            k = np.repeat(np.arange(len(x)), n * m)
+            inner = np.arange(len(k)) - np.repeat(np.cumsum(n * m) - n * m, n * m)
+            yield at[begin[x[k]] + inner // m[k]], order[first[y[k]] + inner % m[k]]
+
+
+def within(windows: np.ndarray, prints: np.ndarray, tables: list[tuple[np.uint64, np.ndarray, np.ndarray, np.ndarray]], radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (window, item) within the radius."""
     found = [np.zeros(0, np.int64)]
-    for mask, values, order in tables:
-        a = np.searchsorted(values, windows & mask, "left")
-        n = np.searchsorted(values, windows & mask, "right") - a
-        w = np.repeat(np.arange(len(windows)), n)
-        i = order[np.repeat(a - (np.cumsum(n) - n), n) + np.arange(len(w))]
+    for w, i in candidates(windows, tables, radius):
         near = np.bitwise_count(windows[w] ^ prints[i]) <= radius
         found.append(w[near] * len(prints) + i[near])
     return np.divmod(np.unique(np.concatenate(found)), max(1, len(prints)))
@@ -183,29 +205,43 @@ class Scanner:
         mine = hits[np.isin(grams[hits], items.known)]
         if not len(mine):
             return
-        # Windows that hold one of the shared shingles, in runs that overlap.
-        starts = np.unique(np.clip(mine[:, None] - np.arange(per)[None, :], 0, n_words - size).ravel())
-        for run in np.split(starts, np.flatnonzero(np.diff(starts) > per) + 1):
-            lo = int(run[0])
-            sums = np.zeros((int(run[-1]) - lo + per + 1, 64), np.int32)
-            np.cumsum(_signs(grams[lo : int(run[-1]) + per]), axis=0, out=sums[1:])
-            prints = _print(sums[run - lo + per] - sums[run - lo])
-            for w, i in zip(*within(prints, items.prints, items.tables, self.radius), strict=True):
-                start = int(run[w])
-                if similarity(grams[start : start + per], items.shingles[i], items.weights[i]) >= self.least:
-                    yield int(i), start
+        # A shared shingle lies in the per windows that begin with it or before: these are stretches of first words, merged.
+        low, high = np.clip(mine - per + 1, 0, n_words - size), np.clip(mine, 0, n_words - size)
+        new = np.append(True, low[1:] > np.maximum.accumulate(high)[:-1] + 1)
+        begins, ends = low[new], np.append(np.maximum.accumulate(high)[:-1][new[1:]], high.max())
+        for lo, hi in zip(begins.tolist(), ends.tolist(), strict=True):
+            for a in range(lo, hi + 1, WINDOWS):
+                yield from self._windows(grams, a, min(hi + 1, a + WINDOWS), per, items)
+
+    def _windows(self, grams: np.ndarray, a: int, b: int, per: int, items: Items) -> Iterator[tuple[int, int]]:
+        """_text for the windows that begin with word a or later, before b."""
+        # Running sums of signs where windows begin and end; between these places only the sum counts.
+        now = np.zeros(64, np.int64)
+        for x in range(a, a + per, WINDOWS):
+            now += _signs(grams[x : min(x + WINDOWS, a + per)]).sum(axis=0)
+        sums = np.zeros((b - a, 64), np.int32)
+        sums[0] = now
+        if b - a > 1:
+            np.cumsum(_signs(grams[a + per : b - 1 + per]) - _signs(grams[a : b - 1]), axis=0, out=sums[1:])
+            sums[1:] += sums[0]
+        prints = _print(sums)
+        for w, i in zip(*within(prints, items.prints, items.tables, self.radius), strict=True):
+            start = a + int(w)
+            if similarity(grams[start : start + per], items.shingles[i], items.weights[i]) >= self.least:
+                yield int(i), start
 
 
 def _scanners(benchmark: DataFrame, item: str, text: str, shingle: int, least: float, radius: int, block_bytes: int) -> Iterator[Scanner]:
     """One for each block of the benchmark. Rows come to the driver one partition at a time and leave with their block."""
-    rows, size = [], 0
+    rows, size, any_yet = [], 0, False
     for r in benchmark.select(F.col(item).cast("long").alias("i"), F.col(text).alias("t")).where("i is not null and t is not null").toLocalIterator():
         rows.append((r.i, r.t))
         size += len(r.t)
         if size >= block_bytes:
             yield Scanner(index(rows, shingle, radius), shingle, least, radius)
-            rows, size = [], 0
-    yield Scanner(index(rows, shingle, radius), shingle, least, radius)
+            rows, size, any_yet = [], 0, True
+    if rows or not any_yet:
+        yield Scanner(index(rows, shingle, radius), shingle, least, radius)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", shingle: int = SHINGLE, least: float = SIMILARITY, radius: int = RADIUS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -236,8 +272,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str =
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", shingle: int = SHINGLE, least: float = SIMILARITY, radius: int = RADIUS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows of docs that hold no item, with all their columns; nothing is shuffled."""
+    """The rows of docs that hold no item, with all their columns; nothing is shuffled.
+
+    Null, empty and blank texts hold nothing and stay; rows without an id are judged by their text; repeated rows are each judged; a
+    very long text is scanned whole. A benchmark of several blocks takes a pass for each, written in between, so that a
+    task never holds more than one.
+    """
     small_batches(docs.sparkSession)
+    scratch = Scratch(docs.sparkSession)
     at = docs.columns.index(text)
 
     def run_with(scanner: Scanner):
@@ -250,9 +292,12 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
 
         return run
 
-    for scanner in _scanners(benchmark, item, item_text, shingle, least, radius, block_bytes):
-        docs = docs.mapInArrow(run_with(scanner), docs.schema)
-    return docs
+    scanners = _scanners(benchmark, item, item_text, shingle, least, radius, block_bytes)
+    left = docs.mapInArrow(run_with(next(scanners)), docs.schema)
+    for scanner in scanners:
+        left = scratch.written(left, "kept").mapInArrow(run_with(scanner), docs.schema)
+        scratch.forget(1)
+    return left
 
 
 def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ import os
 import random
 import re
 import time
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 from html.parser import HTMLParser
@@ -152,6 +153,49 @@ def test_blocks_find_all_within_radius():
         assert got == {(i, j) for i in range(50) for j in range(40) if bin(int(a[i] ^ b[j])).count("1") <= radius}
 
 
+def test_blocks_prune_most_pairs():
+    rng = np.random.default_rng(1)
+    a, b = (rng.integers(0, 2**64, n, dtype=np.uint64) for n in (2000, 1000))
+    tables = decontaminate.block_tables(b, decontaminate.RADIUS)
+    pairs = sum(len(w) for w, _ in decontaminate.candidates(a, tables, decontaminate.RADIUS))
+    assert pairs < len(a) * len(b) / 5
+
+
+@pytest.mark.parametrize("windows", [7, 1 << 15])
+def test_windows_in_pieces_lose_nothing(monkeypatch, windows):
+    monkeypatch.setattr(decontaminate, "WINDOWS", windows)
+    rng = random.Random(8)
+    items = [(i, sentence(rng, n)) for i, n in enumerate((3, 8, 8, 20, 60))]
+    scanner = decontaminate.Scanner(decontaminate.index(items, 5), 5, 0.8, 20)
+    for _ in range(40):
+        t = " ".join([sentence(rng, rng.randint(0, 30)), *(rng.choice(items)[1] + " " + sentence(rng, rng.randint(0, 4)) for _ in range(rng.randint(0, 4)))])
+        (_, _, texts), *_ = [*text.slices(pa.array([t], pa.string()))]
+        assert {(0, f[1]) for f in scanner.find(texts)} == brute_leaks([(0, t)], items)
+
+
+def test_very_long_items_take_linear_memory():
+    rng = random.Random(9)
+    words = [f"w{rng.randint(0, 10**6)}" for _ in range(100_000)]
+    scanner = decontaminate.Scanner(decontaminate.index([(1, " ".join(words))], 5), 5, 0.8, 20)
+    doc = " ".join(["before", *words[:60_000], "between", *words[60_000:], "after"])
+    tracemalloc.start()
+    (_, _, texts), *_ = [*text.slices(pa.array([doc], pa.string()))]
+    found = scanner.find(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [f[1] for f in found] == [1] and found[0][2] > 0.99 and peak < 500 << 20
+
+
+def test_benchmark_in_several_blocks(spark, docs):
+    rng = random.Random(10)
+    items = [(i, fixture_rows()[i][1].split("\n")[0]) for i in (3, 9, 21)] + [(50, sentence(rng, 30))]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    one, many = (sorted(map(repr, decontaminate.without_leaks(docs, benchmark, block_bytes=b).collect())) for b in (32 << 20, 40))
+    assert one == many and len(one) < docs.count()
+    none = spark.createDataFrame([], "item_id long, text string")
+    assert decontaminate.without_leaks(docs, none).count() == docs.count() and decontaminate.without_leaks(docs.where("false"), benchmark).count() == 0
+
+
 # 2. Lines.
 
 
