@@ -62,31 +62,50 @@ def shares(df: DataFrame, group: Sequence[str], value: str, name: str = "kappa")
     return df.withColumn(name, F.when(total == 0, 0.0).otherwise(F.col(value) / total))
 
 
-def em(compat: np.ndarray, mass: np.ndarray, most: int = 5000, tolerance: float = 1e-5) -> tuple[np.ndarray, float, int, bool]:
-    """Mixture weights of the columns of compat (rows: fragments with their mass), log likelihood, rounds, whether it settled."""
-    live = (compat > 0).any(axis=1)
-    compat, mass = compat[live], mass[live]
-    n = compat.shape[1]
-    gamma = np.full(n, 1 / max(n, 1))
-    if not len(mass) or not n:
+def em_sparse(row: np.ndarray, model: np.ndarray, p: np.ndarray, mass: np.ndarray, n: int, most: int = 5000, tolerance: float = 1e-5) -> tuple[np.ndarray, float, int, bool]:
+    """Weights of a mixture of n models, log likelihood, rounds, whether it settled.
+
+    row, model, p: the entries of the likelihood matrix that aren't 0; mass: of each row. Rows without entries don't count.
+    """
+    live = np.bincount(row, weights=p, minlength=len(mass)) > 0
+    mass = np.where(live, mass, 0.0)
+    if not mass.sum() or not n:
         return np.zeros(n), 0.0, 0, True
-    before = -np.inf
+    gamma, before = np.full(n, 1 / n), -np.inf
     for k in range(1, most + 1):
-        parts = compat * gamma
-        total = parts.sum(axis=1)
-        likelihood = float((mass * np.log(np.maximum(total, 1e-300))).sum())
-        gamma = (parts / np.maximum(total, 1e-300)[:, None] * mass[:, None]).sum(axis=0) / mass.sum()
+        part = p * gamma[model]
+        total = np.maximum(np.bincount(row, weights=part, minlength=len(mass)), 1e-300)
+        likelihood = float((mass * np.log(np.where(live, total, 1.0))).sum())
+        gamma = np.bincount(model, weights=part * (mass / total)[row], minlength=n) / mass.sum()
         if k > 3 and abs(likelihood - before) <= tolerance:
             return gamma, likelihood, k, True
         before = likelihood
     return gamma, before, most, False
 
 
+def em(compat: np.ndarray, mass: np.ndarray, most: int = 5000, tolerance: float = 1e-5) -> tuple[np.ndarray, float, int, bool]:
+    """em_sparse of a matrix (rows: fragments with their mass, columns: models)."""
+    row, model = np.nonzero(compat > 0)
+    return em_sparse(row, model, compat[row, model], mass, compat.shape[1], most, tolerance)
+
+
+def identifiable(row: np.ndarray, model: np.ndarray, p: np.ndarray, n_rows: int, n: int) -> bool:
+    """Whether the columns are independent: the rank of what their products are, summed in stretches of rows."""
+    gram = np.zeros((n, n))
+    most = np.maximum(np.bincount(model, weights=p * p, minlength=n), 1e-300) ** 0.5
+    for first in range(0, n_rows, 4096):
+        some = (row >= first) & (row < first + 4096)
+        part = np.zeros((min(4096, n_rows - first), n))
+        part[row[some] - first, model[some]] = p[some] / most[model[some]]
+        gram += part.T @ part
+    return bool(np.linalg.eigvalsh(gram)[0] > 1e-11 * n) if n else True
+
+
 def mixtures(df: DataFrame, locus: str, fragment: str, model: str, probability: str, mass: str, least_fraction: float = 0.0) -> DataFrame:
     """(locus, model, gamma, converged, identifiable) by EM in each locus.
 
     df has a row for each compatible fragment and model. Fragments with equal probabilities for the same models are one
-    before a locus reaches its task, so its size is that of distinct rows of the likelihood matrix. Weights below
+    before a locus reaches its task, which holds the entries of the distinct rows and no matrix of them. Weights below
     least_fraction become 0, and what they held goes to the rest in equal parts.
     """
     importable_on_workers(df.sparkSession)
@@ -95,18 +114,18 @@ def mixtures(df: DataFrame, locus: str, fragment: str, model: str, probability:
     flat = classes.select(F.col(locus).cast("string").alias("locus"), F.transform("row", lambda x: x["m"]).alias("models"), F.transform("row", lambda x: x["p"]).alias("ps"), "mass")
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.assign(__key=[repr((list(m), list(p))) for m, p in zip(pdf.models, pdf.ps, strict=True)]).sort_values("__key")
+        order = sorted(range(len(pdf)), key=lambda i: (list(pdf.models.iloc[i]), list(pdf.ps.iloc[i])))
+        pdf = pdf.iloc[order]
         names = sorted({m for row in pdf.models for m in row})
         at = {m: k for k, m in enumerate(names)}
-        compat = np.zeros((len(pdf), len(names)))
-        for i, (ms, ps) in enumerate(zip(pdf.models, pdf.ps, strict=True)):
-            compat[i, [at[m] for m in ms]] = ps
-        gamma, _, _, settled = em(compat, pdf.mass.to_numpy())
+        row = np.repeat(np.arange(len(pdf)), pdf.models.map(len).to_numpy())
+        which, p = np.array([at[m] for r in pdf.models for m in r], np.int64), np.concatenate([np.asarray(x, float) for x in pdf.ps])
+        gamma, _, _, settled = em_sparse(row, which, p, pdf.mass.to_numpy(), len(names))
         low = (gamma < least_fraction) & (gamma > 0)
         if low.any() and (gamma >= least_fraction).any():
             left = gamma >= least_fraction
             gamma = np.where(left, gamma + gamma[low].sum() / left.sum(), 0.0)
-        known = int(np.linalg.matrix_rank(compat)) == len(names)
+        known = identifiable(row, which, p, len(pdf), len(names))
         return pd.DataFrame({"locus": pdf.locus.iloc[0], "model": names, "gamma": gamma, "converged": settled, "identifiable": known})
 
     return flat.groupBy("locus").applyInPandas(solve, "locus string, model string, gamma double, converged boolean, identifiable boolean")

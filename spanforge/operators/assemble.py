@@ -1,121 +1,84 @@
-"""Assembly: fragments of a bundle to a least set of chains (path cover by matching), one grouped function a bundle."""
+"""Assembly: fragments of a bundle to models. Spark brings like fragments together, one grouped function a bundle finds the chains."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanforge.operators import chains
 from spanforge.session import importable_on_workers
 
-#: Distinct structures of a bundle beyond which it isn't assembled (its status says so).
-MOST_STRUCTURES = 4000
 
+def gaps(blocks: Column) -> Column:
+    """The gaps (lo, hi) between consecutive blocks."""
+    n = F.size(blocks)
+    return F.when(n < 2, F.array().cast("array<struct<lo:bigint,hi:bigint>>")).otherwise(
+        F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), n - 1)), lambda k: F.struct(F.get(blocks, k - 1)["hi"].alias("lo"), F.get(blocks, k)["lo"].alias("hi")))
+    )
 
-def compatible(a: list[tuple[int, int]], b: list[tuple[int, int]]) -> bool:
-    """Whether two structures (match blocks, half-open) agree where they overlap: the same blocks and gaps inside it."""
-    lo, hi = max(a[0][0], b[0][0]), min(a[-1][1], b[-1][1])
-    if lo >= hi:
-        return False
-    gaps = lambda s: {(x[1], y[0]) for x, y in zip(s, s[1:], strict=False)}
-    inside = lambda s: {g for g in gaps(s) if g[0] < hi and g[1] > lo}
-    return inside(a) == inside(b)
 
+def structures(fragments: DataFrame, bundle: str, strand: str, blocks: str, mass: str) -> DataFrame:
+    """(bundle, strand, lo, hi, gaps, mass, n): fragments that say the same of a bundle's structure as one, over what they cover together.
 
-def merge(chain: list[list[tuple[int, int]]]) -> list[tuple[int, int]]:
-    """The union of a chain's blocks."""
-    out: list[list[int]] = []
-    for lo, hi in sorted(x for s in chain for x in s):
-        if out and lo <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], hi)
-        else:
-            out.append([lo, hi])
-    return [tuple(x) for x in out]
-
-
-def max_matching(edges: list[list[int]], n: int) -> list[int]:
-    """For each right node its left node, or -1: augmenting paths, the cheapest edges first (edges are in that order)."""
-    of, to = [-1] * n, [-1] * len(edges)
-    for start in range(len(edges)):
-        seen: set[int] = set()
-        parent: dict[int, int] = {}
-        stack, found = [(start, iter(edges[start]))], -1
-        while stack and found < 0:
-            node, rest = stack[-1]
-            r = next((x for x in rest if x not in seen), None)
-            if r is None:
-                stack.pop()
-                continue
-            seen.add(r)
-            parent[r] = node
-            if of[r] < 0:
-                found = r
-            else:
-                stack.append((of[r], iter(edges[of[r]])))
-        while found >= 0:
-            left = parent[found]
-            before = to[left]
-            of[found], to[left] = left, found
-            found = before
-    return of
-
-
-def path_cover(structures: list[list[tuple[int, int]]], weights: np.ndarray) -> list[list[int]]:
-    """Chains of structures, each compatible with the next, as few as possible (Dilworth); likely neighbours have like weights."""
-    order = sorted(range(len(structures)), key=lambda k: (structures[k][0][0], structures[k][-1][1], structures[k]))
-    s, w = [structures[k] for k in order], weights[order]
-    n = len(s)
-    edges: list[list[int]] = []
-    for i in range(n):
-        after = [j for j in range(n) if i != j and (s[i][0][0], s[i][-1][1], i) < (s[j][0][0], s[j][-1][1], j) and s[i][-1][1] <= s[j][-1][1] and compatible(s[i], s[j])]
-        edges.append(sorted(after, key=lambda j: (abs(np.log(w[i] / w[j])), s[j][0][0], j)))
-    before = max_matching(edges, n)
-    nxt = {p: j for j, p in enumerate(before) if p >= 0}
-    chains = []
-    for j in range(n):
-        if before[j] < 0:
-            chain = [j]
-            while chain[-1] in nxt:
-                chain.append(nxt[chain[-1]])
-            chains.append([order[k] for k in chain])
-    return chains
-
-
-def assembled(fragments: DataFrame, bundle: str, strand: str, blocks: str, mass: str, least_fraction: float = 0.1, most: int = MOST_STRUCTURES) -> DataFrame:
+    Two fragments say the same if they have the same gaps, begin between the same two places where any gap of the bundle
+    begins or ends, end between the same two, and are connected by overlaps of such fragments. No other fragment can contradict one of
+    them and not the other. Null and empty blocks are left out. Fragments of a bundle are ordered in windows, which spill; nothing is collected.
+    """
+    flat = F.transform(blocks, lambda b: F.struct(b["lo"].cast("long").alias("lo"), b["hi"].cast("long").alias("hi")))
+    named = fragments.select(F.col(bundle).cast("string").alias("bundle"), F.col(strand).alias("strand"), flat.alias("b"), F.col(mass).cast("double").alias("mass")).where("size(b) > 0")
+    ends = named.select("bundle", "strand", F.get("b", F.lit(0))["lo"].alias("lo"), F.get("b", F.size("b") - 1)["hi"].alias("hi"), gaps(F.col("b")).alias("gaps"), "mass")
+    same = ["bundle", "strand", "lo", "hi", "gaps"]
+    distinct = ends.groupBy(*same).agg(F.sum("mass").alias("mass"), F.count("*").alias("n"))
+    # A place is counted as often as it occurs: only between which places a fragment lies is asked.
+    place = lambda p: F.struct(p.alias("lo"), p.alias("hi"), F.lit(None).cast("array<struct<lo:bigint,hi:bigint>>").alias("gaps"), F.lit(None).cast("double").alias("mass"), F.lit(None).cast("bigint").alias("n"))
+    places = F.flatten(F.transform("gaps", lambda g: F.array(place(g["lo"]), place(g["hi"]))))
+    rows = distinct.select("bundle", "strand", F.explode(F.concat(F.array(F.struct("lo", "hi", "gaps", "mass", "n")), places)).alias("r")).select("bundle", "strand", "r.*")
+    is_place = F.col("gaps").isNull().cast("int")
+    before = Window.partitionBy("bundle", "strand").rowsBetween(Window.unboundedPreceding, 0)
+    # A place at the start of a fragment lies before it, one at its end behind it.
+    counted = rows.withColumn("first", F.sum(is_place).over(before.orderBy("lo", F.col("gaps").isNotNull()))).withColumn("last", F.sum(is_place).over(before.orderBy("hi", F.col("gaps").isNull())))
+    kinds = ["bundle", "strand", "first", "last", "gaps"]
+    line = Window.partitionBy(*kinds).orderBy("lo", "hi")
+    apart = F.col("lo") >= F.max("hi").over(line.rowsBetween(Window.unboundedPreceding, -1))
+    islands = counted.where("gaps IS NOT NULL").withColumn("apart", F.coalesce(apart, F.lit(False)).cast("int")).withColumn("island", F.sum("apart").over(line.rowsBetween(Window.unboundedPreceding, 0)))
+    found = islands.groupBy(*kinds, "island").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("mass").alias("mass"), F.sum("n").alias("n"))
+    return found.select(*same, "mass", "n")
+
+
+def assembled(fragments: DataFrame, bundle: str, strand: str, blocks: str, mass: str, least_fraction: float = 0.1, most: int | None = None) -> DataFrame:
     """(bundle, strand, model, exons, mass, status): models of each bundle and strand.
 
-    blocks is an array of (lo, hi) match blocks. Equal structures are one, with their masses added, and structures that lie in
-    a compatible longer one support it, before paths are sought. Models with less than least_fraction of the strand's largest
-    mass go. A bundle with more than most structures gives one row without a model, status HIDATA.
+    blocks is an array of (lo, hi) match blocks. Fragments that say the same of the structure are one, and those that lie in an
+    agreeing longer one support it, before chains are sought: a least cover of least cost, each chain a path from end to end.
+    Models with less than least_fraction of the strand's largest mass go. Only where most is given, a bundle with more
+    structures than that isn't assembled: one row without a model, status HIDATA.
     """
     importable_on_workers(fragments.sparkSession)
-    distinct = fragments.groupBy(F.col(bundle).cast("string").alias("bundle"), F.col(strand).alias("strand"), F.transform(blocks, lambda b: F.array(b["lo"].cast("long"), b["hi"].cast("long"))).alias("blocks")).agg(F.sum(F.col(mass).cast("double")).alias("mass"))
-    counted = distinct.groupBy("bundle", "strand").agg(F.count("*").alias("n"))
-    heavy = counted.where(F.col("n") > most).select("bundle", "strand", F.lit(None).cast("int").alias("model"), F.lit(None).cast("array<array<bigint>>").alias("exons"), F.lit(None).cast("double").alias("mass"), F.lit("HIDATA").alias("status"))
-    light = distinct.join(counted.where(F.col("n") <= most).select("bundle", "strand"), ["bundle", "strand"], "left_semi")
-
-    def models(structures: list, masses: list) -> list[tuple[list[tuple[int, int]], float]]:
-        rows = sorted((([tuple(map(int, b)) for b in s], m) for s, m in zip(structures, masses, strict=True)), key=lambda r: (r[0][0][0], -r[0][-1][1], r[0]))
-        kept: list[list] = []
-        for s, m in rows:
-            holder = next((k for k in kept if k[0][0][0] <= s[0][0] and s[-1][1] <= k[0][-1][1] and compatible(k[0], s)), None)
-            if holder is None:
-                kept.append([s, m])
-            else:
-                holder[1] += m
-        chains = path_cover([k[0] for k in kept], np.array([k[1] for k in kept]))
-        found = [(merge([kept[i][0] for i in c]), sum(kept[i][1] for i in c)) for c in chains]
+    rows = structures(fragments, bundle, strand, blocks, mass).groupBy("bundle", "strand").agg(F.collect_list(F.struct("lo", "hi", "gaps", "mass")).alias("r"))
+    heavy = F.lit(False) if most is None else F.size("r") > most
+    light = rows.where(~heavy).select("bundle", "strand", F.col("r.lo").alias("lo"), F.col("r.hi").alias("hi"), F.col("r.gaps").alias("gaps"), F.col("r.mass").alias("mass"))
+
+    def models(lo: list[int], hi: list[int], between: list, masses: list[float]) -> list[tuple[chains.Blocks, float]]:
+        blocks = [list(zip([a, *(g["hi"] for g in row)], [*(g["lo"] for g in row), b], strict=True)) for a, b, row in zip(lo, hi, between, strict=True)]
+        order = sorted(range(len(blocks)), key=lambda k: (blocks[k][0][0], blocks[k][-1][1], blocks[k]))
+        found = chains.models([blocks[k] for k in order], np.array([masses[k] for k in order]))
         top = max(m for _, m in found)
         return sorted((e, m) for e, m in found if m >= least_fraction * top)
 
-    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = [(b, s, k, [list(x) for x in e], m, "OK") for b, s, blocks, masses in zip(pdf.bundle, pdf.strand, pdf.blocks, pdf.masses, strict=True) for k, (e, m) in enumerate(models(blocks, masses), 1)]
-            yield pd.DataFrame(out, columns=["bundle", "strand", "model", "exons", "mass", "status"])
-
-    # A bundle is one row of at most most structures, so small ones cost no group of their own.
-    rows = light.groupBy("bundle", "strand").agg(F.collect_list(F.struct("blocks", "mass")).alias("r")).select("bundle", "strand", F.col("r.blocks").alias("blocks"), F.col("r.mass").alias("masses"))
-    return rows.mapInPandas(solve, "bundle string, strand string, model int, exons array<array<bigint>>, mass double, status string").unionByName(heavy)
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [batch.column(k).to_pylist() for k in range(batch.num_columns)]
+            out = [(b, s, k, [list(x) for x in e], m, "OK") for b, s, *row in zip(*columns, strict=True) for k, (e, m) in enumerate(models(*row), 1)]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)], names=["bundle", "strand", "model", "exons", "mass", "status"])
+
+    types = [pa.string(), pa.string(), pa.int32(), pa.list_(pa.list_(pa.int64())), pa.float64(), pa.string()]
+    # A bundle is one row, so that small ones cost no group of their own.
+    found = light.mapInArrow(solve, "bundle string, strand string, model int, exons array<array<bigint>>, mass double, status string")
+    if most is None:
+        return found
+    return found.unionByName(rows.where(heavy).select("bundle", "strand", F.lit(None).cast("int").alias("model"), F.lit(None).cast("array<array<bigint>>").alias("exons"), F.lit(None).cast("double").alias("mass"), F.lit("HIDATA").alias("status")))

@@ -83,7 +83,8 @@ def looked_up(points: DataFrame, model: DataFrame, group: Sequence[str], mean: s
 
 
 def count_covariance(gammas: DataFrame, locus: str, model: str, gamma: str, total: str, variance: str, draws: int = 100, assignments: int = 50, seed: int = 0) -> DataFrame:
-    """(locus, model, other, covariance) of models' counts: fragments drawn with the locus's variance, dealt out by the gammas.
+    """(locus, model, other, covariance) of models' counts: fragments drawn with the locus's variance, each draw dealt out
+    so many times by the gammas. uncertainty.count_covariance is what it tends to.
 
     Streams depend on the seed and the locus alone.
     """
@@ -97,8 +98,8 @@ def count_covariance(gammas: DataFrame, locus: str, model: str, gamma: str, tota
         t, v = float(pdf.t.iloc[0]), float(pdf.v.iloc[0])
         p = pdf.g.to_numpy() / max(pdf.g.sum(), 1e-300)
         rate = rng.gamma(t * t / (v - t), (v - t) / t, draws) if t > 0 and v > t * (1 + 1e-9) else np.full(draws, max(t, 0.0))
-        n = rng.poisson(rate)
-        dealt = np.concatenate([rng.multinomial(n, p / p.sum()) for _ in range(max(1, assignments // 10))]) if p.sum() > 0 else np.zeros((draws, len(p)))
+        n = np.repeat(rng.poisson(rate), assignments)
+        dealt = rng.multinomial(n, p / p.sum()) if p.sum() > 0 else np.zeros((draws, len(p)))
         cov = np.cov(dealt, rowvar=False).reshape(len(p), len(p))
         i, j = np.indices(cov.shape)
         names = pdf.model.to_numpy()

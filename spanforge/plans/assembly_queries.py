@@ -134,6 +134,24 @@ def assembly(spark: SparkSession, d: str) -> DataFrame:
     return assemble.assembled(m.select("contig", "strand", blocks.alias("blocks"), F.lit(1.0).alias("mass")), "contig", "strand", "blocks", "mass")
 
 
+@query("assembly_counts", f"""WITH {_LINE_EXONS}, z AS (SELECT l_orderkey, dataset, list(lo ORDER BY lo) AS a, list(hi + 1 ORDER BY lo) AS b FROM x GROUP BY ALL),
+u AS (SELECT l_orderkey, a, b, min(dataset) AS id, [{{'g': b[i], 'h': a[i + 1]}} FOR i IN range(1, len(a))] AS gaps FROM z GROUP BY ALL),
+p AS (SELECT l_orderkey, p.id AS i, q.id AS j, p.a[1] AS lo, p.b[-1] AS hi, q.a[1] AS qlo, q.b[-1] AS qhi,
+  [g FOR g IN p.gaps IF g.g < least(p.b[-1], q.b[-1]) AND g.h > greatest(p.a[1], q.a[1])] = [g FOR g IN q.gaps IF g.g < least(p.b[-1], q.b[-1]) AND g.h > greatest(p.a[1], q.a[1])] AS same
+  FROM u p JOIN u q USING (l_orderkey) WHERE p.id <> q.id AND p.a[1] < q.b[-1] AND q.a[1] < p.b[-1]),
+kept AS (SELECT l_orderkey, id FROM u WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.l_orderkey = u.l_orderkey AND p.i = u.id AND same AND qlo <= lo AND hi <= qhi)),
+e AS (SELECT l_orderkey, i, j FROM p WHERE same AND lo <= qlo AND hi <= qhi AND EXISTS (SELECT 1 FROM kept WHERE kept.l_orderkey = p.l_orderkey AND kept.id = p.i) AND EXISTS (SELECT 1 FROM kept WHERE kept.l_orderkey = p.l_orderkey AND kept.id = p.j)),
+c AS (SELECT l_orderkey, i, j FROM e UNION SELECT e.l_orderkey, e.i, f.j FROM e JOIN e f ON e.l_orderkey = f.l_orderkey AND e.j = f.i),
+n AS (SELECT l_orderkey, count(*) AS kept FROM kept GROUP BY ALL), m AS (SELECT l_orderkey, count(*) AS pairs FROM c GROUP BY ALL)
+SELECT l_orderkey AS contig, CASE WHEN coalesce(pairs, 0) = 0 THEN kept WHEN pairs = kept * (kept - 1) // 2 THEN 1 ELSE 2 END AS models FROM n LEFT JOIN m USING (l_orderkey)""")
+def assembly_counts(spark: SparkSession, d: str) -> DataFrame:
+    """The least number of chains that cover the structures of each order (three at most, whose widest antichain SQL can tell)."""
+    m = order_models(spark, d)
+    blocks = F.transform("exons", lambda e: F.struct(e["lo"].alias("lo"), (e["hi"] + 1).alias("hi")))
+    found = assemble.assembled(m.select("contig", "strand", blocks.alias("blocks"), F.lit(1.0).alias("mass")), "contig", "strand", "blocks", "mass", least_fraction=0.0)
+    return found.groupBy(F.col("bundle").cast("bigint").alias("contig")).agg(F.count("*").alias("models"))
+
+
 def _fresh(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 

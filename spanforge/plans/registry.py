@@ -22,4 +22,4 @@ def query(name: str, sql: str | None = None):
 
 def load_all() -> None:
     """Import every module that registers queries."""
-    from spanforge.plans import assembly_queries, interval_queries, sequence_queries, statistics_queries  # noqa: F401
+    from spanforge.plans import assembly_queries, coding_queries, interval_queries, sequence_queries, statistics_queries, uncertainty_queries  # noqa: F401

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanforge.operators import abundance, assemble, cluster, fragments, intervals, normalize, stats
+from spanforge.operators import abundance, assemble, cluster, dispersion, fragments, intervals, negbin, normalize, stats, uncertainty
 from spanforge.sources import sam
 
 SLACK, LEAST_PER_KB = 50, 10.0
@@ -76,20 +76,59 @@ def compatible_reads(alignments: DataFrame, models: DataFrame, library: str, bin
     return pairs.where(inside & spliced & strands).select(library, "read_id", "left", F.col("id_r").alias("id"), F.col("gene_id_r").alias("gene_id"), length.alias("length"), "mass")
 
 
-def quantify(alignments: DataFrame, models: DataFrame, library: str = "library", norm: str = "classic") -> DataFrame:
-    """(library, gene_id, id, length, count, fpkm, status): EM in each gene and library, on a mass that is common to all libraries."""
+def quantify(alignments: DataFrame, models: DataFrame, library: str = "library", norm: str = "classic", variances: DataFrame | None = None, draws: int = 0) -> DataFrame:
+    """(library, gene_id, id, length, count, fpkm, lo, hi, status, gamma, total, variance, scale): EM in each gene and library.
+
+    Masses are brought to a scale that is common to all libraries. total is the gene's mass in the library and variance its
+    variance: Poisson, or what variances(mean, variance) has at it. gamma is the model's share, scale what makes FPKM of its count. lo
+    and hi are two deviations away; with draws the posterior of the shares counts in them, from so many importance draws.
+    """
     reads = compatible_reads(alignments, models, library)
     keyed = reads.withColumns({"locus": F.to_json(F.struct(library, "gene_id")), "fragment": F.concat_ws(":", "read_id", "left"), "p": 1.0 / F.col("length")})
     mixed = abundance.mixtures(keyed, "locus", "fragment", "id", "p", "mass")
-    masses = keyed.dropDuplicates(["locus", "fragment"]).groupBy("locus", library, "gene_id").agg(F.sum("mass").alias("__m"))
-    counts = masses.select(F.col("gene_id").alias("locus"), F.col(library).alias("library"), F.col("__m").alias("n"))
+    masses = keyed.dropDuplicates(["locus", "fragment"]).groupBy("locus", library, "gene_id").agg(F.sum("mass").alias("total"))
+    counts = masses.select(F.col("gene_id").alias("locus"), F.col(library).alias("library"), F.col("total").alias("n"))
     factors = normalize.geometric(counts, "locus", "library", "n") if norm == "geometric" else normalize.quartile(counts, "library", "n") if norm == "quartile" else normalize.classic(counts, "library", "n")
     scaled = masses.join(F.broadcast(factors.withColumnRenamed("library", library)), library, "left").withColumn("factor", F.coalesce("factor", F.lit(1.0)))
-    common = scaled.groupBy(library).agg(F.sum(F.col("__m") / F.col("factor")).alias("__t")).agg(F.avg("__t").alias("__total"))
+    if variances is None:
+        scaled = scaled.withColumn("variance", F.col("total"))
+    else:
+        one = variances.select(F.lit(0).alias("__g"), "mean", "variance")
+        scaled = dispersion.looked_up(scaled.withColumn("__g", F.lit(0)), one, ["__g"], "total").drop("__g")
+    common = scaled.groupBy(library).agg(F.sum(F.col("total") / F.col("factor")).alias("__t")).agg(F.avg("__t").alias("__total"))
     lengths = models.select(F.col("id").alias("model"), F.aggregate("exons", F.lit(0), lambda s, e: s + e["hi"] - e["lo"] + 1).alias("length"))
     found = mixed.join(scaled, "locus").join(lengths, "model").crossJoin(F.broadcast(common))
-    count = F.col("gamma") * F.col("__m")
-    return found.select(library, "gene_id", F.col("model").alias("id"), "length", count.alias("count"), abundance.fpkm(count / F.col("factor"), F.col("length"), F.col("__total")).alias("fpkm"), F.when(F.col("converged"), "OK").otherwise("FAIL").alias("status"))
+    g, t, v = F.col("gamma"), F.col("total"), F.col("variance")
+    unsure = F.lit(0.0)
+    if draws:
+        posterior = uncertainty.posteriors(keyed, "locus", "fragment", "id", "p", "mass", draws).where("model = other").select("locus", "model", F.col("covariance").alias("__c"))
+        found = found.join(posterior, ["locus", "model"], "left")
+        unsure = (v + t * t - t) * F.coalesce("__c", F.lit(0.0))
+    scale = abundance.fpkm(1 / F.col("factor"), F.col("length"), F.col("__total"))
+    lo, hi = abundance.confidence(g * t * scale, F.sqrt(F.greatest(F.lit(0.0), t * g + (v - t) * g * g + unsure)) * scale)
+    return found.select(
+        library, "gene_id", F.col("model").alias("id"), "length", (g * t).alias("count"), (g * t * scale).alias("fpkm"), lo.alias("lo"), hi.alias("hi"), F.when(F.col("converged"), "OK").otherwise("FAIL").alias("status"),
+        "gamma", "total", "variance", scale.alias("scale"),
+    )
+
+
+def fpkm_covariance(quantified: DataFrame, library: str = "library") -> DataFrame:
+    """(library, gene_id, id, other, covariance) of the FPKM of each gene's models in each library."""
+    keyed = quantified.withColumn("locus", F.to_json(F.struct(library, "gene_id")))
+    counts = uncertainty.count_covariance(keyed, "locus", "id", "gamma", "total", "variance")
+    places = keyed.select("locus", library, "gene_id").distinct()
+    return uncertainty.scaled(counts, keyed, ["locus"], "id", "scale").join(places, "locus").select(library, "gene_id", "id", "other", "covariance")
+
+
+def group_intervals(quantified: DataFrame, members: DataFrame, group: str, library: str = "library") -> DataFrame:
+    """(library, group, fpkm, variance, lo, hi): sums over groups of models, as members(id, group) says, with their intervals.
+
+    Models of different genes don't vary together, so that a group's variance is the sum of its parts in each gene.
+    """
+    variance = uncertainty.group_variance(fpkm_covariance(quantified, library), members, [library], "id", group)
+    sums = quantified.join(members, "id").groupBy(library, group).agg(F.sum("fpkm").alias("fpkm"))
+    lo, hi = abundance.confidence(F.col("fpkm"), F.sqrt("variance"))
+    return sums.join(variance, [library, group], "left").withColumn("variance", F.coalesce("variance", F.lit(0.0))).select(library, group, "fpkm", "variance", lo.alias("lo"), hi.alias("hi"))
 
 
 def gene_level(quantified: DataFrame, library: str = "library") -> DataFrame:
@@ -98,12 +137,38 @@ def gene_level(quantified: DataFrame, library: str = "library") -> DataFrame:
     return shares.groupBy(library, "gene_id").agg(F.sum("count").alias("count"), F.sum("fpkm").alias("fpkm"), fragments.group_status(F.col("status")).alias("status"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("id", "kappa")))).alias("kappa"))
 
 
-def differential(genes: DataFrame, samples: DataFrame, contrasts: DataFrame, library: str = "library", draws: int = 10_000, alpha: float = 0.05) -> DataFrame:
+def modelled_variances(moments: DataFrame, replicates: dict[str, int], seed: int = 0) -> DataFrame:
+    """moments(gene_id, condition, mean, variance) with variance from a model of all genes, pooled over conditions.
+
+    Sample variances are corrected for what so few replicates hide, a smooth model of them is fitted in each condition, and
+    the models are averaged by replicates. With fewer usable genes than a fit needs, each keeps its corrected sample variance.
+    """
+    parts = [negbin.corrected(moments.where(F.col("condition").isin([c for c, m in replicates.items() if m == n])), negbin.scv_curve(moments.sparkSession, n, seed=seed)) for n in sorted({n for n in replicates.values() if n > 1})]
+    single = moments.where(F.col("condition").isin([c for c, n in replicates.items() if n < 2]))
+    every = single
+    for part in parts:
+        every = every.unionByName(part)
+    usable = every.where(F.col("condition").isin([c for c, n in replicates.items() if n > 1]) & (F.col("mean") > 0) & (F.col("variance") > 0))
+    if usable.limit(dispersion.LEAST_LOCI * len(replicates)).count() < dispersion.LEAST_LOCI * len(replicates):
+        return every
+    weights = moments.sparkSession.createDataFrame(list(replicates.items()), "condition string, n int")
+    model = dispersion.pooled(dispersion.fitted(usable, "condition", "mean", "variance"), weights, "condition").select(F.lit(0).alias("__g"), "mean", "variance")
+    return dispersion.looked_up(every.drop("variance").withColumn("__g", F.lit(0)), model, ["__g"], "mean").drop("__g")
+
+
+def differential(genes: DataFrame, samples: DataFrame, contrasts: DataFrame, library: str = "library", draws: int = 10_000, alpha: float = 0.05, variances: str = "pooled") -> DataFrame:
     """(gene_id, condition_1, condition_2, value_1, value_2, status, log2_fold_change, p_value, q_value, significant).
 
-    samples(library, condition) and contrasts(condition_1, condition_2) are short lists. q-values are over all tests together.
+    samples(library, condition) and contrasts(condition_1, condition_2) are short lists. Variances come from a model of all
+    genes ('pooled', as modelled_variances says) or from each gene's own replicates ('sample'). q-values are over all tests together.
     """
     by = genes.join(F.broadcast(samples), library).groupBy("gene_id", "condition").agg(F.avg("count").alias("mean"), F.coalesce(F.var_samp("count"), F.avg("count")).alias("variance"), F.avg("fpkm").alias("value"), fragments.group_status(F.col("status")).alias("side"))
+    if variances == "pooled":
+        # One number for each condition.
+        replicates = {r["condition"]: r["n"] for r in samples.groupBy("condition").agg(F.countDistinct(library).alias("n")).collect()}
+        by = modelled_variances(by, replicates)
+    elif variances != "sample":
+        raise ValueError(variances)
     side = lambda k: by.select("gene_id", F.col("condition").alias(f"condition_{k}"), F.col("mean").alias(f"m{k}"), F.col("variance").alias(f"v{k}"), F.col("value").alias(f"value_{k}"), F.col("side").alias(f"s{k}"))
     pairs = side(1).join(F.broadcast(contrasts.select("condition_1", "condition_2")), "condition_1").join(side(2), ["gene_id", "condition_2"])
     tests = pairs.withColumns({"test_id": F.concat_ws("|", "gene_id", "condition_1", "condition_2"), "status": stats.test_status(F.col("s1"), F.col("s2"), F.greatest("m1", "m2") >= LEAST_PER_KB)})
@@ -142,4 +207,4 @@ def merged_assemblies(assemblies: DataFrame) -> DataFrame:
     loci = cluster.exon_loci(assemblies.withColumn("id", F.concat_ws("/", "sample", "id")), "id", "contig", "strand", "exons")
     again = assemble.assembled(loci.withColumns({"bundle": F.concat_ws("|", "contig", "locus"), "blocks": F.transform("exons", lambda e: F.struct((e["lo"] - 1).alias("lo"), e["hi"].alias("hi")))}), "bundle", "strand", "blocks", "mass")
     exons = F.transform("exons", lambda e: F.struct((e[0] + 1).cast("int").alias("lo"), e[1].cast("int").alias("hi")))
-    return again.where("status = 'OK'").select(F.concat_ws(".", "bundle", "model").alias("id"), F.substring_index("bundle", "|", 1).alias("contig"), "strand", exons.alias("exons"), "mass")
+    return again.select(F.concat_ws(".", "bundle", "model").alias("id"), F.substring_index("bundle", "|", 1).alias("contig"), "strand", exons.alias("exons"), "mass")

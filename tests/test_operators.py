@@ -237,12 +237,14 @@ def test_translation_of_whole_texts(spark):
     assert {r.doc_id: (r.length, r.digest) for r in entry.queries()["codon_translate_whole"](spark, sf).collect()} == want
 
 
-def test_ranges_give_what_whole_groups_give(spark):
+def test_ranges_give_what_whole_groups_give(spark, monkeypatch):
     rng = random.Random(9)
     rows = [(rng.choice(["a", "b", None]), k, lo, lo + rng.choice([0, 1, 5, 30, 200]), rng.randint(0, 3)) for k, lo in enumerate(rng.choices(range(-100, 1000), k=300))] + [("c", 1000, None, 4, 1)]
     df = spark.createDataFrame(rows, "g string, k int, lo int, hi int, side int")
     got = {}
-    for width in (None, 7, 64, 1 << 20):
+    for width in (None, 7, 64, 1 << 20, "by rows", "20 rows", "few cut"):
+        monkeypatch.setattr(intervals, "RANGE_ROWS", 20 if width in ("20 rows", "few cut") else 100_000)
+        monkeypatch.setattr(intervals, "MOST_CUT", 1 if width == "few cut" else 50_000)
         islands = intervals.islands(df, ["g"], slack=2, order=["hi", "k"], width=width).select("k", "island").collect()
         depth = intervals.coverage(df.where("lo is not null"), ["g"], width=width).collect()
         near = intervals.nearest_preceding(df.where("side = 0"), df.where("side = 1").withColumn("v", F.col("k") * 2).select("g", "lo", "v"), ["g"], "lo", "v", 50, width=width).select("k", "v_before").collect()
@@ -250,6 +252,14 @@ def test_ranges_give_what_whole_groups_give(spark):
     assert all(x == got[None] for x in got.values())
 
 
+def test_one_large_group_is_ordered_in_many_ranges(spark, monkeypatch):
+    monkeypatch.setattr(intervals, "RANGE_ROWS", 100)
+    df = spark.range(5000).select(F.lit("g").alias("g"), (F.col("id") * 7).alias("lo"), (F.col("id") * 7 + 5).alias("hi"))
+    whole, cut = intervals._cut(df.unionByName(spark.createDataFrame([("small", 1, 2)], "g string, lo long, hi long")), ["g"], "lo", intervals.BY_ROWS)
+    assert whole.count() == 1 and max(r["count"] for r in cut.groupBy("__range").count().collect()) <= 110
+    assert intervals.merged(df, ["g"]).count() == 5000 and intervals.merged(df, ["g"], slack=3).count() == 1
+
+
 def test_sources_with_odd_records(spark, tmp_path):
     (tmp_path / "a.sam").write_text("".join(f"{n}\t0\tc\t11\t255\t{c}\t*\t0\t0\t*\t*\n" for n, c in [("m", "5=1X4="), ("u", "5M2Z3M"), ("e", "*"), ("s", "3=2S")]))
     got = {r.read_id: (r.right, r.read_len) for r in sam.alignments(spark, str(tmp_path / "a.sam")).collect()}
