@@ -16,6 +16,17 @@ def _windows(df: DataFrame, at: str, weight: Column, before: int, after: int) ->
     return each.select("o.offset", F.upper(F.substring("seq", F.col("o.p") + 1, F.lit(1))).alias("base"), "w").where(F.col("base").isin("A", "C", "G", "T"))
 
 
+def _base_counts(before: int, after: int) -> Column:
+    """(offset, base, n): how often a base stands at an offset from any position of seq. No position gets a row of its own."""
+    seq, n = F.upper("seq"), F.length("seq")
+    counts = []
+    for o in range(-before, after):
+        # The places at this offset from some position are all but the first or the last few.
+        part = F.substring(seq, F.lit(max(0, o) + 1), F.greatest(F.lit(0), n - abs(o)))
+        counts += [F.struct(F.lit(o).alias("offset"), F.lit(x).alias("base"), (F.length(part) - F.length(F.translate(part, x, ""))).alias("n")) for x in "ACGT"]
+    return F.array(*counts)
+
+
 def learned(models: DataFrame, starts: DataFrame, before: int = BEFORE, after: int = AFTER) -> DataFrame:
     """(offset, base, ratio): share of a base at an offset from observed starts over its share where any position may be a start.
 
@@ -24,8 +35,7 @@ def learned(models: DataFrame, starts: DataFrame, before: int = BEFORE, after: i
     """
     used = models.where((F.col("fpkm") >= LEAST_FPKM) & (F.length("seq") > 0))
     observed = _windows(starts.join(used, "id"), "at", F.col("n").cast("double"), before, after).groupBy("offset", "base").agg(F.sum("w").alias("o"))
-    places = used.select("seq", "fpkm", F.explode(F.sequence(F.lit(0), F.length("seq") - 1)).alias("at"))
-    expected = _windows(places, "at", F.col("fpkm").cast("double"), before, after).groupBy("offset", "base").agg(F.sum("w").alias("e"))
+    expected = used.select(F.col("fpkm").cast("double").alias("f"), F.explode(_base_counts(before, after)).alias("c")).groupBy("c.offset", "c.base").agg(F.sum(F.col("f") * F.col("c.n")).alias("e"))
     w = Window.partitionBy("offset")
     both = expected.join(observed, ["offset", "base"], "left").withColumn("o", F.coalesce("o", F.lit(0.0)))
     return both.select("offset", "base", F.coalesce(F.try_divide(F.col("o") / F.sum("o").over(w), F.col("e") / F.sum("e").over(w)), F.lit(1.0)).alias("ratio"))

@@ -21,7 +21,7 @@ def segments(exons: Column, lo: Column, hi: Column) -> Column:
     return F.filter(parts, lambda e: e["lo"] <= e["hi"])
 
 
-def _bases(parts: Column) -> Column:
+def bases(parts: Column) -> Column:
     return F.aggregate(parts, F.lit(0), lambda n, e: n + e["hi"] - e["lo"] + 1)
 
 
@@ -46,8 +46,8 @@ def transcript_span(exons: Column, strand: Column, lo: Column, hi: Column, phase
     """First and last base of the coding sequence on the spliced transcript, from 1; the phase's bases are skipped. Null outside the exons."""
     skip = F.coalesce(phase.cast("int"), F.lit(0))
     inside = F.exists(exons, lambda e: (e["lo"] <= lo) & (lo <= e["hi"])) & F.exists(exons, lambda e: (e["lo"] <= hi) & (hi <= e["hi"]))
-    before, after = _bases(segments(exons, F.lit(1), lo - 1)), _bases(segments(exons, hi + 1, F.lit(2**31 - 1)))
-    length = _bases(exons)
+    before, after = bases(segments(exons, F.lit(1), lo - 1)), bases(segments(exons, hi + 1, F.lit(2**31 - 1)))
+    length = bases(exons)
     first, last = F.when(strand == "-", after).otherwise(before) + 1 + skip, length - F.when(strand == "-", before).otherwise(after)
     return F.when(inside, first), F.when(inside, last)
 
@@ -78,7 +78,7 @@ def spliced_sequences(models: DataFrame, contigs: DataFrame, size: int = PIECE)
         F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == 0, F.struct("k", "s")))), lambda p: p["s"]), "").alias("__seq"),
         F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == 1, F.struct("k", "s")))), lambda p: p["s"]).alias("__sites"),
     )
-    found = models.join(whole, "id").where(F.length("__seq") == _bases(F.col("exons")))
+    found = models.join(whole, "id").where(F.length("__seq") == bases(F.col("exons")))
     sites = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("__sites") - 2), F.lit(2)), lambda k: F.struct(F.get("__sites", k).alias("first"), F.get("__sites", k + 1).alias("last")))
     sites = F.when(F.size("__sites") > 1, sites).otherwise(F.array().cast("array<struct<first:string,last:string>>"))
     return found.withColumn("mrna", F.when(F.col("strand") == "-", reverse_complement(F.col("__seq"))).otherwise(F.col("__seq"))).withColumn("sites", sites).drop("__seq", "__sites")

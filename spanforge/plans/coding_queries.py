@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanforge.functions import sequence
-from spanforge.operators import coding, strands
+from spanforge.operators import bias, coding, strands
 from spanforge.plans.assembly_queries import _LINE_EXONS, order_models
 from spanforge.plans.interval_queries import _ORDERS, load, order_spans
 from spanforge.plans.registry import query
@@ -62,6 +62,20 @@ def coding_checks(spark: SparkSession, d: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "first", "last", "has_stop", "verdict", F.md5(F.col("protein").cast("binary")).alias("digest"))
 
 
+@query("start_bias", f"""WITH b AS (SELECT doc_id, {_BASES} AS seq FROM documents), n AS (SELECT doc_id, seq, length(seq) AS n, 1 + doc_id % 5 AS f, (doc_id * 7919) % length(seq) AS a FROM b WHERE length(seq) > 0),
+s AS (SELECT *, unnest([a, (a * 31 + 7) % n]) AS p FROM n),
+o AS (SELECT o AS "offset", substr(seq, (p + o + 1)::BIGINT, 1) AS base, count(*)::DOUBLE AS c FROM s, (SELECT unnest(range(-2, 3)) AS o) WHERE p + o >= 0 AND p + o < n GROUP BY ALL),
+e AS (SELECT o AS "offset", base, sum(f * (length(part) - length(replace(part, base, ''))))::DOUBLE AS c FROM (SELECT f, o, substr(seq, greatest(0, o) + 1, greatest(0, n - abs(o))) AS part FROM n, (SELECT unnest(range(-2, 3)) AS o)), (SELECT unnest(['A', 'C', 'G', 'T']) AS base) GROUP BY ALL)
+SELECT e."offset"::INT AS "offset", e.base, round(coalesce((coalesce(o.c, 0) / sum(coalesce(o.c, 0)) OVER w) / nullif(e.c / sum(e.c) OVER w, 0), 1), 9) AS ratio FROM e LEFT JOIN o ON o."offset" = e."offset" AND o.base = e.base WINDOW w AS (PARTITION BY e."offset")""")
+def start_bias(spark: SparkSession, d: str) -> DataFrame:
+    """Bases around two places of each text's letters over those around any place."""
+    models = bases(spark, d).where(F.length("seq") > 0).select(F.col("doc_id").alias("id"), "seq", (1.0 + F.col("doc_id") % 5).alias("fpkm"))
+    n = F.length("seq")
+    first = (F.col("id") * 7919) % n
+    starts = models.select("id", F.explode(F.array(first, (first * 31 + 7) % n)).alias("at"), F.lit(1).alias("n"))
+    return bias.learned(models, starts, 2, 3).select("offset", "base", F.round("ratio", 9).alias("ratio"))
+
+
 @query("protein_clusters", f"WITH {_PROTEINS} SELECT doc_id, CASE WHEN length(protein) > 0 THEN min(doc_id) OVER (PARTITION BY lang, protein) END AS p_id FROM p JOIN (SELECT doc_id, lang FROM documents) USING (doc_id)")
 def protein_clusters(spark: SparkSession, d: str) -> DataFrame:
     """Texts of one language whose letters translate to the same."""

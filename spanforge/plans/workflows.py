@@ -2,15 +2,25 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanforge.operators import abundance, assemble, cluster, dispersion, fragments, intervals, negbin, normalize, stats, uncertainty
+from spanforge.operators import abundance, assemble, bias, cluster, coding, dispersion, fragments, intervals, negbin, normalize, stats, uncertainty
+from spanforge.session import shared_dir
 from spanforge.sources import sam
 
 SLACK, LEAST_PER_KB = 50, 10.0
 
 
+def _kept(df: DataFrame) -> DataFrame:
+    """df as a table in the shared folder."""
+    path = f"{shared_dir(df.sparkSession)}/analysis-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def blocks_of(alignments: DataFrame) -> DataFrame:
     """alignments with ops and blocks: their MATCH stretches, half-open."""
     with_ops = sam.operations(alignments)
@@ -60,9 +70,10 @@ def assemble_sample(alignments: DataFrame, least_fraction: float = 0.1, min_mass
 
 
 def compatible_reads(alignments: DataFrame, models: DataFrame, library: str, bin: int = 10_000) -> DataFrame:
-    """(library, read_id, id, gene_id, length, mass) for each alignment and model that it lies in: all its blocks in exons, all introns shared.
+    """(library, read_id, left, id, gene_id, length, at, mass) for each alignment and model that it lies in: all its blocks in exons, all introns shared.
 
-    models have id, gene_id, contig, strand, exons (1-based closed).
+    models have id, gene_id, contig, strand, exons (1-based closed). at is the place on the transcript, from 0, of the alignment's
+    first base in the transcript's direction: its last on '-'.
     """
     spans = models.withColumns({"lo": F.get("exons", F.lit(0))["lo"] - 1, "hi": F.get("exons", F.size("exons") - 1)["hi"]})
     length = F.aggregate("exons_r", F.lit(0), lambda s, e: s + e["hi"] - e["lo"] + 1)
@@ -73,18 +84,31 @@ def compatible_reads(alignments: DataFrame, models: DataFrame, library: str, bin
     junctions = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("exons_r") - 1)), lambda k: F.concat_ws("-", F.get("exons_r", k - 1)["hi"], F.get("exons_r", k)["lo"] - 1))
     spliced = (F.size("blocks") < 2) | ((F.size("exons_r") > 1) & (F.size(F.array_except(gaps, junctions)) == 0))
     strands = intervals.strand_agree(F.col("strand"), F.col("strand_r"))
-    return pairs.where(inside & spliced & strands).select(library, "read_id", "left", F.col("id_r").alias("id"), F.col("gene_id_r").alias("gene_id"), length.alias("length"), "mass")
+    ahead = F.when(F.col("strand_r") == "-", coding.bases(coding.segments(F.col("exons_r"), F.col("hi") + 1, F.lit(2**31 - 1)))).otherwise(coding.bases(coding.segments(F.col("exons_r"), F.lit(1), F.col("lo"))))
+    at = ahead.cast("int")
+    return pairs.where(inside & spliced & strands).select(library, "read_id", "left", F.col("id_r").alias("id"), F.col("gene_id_r").alias("gene_id"), length.alias("length"), at.alias("at"), "mass")
+
+
+def _likely(reads: DataFrame, library: str, weights: DataFrame | None) -> DataFrame:
+    """reads with their locus and fragment, and p: how likely it is that the model gives one that begins there."""
+    p = 1.0 / F.col("length")
+    if weights is not None:
+        reads = reads.join(weights, ["id", "at"], "left")
+        p = F.coalesce(F.try_divide("weight", "effective"), p)
+    return reads.withColumns({"locus": F.to_json(F.struct(library, "gene_id")), "fragment": F.concat_ws(":", "read_id", "left"), "p": p}).drop("weight", "effective")
 
 
-def quantify(alignments: DataFrame, models: DataFrame, library: str = "library", norm: str = "classic", variances: DataFrame | None = None, draws: int = 0) -> DataFrame:
+def quantify(alignments: DataFrame, models: DataFrame, library: str = "library", norm: str = "classic", variances: DataFrame | None = None, draws: int = 0, weights: DataFrame | None = None) -> DataFrame:
     """(library, gene_id, id, length, count, fpkm, lo, hi, status, gamma, total, variance, scale): EM in each gene and library.
 
+    A fragment is as likely to begin at each place of a model, or as weights(id, at, weight, effective) says: by the weight of
+    its place over the sum of them, which is then the model's effective length.
+
     Masses are brought to a scale that is common to all libraries. total is the gene's mass in the library and variance its
     variance: Poisson, or what variances(mean, variance) has at it. gamma is the model's share, scale what makes FPKM of its count. lo
     and hi are two deviations away; with draws the posterior of the shares counts in them, from so many importance draws.
     """
-    reads = compatible_reads(alignments, models, library)
-    keyed = reads.withColumns({"locus": F.to_json(F.struct(library, "gene_id")), "fragment": F.concat_ws(":", "read_id", "left"), "p": 1.0 / F.col("length")})
+    keyed = _likely(compatible_reads(alignments, models, library), library, weights)
     mixed = abundance.mixtures(keyed, "locus", "fragment", "id", "p", "mass")
     masses = keyed.dropDuplicates(["locus", "fragment"]).groupBy("locus", library, "gene_id").agg(F.sum("mass").alias("total"))
     counts = masses.select(F.col("gene_id").alias("locus"), F.col(library).alias("library"), F.col("total").alias("n"))
@@ -97,6 +121,8 @@ def quantify(alignments: DataFrame, models: DataFrame, library: str = "library",
         scaled = dispersion.looked_up(scaled.withColumn("__g", F.lit(0)), one, ["__g"], "total").drop("__g")
     common = scaled.groupBy(library).agg(F.sum(F.col("total") / F.col("factor")).alias("__t")).agg(F.avg("__t").alias("__total"))
     lengths = models.select(F.col("id").alias("model"), F.aggregate("exons", F.lit(0), lambda s, e: s + e["hi"] - e["lo"] + 1).alias("length"))
+    if weights is not None:
+        lengths = lengths.join(weights.groupBy(F.col("id").alias("model")).agg(F.first("effective").alias("effective")), "model", "left").select("model", F.coalesce("effective", "length").alias("length"))
     found = mixed.join(scaled, "locus").join(lengths, "model").crossJoin(F.broadcast(common))
     g, t, v = F.col("gamma"), F.col("total"), F.col("variance")
     unsure = F.lit(0.0)
@@ -112,6 +138,29 @@ def quantify(alignments: DataFrame, models: DataFrame, library: str = "library",
     )
 
 
+def quantify_unbiased(alignments: DataFrame, models: DataFrame, contigs: DataFrame, library: str = "library", rounds: int = 2, before: int = bias.BEFORE, after: int = bias.AFTER, **options) -> tuple[DataFrame, DataFrame]:
+    """(quantified, ratios): quantify with the bias of fragment starts that its own results show, in turns.
+
+    Abundances say how many starts each place should have, these against those that are seen give the ratios of bases around
+    starts, a table of a few dozen rows, and the ratios new probabilities of all places. contigs(name, seq). What a
+    round makes is written to the shared folder.
+    """
+    sequences = _kept(coding.spliced_sequences(models, contigs).select("id", F.col("mrna").alias("seq")))
+    reads = _kept(compatible_reads(alignments, models, library))
+    found, weights, ratios = _kept(quantify(alignments, models, library, **options)), None, None
+    for _ in range(rounds):
+        # A fragment counts where each of its models has it, by what the mixture says.
+        likely = _likely(reads, library, weights).join(found.select(library, "id", "gamma"), [library, "id"])
+        total = F.sum(F.col("p") * F.col("gamma")).over(Window.partitionBy("locus", "fragment"))
+        starts = likely.withColumn("n", F.coalesce(F.try_divide(F.col("mass") * F.col("p") * F.col("gamma"), total), F.lit(0.0))).groupBy("id", "at").agg(F.sum("n").alias("n"))
+        levels = found.groupBy("id").agg(F.avg("fpkm").alias("fpkm"))
+        ratios = _kept(bias.learned(sequences.join(levels, "id"), starts, before, after))
+        places = bias.position_weights(sequences, ratios, before, after)
+        weights = _kept(places.withColumn("effective", F.sum("weight").over(Window.partitionBy("id"))))
+        found = _kept(quantify(alignments, models, library, weights=weights, **options))
+    return found, ratios
+
+
 def fpkm_covariance(quantified: DataFrame, library: str = "library") -> DataFrame:
     """(library, gene_id, id, other, covariance) of the FPKM of each gene's models in each library."""
     keyed = quantified.withColumn("locus", F.to_json(F.struct(library, "gene_id")))
