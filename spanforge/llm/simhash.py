@@ -18,6 +18,8 @@ from spanforge.llm.xxh import xxh64
 
 #: Members of a bucket that are compared with each other inside one task; larger buckets are linked through shared neighbours.
 SMALL_BUCKET = 256
+#: Ids that are broadcast at most, of eight bytes each.
+MOST_BROADCAST = 1_000_000
 
 _SPREAD = ((np.arange(256, dtype=np.uint64)[:, None] >> np.arange(8, dtype=np.uint64)) & np.uint64(1)) << (np.arange(8, dtype=np.uint64) * np.uint64(8))
 _SPREAD = _SPREAD.sum(axis=1, dtype=np.uint64)
@@ -229,13 +231,18 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", rad
 def least_of_each_group(docs: DataFrame, groups: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs whose id is the component_id that groups(id, component_id) names, and those without id.
 
-    The groups hold ids alone; the texts meet them in one join. Of rows that repeat both the least id and its text one stays;
-    rows with that id and another text stay as well.
+    groups has a row for each row of docs. Of rows that repeat both the least id and its text one stays; rows with that id and another
+    text stay as well. The ids that go and those that repeat are found on ids alone; where they are at most MOST_BROADCAST the
+    texts stay where they are, but for those of repeated ids, and else they meet the ids in one join.
     """
-    stay = groups.where(F.col(id) == F.col("component_id")).select(id).distinct()
+    seen = groups.where(F.col(id).isNotNull()).groupBy(id).agg(F.max(F.col(id) == F.col("component_id")).alias("__stays"), F.count("*").alias("__n")).where("NOT __stays OR __n > 1")
+    special = written(seen, "special")
+    few = special.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
+    met = F.broadcast if few else (lambda df: df)
+    once = docs.join(met(special.select(id)), id, "left_anti")
     digest = unused(docs, "digest")
-    kept = docs.join(stay, id, "left_semi").withColumn(digest, F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256))
-    return kept.dropDuplicates([id, digest]).select(*docs.columns).unionByName(docs.where(F.col(id).isNull()))
+    repeated = docs.join(met(special.where("__stays AND __n > 1").select(id)), id, "left_semi").withColumn(digest, F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256))
+    return once.select(*docs.columns).unionByName(repeated.dropDuplicates([id, digest]).select(*docs.columns))
 
 
 def one_of_each_group(docs: DataFrame, id: str = "doc_id", text: str = "text", **options: int) -> DataFrame:

@@ -850,6 +850,16 @@ def test_near_copies_equal_brute_force(spark, small_bucket, block):
     assert nearcopies.near_copies(docs.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("most", [1_000_000, 0])
+def test_least_rows_of_groups_by_either_join(spark, monkeypatch, most):
+    monkeypatch.setattr(simhash, "MOST_BROADCAST", most)
+    docs = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (3, "c"), (3, "d"), (4, "e"), (4, "f"), (None, "g"), (None, "g")], "doc_id long, text string").withColumn("digest", F.lit("mine"))
+    groups = spark.createDataFrame([(1, 1), (2, 1), (3, 3), (3, 3), (3, 1), (4, 1), (4, 2), (None, 7), (None, None)], "doc_id long, component_id long")
+    got = sorted((r.doc_id or 0, r.text) for r in simhash.least_of_each_group(docs, groups).collect())
+    assert got == [(0, "g"), (0, "g"), (1, "a"), (3, "c"), (3, "d")]
+    assert simhash.least_of_each_group(docs.where("false"), groups.where("false")).count() == 0
+
+
 def test_rows_that_share_an_id_and_not_a_text_stay(spark):
     rng = random.Random(12)
     a, b, c = (sentence(rng, 40) for _ in range(3))
