@@ -179,8 +179,9 @@ def best_overlap(spark: SparkSession, d: str) -> DataFrame:
 
 @query("class_code", f"""WITH {_ORDERS}, r AS (SELECT * FROM o WHERE o_orderpriority LIKE '1%'), q AS (SELECT o_orderkey, o_custkey, lo + o_orderkey % 7 AS lo, hi - o_orderkey % 5 AS hi FROM o WHERE o_orderpriority NOT LIKE '1%'),
 p AS (SELECT q.o_orderkey, r.o_orderkey AS ref, least(q.hi, r.hi) - greatest(q.lo, r.lo) AS shared, q.hi - q.lo AS ql, r.hi - r.lo AS rl FROM q JOIN r ON q.o_custkey = r.o_custkey AND q.lo < r.hi AND r.lo < q.hi),
-c AS (SELECT *, CASE WHEN shared >= 0.8 * greatest(ql, rl) OR shared >= 0.9 * rl THEN '=' WHEN ql < rl AND shared >= 0.8 * ql THEN 'c' ELSE 'o' END AS code FROM p),
-k AS (SELECT *, row_number() OVER (PARTITION BY o_orderkey ORDER BY CASE code WHEN '=' THEN 0 WHEN 'c' THEN 2 ELSE 8 END, shared DESC, rl DESC, ref) AS n FROM c)
+c AS (SELECT *, CASE WHEN shared >= 0.8 * greatest(ql, rl) OR shared >= 0.9 * rl THEN '=' WHEN ql < rl AND shared >= 0.8 * ql THEN 'c' ELSE 'o' END AS code FROM p
+  UNION ALL SELECT q.o_orderkey, r.o_orderkey, 0, q.hi - q.lo, r.hi - r.lo, 'p' FROM q JOIN r ON q.o_custkey = r.o_custkey AND q.lo < r.hi + 2000 AND r.hi < q.hi),
+k AS (SELECT *, row_number() OVER (PARTITION BY o_orderkey ORDER BY CASE code WHEN '=' THEN 0 WHEN 'c' THEN 2 WHEN 'o' THEN 8 ELSE 90 END, shared DESC, rl DESC, ref) AS n FROM c)
 SELECT q.o_orderkey, coalesce(k.code, 'u') AS code, k.ref AS reference FROM q LEFT JOIN k ON q.o_orderkey = k.o_orderkey AND k.n = 1""")
 def class_code(spark: SparkSession, d: str) -> DataFrame:
     """Spans of a customer's orders as single-exon models against those of urgent orders."""
@@ -194,6 +195,4 @@ def class_code(spark: SparkSession, d: str) -> DataFrame:
     urgent = F.col("o_orderpriority").startswith("1")
     reference = model(o.where(urgent), F.col("lo"), F.col("hi"))
     asked = model(o.where(~urgent), F.col("lo") + F.col("o_orderkey") % 7, F.col("hi") - F.col("o_orderkey") % 5)
-    found = classified(asked, reference, bin=60).where("code <> 'p'")
-    rest = asked.join(found.select("id"), "id", "left_anti").select("id", F.lit("u").alias("code"), F.lit(None).cast("bigint").alias("reference"))
-    return found.select("id", "code", "reference").unionByName(rest).withColumnRenamed("id", "o_orderkey")
+    return classified(asked, reference, bin=60).select(F.col("id").alias("o_orderkey"), "code", "reference")

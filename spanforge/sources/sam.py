@@ -39,7 +39,12 @@ def alignments(spark: SparkSession, path: str, soft_clip: str = "reference", lon
     Records that are unmapped, have an unknown operation or one without length, an intron over the limit or a mate on another contig are
     left out. soft_clip='reference' lets clipped bases take up reference, 'standard' doesn't.
     """
-    rows = spark.read.text(path).where(~F.startswith("value", F.lit("@"))).select(F.split("value", "\t").alias("f")).where(F.size("f") >= 11)
+    return from_lines(spark.read.text(path), soft_clip, longest_intron)
+
+
+def from_lines(lines: DataFrame, soft_clip: str = "reference", longest_intron: int = LONGEST_INTRON) -> DataFrame:
+    """alignments of lines(value) of SAM text, wherever they come from."""
+    rows = lines.where(~F.startswith("value", F.lit("@"))).select(F.split("value", "\t").alias("f")).where(F.size("f") >= 11)
     f = lambda k: F.get(F.col("f"), F.lit(k))
     # A record with an operation that isn't known goes as a whole.
     parsed = rows.where(f(5).rlike(r"^([0-9]+[MIDNSHP=X])+$")).select(
