@@ -17,12 +17,25 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Spark's setting by which a job's shuffle files are deleted when it ends.
+_SHUFFLES_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def _stored(df: DataFrame, path: str) -> DataFrame:
+    """df written to path and read again. What was shuffled on the way is deleted: the table stands for it."""
+    conf = df.sparkSession.conf
+    before = conf.get(_SHUFFLES_GO, None)
+    conf.set(_SHUFFLES_GO, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.unset(_SHUFFLES_GO) if before is None else conf.set(_SHUFFLES_GO, before)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder: cuts the lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return _stored(df, fresh_path(df.sparkSession, name))
 
 
 def removed(spark: SparkSession, path: str) -> None:
@@ -39,8 +52,7 @@ class Scratch:
 
     def written(self, df: DataFrame, name: str) -> DataFrame:
         self.paths.append(fresh_path(self.spark, name))
-        df.write.parquet(self.paths[-1])
-        return self.spark.read.schema(df.schema).parquet(self.paths[-1])
+        return _stored(df, self.paths[-1])
 
     def forget(self, keep: int = 0) -> None:
         """Delete all tables but the last keep ones."""
