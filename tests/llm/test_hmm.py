@@ -170,3 +170,15 @@ def test_long_text_goes_in_piece_by_piece(monkeypatch, spark):
 def test_held_out_documents_score_above_the_base(spark):
     rows = [r for r in hmm.scored(spark.read.parquet(f"{SF}/documents.parquet")).collect() if r.held_out]
     assert sum(r.score for r in rows) > sum(r.base_score for r in rows) and len(rows) > 10
+
+
+@pytest.mark.parametrize(("block", "part"), [(10**6, 1 << 20), (60, 40)])
+def test_words_below_the_share_have_their_own_emissions(spark, rows, monkeypatch, block, part):
+    want = brute(rows, 2, 2)
+    # With this share hardly a word is in every task's table, as in a large corpus.
+    monkeypatch.setattr(hmm, "OWN_SHARE", 0.05)
+    monkeypatch.setattr(hmm, "PART_TOKENS", part, raising=False)
+    got = hmm.scored(spark.createDataFrame(rows, SCHEMA).coalesce(2), states=2, rounds=2, block_tokens=block, segment=50).collect()
+    key = lambda r: (r[0] is None, r[0] or 0, r[2], r[6])
+    got, want = sorted((tuple(r) for r in got), key=key), sorted(want, key=key)
+    assert [r[:5] for r in got] == [r[:5] for r in want] and np.allclose([r[6] for r in got], [r[6] for r in want], rtol=1e-4)
