@@ -35,6 +35,8 @@ MAGIC, TRAILER = b"TOKSHRD1", b"TOKSEND1"
 _HEAD = struct.Struct("<8sQQQ")
 #: Ids of a shard at least; a document lies in one shard.
 SHARD_IDS = 8 << 20
+#: Characters that are encoded at once; each takes about a hundred bytes meanwhile.
+ENCODED_CHARS = 1 << 17
 #: Keys of an index bucket, on average.
 BUCKET_KEYS = 1 << 14
 #: Bits for each key left at a level.
@@ -101,7 +103,7 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list[list[bytes]] = [[] for _ in texts]
-        for group in grouped(texts):
+        for group in grouped(texts, ENCODED_CHARS):
             buf, begin, end, first = self.machine.words_of([t for _, t in group])
             ids, n = self.known.ids(self.known.numbers(buf, begin, end))
             at = np.concatenate([[0], np.cumsum(n)])[first] * self.dtype.itemsize
@@ -132,8 +134,10 @@ class Shard:
         self.ids += self.sizes[-1]
 
     def body(self) -> bytes:
+        """The shard as bytes; its documents' ids are let go."""
         at = np.concatenate([[0], np.cumsum(self.sizes)])[:-1]
-        return b"".join([_HEAD.pack(MAGIC, len(self.keys), self.ids, self.dtype.itemsize), *self.parts, np.array(self.keys, "<i8").tobytes(), np.array(self.copies, "<u4").tobytes(), np.array(self.there, np.uint8).tobytes(), at.astype("<u8").tobytes()])
+        parts, self.parts = self.parts, []
+        return b"".join([_HEAD.pack(MAGIC, len(self.keys), self.ids, self.dtype.itemsize), *parts, np.array(self.keys, "<i8").tobytes(), np.array(self.copies, "<u4").tobytes(), np.array(self.there, np.uint8).tobytes(), at.astype("<u8").tobytes()])
 
 
 @dataclass

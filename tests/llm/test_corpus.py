@@ -758,6 +758,23 @@ def test_transducer_forgets_and_long_words(library, monkeypatch):
         assert machine.count_texts(texts).tolist() == [len(x.ids) for x in library.encode_batch_fast(texts, add_special_tokens=False)]
 
 
+def test_encoder_memory_is_small_whatever_the_batch(library):
+    import tracemalloc
+
+    rng = random.Random(21)
+    words = [sentence(rng, 1) for _ in range(300)]
+    texts = [" ".join(rng.choices(words, k=400)) for _ in range(1000)]
+    encoder = tokenfile.Encoder(PATH)
+    want = [x.ids for x in library.encode_batch(texts, add_special_tokens=False)]
+    encoder.encode(texts[:10])
+    tracemalloc.start()
+    got = encoder.encode(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [np.frombuffer(x, encoder.dtype).tolist() for x in got] == want
+    assert sum(map(len, texts)) > 2_000_000 and peak < 20_000_000
+
+
 def test_token_files_round_trip(spark, docs, nothing, library):
     rows = sorted(fixture_rows(), key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
     start, expected = 0, []
