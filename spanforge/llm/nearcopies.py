@@ -31,6 +31,8 @@ RADIUS, SEGMENTS = 24, 8
 SMALL_BUCKET = 8
 #: Shingles of a block of members that are compared in one task (64 more are counted for each member).
 BLOCK_SHINGLES = 1 << 19
+#: Bits of the filter on the ids whose texts are needed, for each and at most: it only spares work, a join decides.
+FILTER_BITS, MOST_FILTER_BITS = 32, 1 << 27
 #: Sets from which on a shingle is a column of a matrix; columns and asking sets of one product.
 OFTEN, COLUMNS, TOGETHER = 32, 512, 512
 
@@ -96,9 +98,32 @@ def _sketched(shingle: int):
     return run
 
 
-def _sets(shingle: int):
+def _places(ids: pa.Array, words: int) -> np.ndarray:
+    return mix(np.asarray(ids.fill_null(0)).view(np.uint64)) % np.uint64(64 * words)
+
+
+def _filter(needed: DataFrame) -> np.ndarray:
+    """Bits in 64-bit words, of which those of all ids of needed(rep) are set."""
+    words = max(1, min(FILTER_BITS * needed.count(), MOST_FILTER_BITS) >> 6)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = _places(batch.column(0), words)
+            yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(6)).view(np.int64)), pa.array((np.uint64(1) << (at & np.uint64(63))).view(np.int64))], names=["word", "bits"])
+
+    found = needed.select("rep").mapInArrow(place, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(words, np.uint64)
+    out[found["word"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
+    return out
+
+
+def _sets(shingle: int, given):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = given.value
         for batch in batches:
+            at = _places(batch.column(0), len(bits))
+            asked = (bits[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+            batch = batch.filter(pa.array(asked & np.asarray(batch.column(0).is_valid())))
             for i, j, texts in slices(batch.column(1)):
                 g, first = shingle_sets(texts, shingle)
                 a, b = names(g, first)
@@ -109,10 +134,12 @@ def _sets(shingle: int):
 
 
 def _sets_of(needed: DataFrame, reps: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
-    """(rep, grams) of needed(rep). Sets are made again for what is needed, not kept for all."""
-    sets = docs.join(needed.select(F.col("rep").alias("id")), "id", "left_semi").select("id", "text").mapInArrow(_sets(shingle), "rep long, a long, b long, grams array<long>")
+    """(rep, grams) of needed(rep). Sets are made again for what is needed, not kept for all; no text is shuffled."""
+    given = docs.sparkSession.sparkContext.broadcast(_filter(needed))
+    sets = docs.select("id", "text").mapInArrow(_sets(shingle, given), "rep long, a long, b long, grams array<long>")
     # An id may stand on rows with different texts; of these, the sets that it represents count.
-    return sets.join(reps.select("rep", "a", "b"), ["rep", "a", "b"], "left_semi").dropDuplicates(["rep", "a", "b"]).select("rep", "grams")
+    wanted = reps.select("rep", "a", "b").join(needed, "rep", "left_semi")
+    return sets.join(wanted, ["rep", "a", "b"], "left_semi").dropDuplicates(["rep", "a", "b"]).select("rep", "grams")
 
 
 def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, shingle: int, scratch: Scratch) -> DataFrame:

@@ -1,6 +1,7 @@
 """The corpus operators against brute force on small fixtures: nulls, empty and long texts, ties, repeated rows, clashing names."""
 
 import hashlib
+import itertools
 import os
 import random
 import re
@@ -759,8 +760,6 @@ def test_transducer_forgets_and_long_words(library, monkeypatch):
 
 
 def test_encoder_memory_is_small_whatever_the_batch(library):
-    import tracemalloc
-
     rng = random.Random(21)
     words = [sentence(rng, 1) for _ in range(300)]
     texts = [" ".join(rng.choices(words, k=400)) for _ in range(1000)]
@@ -867,6 +866,24 @@ def test_near_copies_equal_brute_force(spark, small_bucket, block):
     assert nearcopies.near_copies(docs.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("most", [1 << 27, 64])
+def test_sets_are_made_where_the_texts_are(spark, monkeypatch, most):
+    monkeypatch.setattr(nearcopies, "MOST_FILTER_BITS", most, raising=False)
+    rng = random.Random(13)
+    docs = spark.createDataFrame([(k, sentence(rng, 20)) for k in range(200)] + [(5, "another text"), (None, "x"), (6, None)], "id long, text string")
+    made = docs.mapInArrow(nearcopies._sketched(5), "id long, a long, b long, size long, fp long, keys array<long>").where("id IS NOT NULL")
+    reps = made.groupBy("a", "b").agg(F.min("id").alias("rep"))
+    needed = spark.createDataFrame([(k,) for k in range(0, 200, 3)] + [(5,), (6,), (999,)], "rep long")
+    sets = nearcopies._sets_of(needed, reps, docs, 5)
+    assert Counter(r.rep for r in sets.collect()) == Counter({5: 2, 6: 2} | {k: 1 + (k == 6) for k in range(0, 200, 3)})
+    # Below the step that makes sets nothing is joined, so that texts are read where they lie.
+    lines = sets._jdf.queryExecution().analyzed().toString().splitlines()
+    at = next(k for k, line in enumerate(lines) if "MapInArrow" in line)
+    depth = lines[at].index("MapInArrow")
+    below = [*itertools.takewhile(lambda line: len(line) - len(line.lstrip(" :+-")) > depth, lines[at + 1 :])]
+    assert below and not any("Join" in line for line in below)
+
+
 @pytest.mark.parametrize("most", [1_000_000, 0])
 def test_least_rows_of_groups_by_either_join(spark, monkeypatch, most):
     monkeypatch.setattr(simhash, "MOST_BROADCAST", most)
