@@ -125,8 +125,9 @@ def near(counted: DataFrame) -> DataFrame:
     def named(df: DataFrame) -> DataFrame:
         return df.select(*keys, F.col("word").alias("other"), F.col("n").alias("n_other"), *([F.col("taken").alias("given")] if "taken" in df.columns else []))
 
-    exchanged = minus.join(named(minus), keys).where((F.col("word") < F.col("other")) & (F.col("taken") != F.col("given")) & apart).select("word", "n", "other", "n_other")
-    removed = minus.join(named(whole), keys).where(apart).select("word", "n", "other", "n_other").distinct()
+    # Spark sizes rows that are laid out from a row as that row: it would send all of them to every task by way of the driver.
+    exchanged = minus.join(named(minus).hint("merge"), keys).where((F.col("word") < F.col("other")) & (F.col("taken") != F.col("given")) & apart).select("word", "n", "other", "n_other")
+    removed = minus.join(named(whole).hint("merge"), keys).where(apart).select("word", "n", "other", "n_other").distinct()
     both = F.array(F.struct("word", "other", "n_other"), F.struct(F.col("other").alias("word"), F.col("word").alias("other"), F.col("n").alias("n_other")))
     return exchanged.union(removed).select(F.explode(both).alias("p")).select("p.*")
 
@@ -142,7 +143,7 @@ def variants(docs: DataFrame, id: str = "doc_id", text: str = "text", least_lett
     counted = scratch.written(words(docs, id, text, least_letters, least_count, noise), "words")
     best = near(counted).groupBy("word").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("n_other")).alias("less"), "other")).alias("b"))
     best = best.select("word", "n_near", F.col("b.other").alias("other"), (-F.col("b.less")).alias("other_n"))
-    joined = counted.join(best, "word", "left")
+    joined = counted.join(best.hint("merge"), "word", "left")
     taken = F.col("other_n") >= ratio * F.col("n")
     formed = scratch.written(
         joined.select("word", "n", F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"), F.when(taken, F.col("other")).alias("form"), F.when(taken, F.col("other_n")).alias("form_n")), "formed"
@@ -150,12 +151,12 @@ def variants(docs: DataFrame, id: str = "doc_id", text: str = "text", least_lett
     links = formed.where("form IS NOT NULL").select("word", F.col("form").alias("to"))
     for _ in range(MOST_ROUNDS):
         beyond = links.select(F.col("word").alias("to"), F.col("to").alias("beyond"))
-        hopped = scratch.written(links.join(beyond, "to", "left").select("word", F.coalesce("beyond", "to").alias("to"), F.col("beyond").isNotNull().alias("moved")), "links")
+        hopped = scratch.written(links.join(beyond.hint("merge"), "to", "left").select("word", F.coalesce("beyond", "to").alias("to"), F.col("beyond").isNotNull().alias("moved")), "links")
         moved = hopped.where("moved").limit(1).count()
         links = hopped.select("word", "to")
         if not moved:
             break
-    return scratch.result(formed.join(links, "word", "left").select("word", "n", "n_near", "form", "form_n", F.coalesce("to", "word").alias("root")), "variants")
+    return scratch.result(formed.join(links.hint("merge"), "word", "left").select("word", "n", "n_near", "form", "form_n", F.coalesce("to", "word").alias("root")), "variants")
 
 
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:

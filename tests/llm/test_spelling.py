@@ -91,6 +91,15 @@ def test_long_chains_end(spark):
     assert got == {w: words[12] if k <= 12 else w for k, w in enumerate(words)}
 
 
+def test_no_words_go_through_the_driver(spark, tmp_path):
+    """Keys are many times the words that Spark sizes them by: neither planned nor adaptive joins may broadcast them."""
+    spark.createDataFrame([("a" * k + "b" * j, k + 3) for k in range(3, 9) for j in range(3, 9)], "word string, n long").write.parquet(str(tmp_path / "words"))
+    found = spelling.near(spark.read.parquet(str(tmp_path / "words")))
+    plan = found._jdf.queryExecution()
+    assert "Broadcast" not in plan.executedPlan().toString()
+    assert found.count() and "Broadcast" not in plan.executedPlan().toString()
+
+
 @settings(max_examples=15, deadline=None)
 @given(st.sets(st.text(alphabet="abß×", min_size=4, max_size=9), max_size=40))
 def test_near_words_equal_all_pairs(spark, words):
