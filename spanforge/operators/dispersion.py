@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import functools
+import operator
 from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanforge.session import importable_on_workers
@@ -61,25 +63,29 @@ def pooled(models: DataFrame, replicates: DataFrame, group: str) -> DataFrame:
 def looked_up(points: DataFrame, model: DataFrame, group: Sequence[str], mean: str) -> DataFrame:
     """points with variance: piecewise linear in the model(group, mean, variance), carried on beyond its ends, not below the mean.
 
-    One ordered pass over points and model together; no pair is made.
+    A group's model is one array in order, which every task gets; a point finds its place in it by halving and stays where it is.
     """
-    p = points.select("*", F.lit(1).alias("__side"), F.col(mean).cast("double").alias("__x"), F.lit(None).cast("struct<x:double,y:double>").alias("__k"))
-    first = Window.partitionBy(*group).orderBy("mean")
-    m = model.select(*group, F.col("mean").alias("__x"), F.struct(F.col("mean").alias("x"), F.col("variance").alias("y")).alias("__k"), F.lit(0).alias("__side"), F.row_number().over(first).alias("__n"))
-    # The two ends stand in for brackets beyond them.
-    ends = m.where("__n <= 2").groupBy(*group).agg(F.array_sort(F.collect_list("__k")).alias("__low"))
-    tops = model.groupBy(*group).agg(F.max(F.struct(F.col("mean").alias("x"), F.col("variance").alias("y"))).alias("__last"))
-    both = p.unionByName(m.drop("__n"), allowMissingColumns=True)
-    w = Window.partitionBy(*group).orderBy("__x", "__side")
-    below = F.last("__k", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    above = F.first("__k", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
-    prior = m.withColumn("__prev", F.lag("__k").over(Window.partitionBy(*group).orderBy("__x"))).groupBy(*group).agg(F.max_by("__prev", "__x").alias("__before_last"))
-    found = both.withColumns({"__a": below, "__b": above}).where("__side = 1").join(ends, list(group), "left").join(tops, list(group), "left").join(prior, list(group), "left")
-    a = F.when(F.col("__a").isNull(), F.get("__low", F.lit(0))).when(F.col("__b").isNull(), F.coalesce("__before_last", "__last")).otherwise(F.col("__a"))
-    b = F.when(F.col("__a").isNull(), F.coalesce(F.get("__low", F.lit(1)), F.get("__low", F.lit(0)))).when(F.col("__b").isNull(), F.col("__last")).otherwise(F.col("__b"))
-    x, width = F.col("__x"), b["x"] - a["x"]
-    y = F.when(width > 0, a["y"] + (x - a["x"]) * (b["y"] - a["y"]) / width).otherwise(a["y"])
-    return found.withColumn("variance", F.greatest(x, F.coalesce(y, x))).select(*points.columns, "variance")
+    keys = {c: f"__key_{i}" for i, c in enumerate(group)}
+    knot = F.struct(F.col("mean").cast("double").alias("x"), F.col("variance").cast("double").alias("y"))
+    knots = model.where("mean IS NOT NULL").groupBy(*(F.col(c).alias(k) for c, k in keys.items())).agg(F.array_sort(F.collect_list(knot)).alias("__k"))
+    same = functools.reduce(operator.and_, (F.col(c).eqNullSafe(F.col(k)) for c, k in keys.items()))
+    placed = points.withColumn("__x", F.col(mean).cast("double")).join(F.broadcast(knots), same, "left")
+    n, x = F.size("__k"), F.col("__x")
+
+    def halve(s: Column, _: Column) -> Column:
+        half = F.shiftright(s["lo"] + s["hi"], 1)
+        above = F.get("__k", half)["x"] <= x
+        # Once lo is hi, the place is found.
+        return F.when(s["lo"] == s["hi"], s).when(above, F.struct((half + 1).alias("lo"), s["hi"].alias("hi"))).otherwise(F.struct(s["lo"].alias("lo"), half.alias("hi")))
+
+    steps = F.sequence(F.lit(1), F.ceil(F.log2(n + 1)).cast("int"))
+    found = placed.withColumn("__at", F.aggregate(steps, F.struct(F.lit(0).alias("lo"), n.alias("hi")), halve)["lo"])
+    # The two knots at either end stand in for brackets beyond them.
+    b = F.greatest(F.lit(0), F.least(F.greatest(F.col("__at"), F.lit(1)), n - 1))
+    ends = found.withColumns({"__a": F.get("__k", F.greatest(F.lit(0), b - 1)), "__b": F.get("__k", b)})
+    width = F.col("__b.x") - F.col("__a.x")
+    y = F.when(width > 0, F.col("__a.y") + (x - F.col("__a.x")) * (F.col("__b.y") - F.col("__a.y")) / width).otherwise(F.col("__a.y"))
+    return ends.withColumn("variance", F.greatest(x, F.coalesce(y, x))).select(*points.columns, "variance")
 
 
 def count_covariance(gammas: DataFrame, locus: str, model: str, gamma: str, total: str, variance: str, draws: int = 100, assignments: int = 50, seed: int = 0) -> DataFrame:

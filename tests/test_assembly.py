@@ -59,6 +59,27 @@ def test_variance_model(spark):
     assert pooled.count() == len(by["g"])
 
 
+def test_points_are_looked_up_where_they_are(spark):
+    """One group of many points is neither ordered nor held in a task: time was the square of its points."""
+    rng = np.random.default_rng(1)
+    knots = {g: np.sort(rng.uniform(0, 100, n)) for g, n in (("a", 2), ("b", 37), (None, 5))}
+    line = spark.createDataFrame([(g, float(x), float(x * x + 1)) for g, at in knots.items() for x in at], "grp string, mean double, variance double")
+    rows = [(g, k, float(x)) for g, at in knots.items() for k, x in enumerate([*rng.uniform(-20, 140, 300), *at])] + [("none", 0, 7.0), ("a", 1000, None)]
+    found = dispersion.looked_up(spark.createDataFrame(rows, "grp string, id int, m double"), line, ["grp"], "m")
+    got = {(r.grp, r.id): r.variance for r in found.collect()}
+    assert len(got) == len(rows)
+    for g, k, x in rows:
+        if x is None or g not in knots:
+            assert got[g, k] == x
+            continue
+        at = knots[g]
+        i = min(max(np.searchsorted(at, x, side="right"), 1), len(at) - 1)
+        (a, b), (c, d) = at[i - 1 : i + 1], at[i - 1 : i + 1] ** 2 + 1
+        assert got[g, k] == pytest.approx(max(x, c + (x - a) * (d - c) / (b - a)), rel=1e-12)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "SortMergeJoin" not in plan
+
+
 def test_count_covariance(spark):
     df = spark.createDataFrame([("L", "a", 0.5, 1000.0, 1000.0), ("L", "b", 0.5, 1000.0, 1000.0), ("M", "c", 1.0, 100.0, 300.0)], "locus string, model string, g double, t double, v double")
     run = lambda d: {(r.model, r.other): r.covariance for r in dispersion.count_covariance(d, "locus", "model", "g", "t", "v", draws=400).collect()}
