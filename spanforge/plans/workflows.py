@@ -197,6 +197,8 @@ def modelled_variances(moments: DataFrame, replicates: dict[str, int], seed: int
     every = single
     for part in parts:
         every = every.unionByName(part)
+    # Asked for its size, fitted and looked up.
+    every = _kept(every)
     usable = every.where(F.col("condition").isin([c for c, n in replicates.items() if n > 1]) & (F.col("mean") > 0) & (F.col("variance") > 0))
     if usable.limit(dispersion.LEAST_LOCI * len(replicates)).count() < dispersion.LEAST_LOCI * len(replicates):
         return every

@@ -90,3 +90,13 @@ def test_splicing(spark):
     four = spark.createDataFrame([(f"{c}{k}", c) for c in "xy" for k in range(4)], "library string, condition string")
     tests = workflows.splicing(spark.createDataFrame(null, q.schema), four, contrasts, draws=500).collect()
     assert len(tests) == 60 and sum(r.p_value < 0.05 for r in tests) <= 12
+
+
+def test_modelled_variances_order_no_gene(spark):
+    """All genes are one group of the model: none may wait for a task that orders them all."""
+    rng = random.Random(5)
+    genes = [(f"g{k}", c, m, m + 0.1 * m * m * rng.uniform(0.5, 1.5)) for k in range(60) for c in "xy" for m in [rng.uniform(5, 5000)]]
+    found = workflows.modelled_variances(spark.createDataFrame(genes, "gene_id string, condition string, mean double, variance double"), {"x": 3, "y": 3})
+    assert "Window" not in found._jdf.queryExecution().executedPlan().toString()
+    got = {(r.gene_id, r.condition): (r["mean"], r.variance) for r in found.collect()}
+    assert len(got) == len(genes) and all(got[g, c][0] == m and m <= got[g, c][1] < m + m * m for g, c, m, _ in genes)
