@@ -5,11 +5,12 @@ A covariance table has rows (locus, model, other, covariance) for all ordered pa
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from math import lgamma
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -157,33 +158,165 @@ def importance_moments(row: np.ndarray, model: np.ndarray, p: np.ndarray, mass:
     return mean, cov, float(1 / (w * w).sum())
 
 
+def _many_weights(p: np.ndarray, mass: np.ndarray, most: int = 5000, tolerance: float = 1e-5) -> np.ndarray:
+    """em_sparse's weights for many loci side by side: p (loci, rows, models), mass (loci, rows), both 0 where a locus has no row."""
+    loci, _, n = p.shape
+    out, at, gamma, before = np.empty((loci, n)), np.arange(loci), np.full((loci, n), 1 / n), np.full(loci, -np.inf)
+    whole, live = mass.sum(axis=1)[:, None], np.ones(loci, bool)
+    for k in range(1, most + 1):
+        total = np.maximum(np.einsum("lrn,ln->lr", p, gamma), 1e-300)
+        likelihood = (mass * np.log(np.where(mass > 0, total, 1.0))).sum(axis=1)
+        new = gamma * np.einsum("lrn,lr->ln", p, mass / total) / whole
+        gamma = np.where(live[:, None], new, gamma)
+        if k > 3:
+            live &= np.abs(likelihood - before) > tolerance
+        before = likelihood
+        if not live.any():
+            break
+        if live.sum() * 2 < len(at):  # what has settled goes
+            out[at] = gamma
+            p, mass, whole, at, gamma, before = p[live], mass[live], whole[live], at[live], gamma[live], before[live]
+            live = np.ones(len(at), bool)
+    out[at] = gamma
+    return out
+
+
+def _log_likelihoods(p: np.ndarray, mass: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Of the weights in each column of x (models, draws), under rows p (rows, models) of this mass.
+
+    Logs are what takes time: where masses are whole, rows are multiplied first, for each binary digit of the masses.
+    """
+    mixed = p @ x
+    if (mass == np.floor(mass)).all() and mass.max(initial=0) < 1 << 20:
+        left, total = mass.astype(np.int64), np.zeros(x.shape[1])
+        for digit in range(int(left.max(initial=0)).bit_length()):
+            some = (left >> digit & 1).astype(bool)
+            if some.any():
+                product = np.multiply.reduce(mixed[some], axis=0)
+                if product.min() < 1e-290:
+                    break
+                total += (1 << digit) * np.log(product)
+        else:
+            return total
+    return mass @ np.log(np.maximum(mixed, 1e-300))
+
+
+def _many_moments(p: np.ndarray, mass: np.ndarray, draws: int, rngs: list[np.random.Generator]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """importance_moments for many loci of as many models side by side, each with its own stream."""
+    loci, _, n = p.shape
+    d, freedom = n - 1, 5
+    basis = np.linalg.qr(np.eye(n)[:, :d] - 1 / n)[0]
+    mean = _many_weights(p, mass)
+    slope = p / np.maximum(np.einsum("lrn,ln->lr", p, mean), 1e-300)[:, :, None]
+    inner = basis.T @ (np.swapaxes(slope * mass[:, :, None], 1, 2) @ slope) @ basis
+    inner += np.eye(d) * np.maximum(RIDGE * np.trace(inner, axis1=1, axis2=2) / d, 1e-12)[:, None, None]
+    cov = basis @ np.linalg.inv(inner) @ basis.T
+    for share in (0.2, 0.2, 0.6):
+        many = max(20, int(draws * share))
+        even = max(1, int(many * EVEN))
+        z, x = np.empty((loci, d, many - even)), np.empty((loci, n, many))
+        for i, rng in enumerate(rngs):
+            z[i] = (rng.standard_normal((many - even, d)) / np.sqrt(rng.chisquare(freedom, many - even) / freedom)[:, None]).T
+            x[i, :, many - even :] = rng.dirichlet(np.ones(n), even).T
+        inner = basis.T @ (1.3 * cov) @ basis
+        root = np.linalg.cholesky((inner + np.swapaxes(inner, 1, 2)) / 2 + np.eye(d) * np.maximum(1e-14, 1e-9 * np.trace(inner, axis1=1, axis2=2))[:, None, None])
+        x[:, :, : many - even] = mean[:, :, None] + (basis @ root) @ z
+        # The first draws are where they are because of z, the others have to be traced back.
+        y = np.concatenate([z, np.linalg.solve(root, basis.T @ (x[:, :, many - even :] - mean[:, :, None]))], axis=2)
+        log_t = lgamma((freedom + d) / 2) - lgamma(freedom / 2) - d / 2 * np.log(freedom * np.pi) - np.log(np.diagonal(root, axis1=1, axis2=2)).sum(axis=1)[:, None] - (freedom + d) / 2 * np.log1p((y * y).sum(axis=1) / freedom)
+        log_q = np.logaddexp(np.log1p(-even / many) + log_t, np.log(even / many) + lgamma(n) - np.log(n) / 2)
+        outside = (x < 0).any(axis=1)
+        inside = np.where(outside[:, None], 1 / n, x)
+        # What one locus's rows make of its draws is made and used up at once.
+        log_l = np.stack([_log_likelihoods(q[m > 0], m[m > 0], v) for q, v, m in zip(p, inside, mass, strict=True)])
+        w = np.where(outside, -np.inf, log_l - log_q)
+        w = np.exp(w - w.max(axis=1, keepdims=True))
+        w /= w.sum(axis=1, keepdims=True)
+        mean = (x @ w[:, :, None])[:, :, 0]
+        off = x - mean[:, :, None]
+        cov = (off * w[:, None]) @ np.swapaxes(off, 1, 2)
+    return mean, cov, 1 / (w * w).sum(axis=1)
+
+
+#: Entries (rows by models) and row-by-draw products of a locus up to which it is solved beside others; loci that are solved at once hold so many numbers.
+MOST_ENTRIES, MOST_PRODUCTS, AT_ONCE = 20_000, 2_000_000, 100_000
+
+
+def _solved(locus: np.ndarray, row: np.ndarray, model: np.ndarray, p: np.ndarray, mass: np.ndarray, row_locus: np.ndarray, sizes: np.ndarray, h: np.ndarray, draws: int, seed: int):
+    """(locus, mean, covariance, effective) by number of models, for loci of sizes models; locus, row, model, p: of each entry."""
+    n_rows = np.bincount(row_locus, minlength=len(sizes))
+    first = np.concatenate([[0], np.cumsum(n_rows)])
+    sound = np.bincount(locus, weights=~(np.isfinite(p) & (p >= 0)), minlength=len(sizes)) == 0
+    full = np.bincount(row, weights=p, minlength=len(mass)) > 0
+    alive = np.bincount(row_locus, weights=np.where(full, mass, 0.0), minlength=len(sizes)) > 0
+    beside = sound & alive & (sizes > 1) & (n_rows * sizes <= MOST_ENTRIES) & (n_rows * draws <= MOST_PRODUCTS)
+    stream = lambda i: np.random.default_rng([seed, int(h[i]) & 0xFFFFFFFF, (int(h[i]) >> 32) & 0xFFFFFFFF])
+    starts = np.searchsorted(locus, np.arange(len(sizes) + 1))
+    for n in np.unique(sizes[beside]).tolist():
+        same = np.flatnonzero(beside & (sizes == n))
+        same = same[np.argsort(n_rows[same], kind="stable")]
+        step = max(1, AT_ONCE // (max(draws, int(n_rows[same[-1]])) * n))
+        for part in np.array_split(same, -(-len(same) // step)):
+            place = np.full(len(sizes), -1)
+            place[part] = np.arange(len(part))
+            of = np.concatenate([np.arange(starts[i], starts[i + 1]) for i in part])
+            dense, weight = np.zeros((len(part), int(n_rows[part].max()), n)), np.zeros((len(part), int(n_rows[part].max())))
+            np.add.at(dense, (place[locus[of]], row[of] - first[locus[of]], model[of]), p[of])
+            rows = np.concatenate([np.arange(first[i], first[i + 1]) for i in part])
+            weight[place[row_locus[rows]], rows - first[row_locus[rows]]] = np.where(full[rows], mass[rows], 0.0)
+            yield part, *_many_moments(dense, weight, draws, [stream(i) for i in part])
+    for i in np.flatnonzero(~beside).tolist():
+        of, m = slice(starts[i], starts[i + 1]), mass[first[i] : first[i + 1]]
+        r, n = row[of] - first[i], int(sizes[i])
+        gamma, _, _, _ = em_sparse(r, model[of], p[of], m, n)
+        mean, cov, effective = importance_moments(r, model[of], p[of], m, gamma, draws, stream(i))
+        yield np.array([i]), mean[None], cov[None], np.array([effective])
+
+
 def posteriors(df: DataFrame, locus: str, fragment: str, model: str, probability: str, mass: str, draws: int = 10_000, seed: int = 0) -> DataFrame:
     """(locus, model, other, mean, covariance, effective) of the weights' posterior in each locus, by importance sampling.
 
     df is as mixtures takes it; mean is that of model, effective the number of even draws that these are worth. Streams depend on
-    the seed and the locus alone. A locus's entries are what a task holds: no matrix of all fragments by all models.
+    the seed and the locus alone. A locus's entries are what a task holds: no matrix of all fragments by all models. Small loci
+    of as many models are solved side by side.
     """
     importable_on_workers(df.sparkSession)
     rows = df.groupBy(locus, fragment).agg(F.array_sort(F.collect_list(F.struct(F.col(model).cast("string").alias("m"), F.col(probability).cast("double").alias("p")))).alias("row"), F.max(F.col(mass).cast("double")).alias("mass"))
     classes = rows.groupBy(locus, "row").agg(F.sum("mass").alias("mass"))
-    flat = classes.select(F.col(locus).cast("string").alias("locus"), F.transform("row", lambda x: x["m"]).alias("models"), F.transform("row", lambda x: x["p"]).alias("ps"), "mass", F.xxhash64(F.col(locus).cast("string")).alias("h"))
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        order = sorted(range(len(pdf)), key=lambda i: (list(pdf.models.iloc[i]), list(pdf.ps.iloc[i])))
-        pdf = pdf.iloc[order]
-        names = sorted({m for row in pdf.models for m in row})
-        at = {m: k for k, m in enumerate(names)}
-        size = pdf.models.map(len).to_numpy()
-        row, which, p = np.repeat(np.arange(len(pdf)), size), np.array([at[m] for r in pdf.models for m in r]), np.concatenate([np.asarray(x, float) for x in pdf.ps])
-        m, h = pdf.mass.to_numpy(float), int(pdf.h.iloc[0])
-        gamma, _, _, _ = em_sparse(row, which, p, m, len(names))
-        rng = np.random.default_rng([seed, h & 0xFFFFFFFF, (h >> 32) & 0xFFFFFFFF])
-        mean, cov, effective = importance_moments(row, which, p, m, gamma, draws, rng)
-        i, j = np.indices(cov.shape)
-        name = np.array(names, object)
-        return pd.DataFrame({"locus": pdf.locus.iloc[0], "model": name[i.ravel()], "other": name[j.ravel()], "mean": mean[i.ravel()], "covariance": cov.ravel(), "effective": effective})
-
-    return flat.groupBy("locus").applyInPandas(solve, "locus string, model string, other string, mean double, covariance double, effective double")
+    name = F.col(locus).cast("string")
+    whole = classes.groupBy(name.alias("locus")).agg(F.array_sort(F.collect_list(F.struct("row", "mass"))).alias("rows"))
+    flat = whole.select("locus", F.xxhash64("locus").alias("h"), F.transform("rows", lambda x: F.size(x["row"])).alias("n"), F.transform("rows", lambda x: x["mass"]).alias("mass"), F.flatten(F.transform("rows", lambda x: F.transform(x["row"], lambda y: y["m"]))).alias("m"), F.flatten(F.transform("rows", lambda x: F.transform(x["row"], lambda y: y["p"]))).alias("p"))
+    schema = "locus string, model string, other string, mean double, covariance double, effective double"
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = pa.array(batch.column("locus"))
+            lists = {c: batch.column(c) for c in ("n", "mass", "m", "p")}
+            flats = {c: lists[c].flatten() for c in lists}
+            n_entries, n_rows = (lists[c].value_lengths().to_numpy(zero_copy_only=False).astype(np.int64) for c in ("m", "mass"))
+            locus, row_locus = np.repeat(np.arange(len(names)), n_entries), np.repeat(np.arange(len(names)), n_rows)
+            row = np.repeat(np.arange(len(row_locus)), flats["n"].to_numpy(zero_copy_only=False))
+            coded = flats["m"].dictionary_encode()
+            order = np.argsort(np.array(coded.dictionary.to_pylist(), object), kind="stable")
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
+            # A locus's models are numbered in order of their names.
+            used, at = np.unique(locus * max(1, len(order)) + rank[coded.indices.to_numpy(zero_copy_only=False)], return_inverse=True)
+            owner = used // max(1, len(order))
+            sizes = np.bincount(owner, minlength=len(names))
+            begin = np.concatenate([[0], np.cumsum(sizes)])
+            model = at - begin[locus]
+            called = coded.dictionary.take(pa.array(order[used % max(1, len(order))]))
+            p, m = flats["p"].to_numpy(zero_copy_only=False), flats["mass"].to_numpy(zero_copy_only=False)
+            for part, mean, cov, effective in _solved(locus, row, model, p, m, row_locus, sizes, batch.column("h").to_numpy(zero_copy_only=False), draws, seed):
+                n = mean.shape[1]
+                of = begin[part][:, None] + np.arange(n)
+                yield pa.RecordBatch.from_arrays(
+                    [names.take(pa.array(np.repeat(part, n * n))), called.take(pa.array(np.repeat(of, n, axis=1).ravel())), called.take(pa.array(np.tile(of, n).ravel())), pa.array(np.repeat(mean, n, axis=1).ravel()), pa.array(cov.ravel()), pa.array(np.repeat(effective, n * n))],
+                    names=["locus", "model", "other", "mean", "covariance", "effective"],
+                )
+
+    return flat.mapInArrow(solve, schema)
 
 
 def _gradient(p: Column, q: Column) -> Column:
