@@ -56,6 +56,17 @@ def group_variance(covariance: DataFrame, members: DataFrame, keys: Sequence[str
     return inside.groupBy(*keys, F.col("__a").alias(group)).agg(F.greatest(F.lit(0.0), F.sum("covariance")).alias("variance"))
 
 
+def group_variance_of_counts(gammas: DataFrame, locus: str, gamma: str, total: str, variance: str, factor: str, group: str) -> DataFrame:
+    """(locus, group, variance) of the sum of factor times count over each group of a locus's models, without a row for any pair.
+
+    What group_variance makes of scaled(count_covariance(...)) where the weights are known: with t, v the total's mean and variance,
+    the sum over a group's models of t g a ** 2, and (v - t) times the square of their sum of g a. Groups lie within a locus.
+    """
+    side = gammas.select(F.col(locus).alias("locus"), F.col(group).alias("grp"), F.col(gamma).cast("double").alias("g"), F.col(factor).cast("double").alias("a"), F.col(total).cast("double").alias("t"), F.col(variance).cast("double").alias("v"))
+    sums = side.groupBy("locus", "grp").agg(F.sum(F.col("t") * F.col("g") * F.col("a") * F.col("a")).alias("own"), F.sum(F.col("g") * F.col("a")).alias("s"), F.first(F.col("v") - F.col("t")).alias("beyond"))
+    return sums.select(F.col("locus").alias(locus), F.col("grp").alias(group), F.greatest(F.lit(0.0), F.col("own") + F.col("beyond") * F.col("s") * F.col("s")).alias("variance"))
+
+
 def samples(values: DataFrame, covariance: DataFrame, keys: Sequence[str], model: str, value: str, draws: int = 100, seed: int = 0) -> DataFrame:
     """(keys, model, draw, value): draws of each locus's values, normal with their covariance and not below 0.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanforge.operators import abundance, negbin, uncertainty
@@ -22,8 +22,9 @@ def _lines(spark: SparkSession, d: str) -> DataFrame:
     """Lines as models of their order, which is a locus: shares by quantity, a total that varies more than Poisson."""
     model = (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("model")
     lines = load(spark, d, "lineitem").groupBy("l_orderkey", model).agg(F.min("l_returnflag").alias("l_returnflag"), F.sum(F.round("l_quantity")).alias("q"), (1000 / (F.max(F.round(F.col("l_tax") * 100)) + 1)).alias("scale"))
-    sums = lines.groupBy("l_orderkey").agg(F.sum("q").alias("t"))
-    return abundance.shares(lines.join(sums, "l_orderkey"), ["l_orderkey"], "q", "g").withColumn("v", F.col("t") + 0.01 * F.col("t") * F.col("t"))
+    # Ordered by their order once: totals come from the rows themselves, not from a second reading.
+    sums = lines.withColumn("t", F.sum("q").over(Window.partitionBy("l_orderkey")))
+    return abundance.shares(sums, ["l_orderkey"], "q", "g").withColumn("v", F.col("t") + 0.01 * F.col("t") * F.col("t"))
 
 
 def _covariance(lines: DataFrame) -> DataFrame:
@@ -41,7 +42,7 @@ SELECT l_orderkey, l_returnflag, round(greatest(0, f - 2 * sqrt(variance)), 4) A
 def group_fpkm_intervals(spark: SparkSession, d: str) -> DataFrame:
     """Lines of one return flag as a group of their order's models."""
     lines = _lines(spark, d)
-    variance = uncertainty.group_variance(_covariance(lines), lines.select("model", "l_returnflag"), ["l_orderkey"], "model", "l_returnflag")
+    variance = uncertainty.group_variance_of_counts(lines, "l_orderkey", "g", "t", "v", "scale", "l_returnflag")
     sums = lines.groupBy("l_orderkey", "l_returnflag").agg(F.sum(F.col("q") * F.col("scale")).alias("f"))
     lo, hi = abundance.confidence(F.col("f"), F.sqrt("variance"))
     return sums.join(variance, ["l_orderkey", "l_returnflag"]).select("l_orderkey", "l_returnflag", F.round(lo, 4).alias("lo"), F.round(hi, 4).alias("hi"))

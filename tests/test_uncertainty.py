@@ -117,6 +117,19 @@ def test_posterior_equals_exact_integration(models, kind):
     assert np.all(np.abs(cov - want_cov) < 10 * np.outer(sd, sd) / math.sqrt(effective) + 1e-5)
 
 
+def test_group_variances_without_pairs(spark):
+    """The quadratic form in closed form: equal to that over all pairs of a locus's models, with as many rows as it has models."""
+    rng = np.random.default_rng(6)
+    rows = [(locus, 100 * locus + k, g / w.sum(), 50.0 * locus, 80.0 * locus * locus, float(rng.uniform(0, 9)), f"g{k % 3}") for locus in range(1, 6) for w in [rng.uniform(0, 1, 7)] for k, g in enumerate(w.tolist())]
+    df = spark.createDataFrame([tuple(map(lambda x: x.item() if hasattr(x, "item") else x, r)) for r in rows], "locus int, model int, g double, t double, v double, a double, grp string")
+    pairs = uncertainty.scaled(uncertainty.count_covariance(df, "locus", "model", "g", "t", "v"), df, ["locus"], "model", "a")
+    want = {(r.locus, r.grp): r.variance for r in uncertainty.group_variance(pairs, df.select("model", "grp"), ["locus"], "model", "grp").collect()}
+    found = uncertainty.group_variance_of_counts(df, "locus", "g", "t", "v", "a", "grp")
+    got = {(r.locus, r.grp): r.variance for r in found.collect()}
+    assert len(want) == 15 and got == pytest.approx(want, rel=1e-9)
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_small_loci_are_solved_side_by_side():
     """Loci of two to four models, rows without a probability and unlike numbers of rows: the same as one by one, in less than half its time."""
     rng = np.random.default_rng(3)
