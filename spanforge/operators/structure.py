@@ -128,13 +128,18 @@ def repeats(classified: DataFrame, sequences: DataFrame) -> DataFrame:
 def redundant(df: DataFrame, bin: int = 10_000) -> DataFrame:
     """Rows of df(id, contig, strand, exons) whose introns are those of another, or a run of them, and whose span it holds.
 
-    Of equals, the longer stays, then the lesser id.
+    Of equals, the longer stays, then the lesser id. A row meets those that have its first intron: bin has no effect any more.
     """
     def spans(d: DataFrame) -> DataFrame:
-        return d.withColumns({"lo": F.get("exons", F.lit(0))["lo"] - 1, "hi": F.get("exons", F.size("exons") - 1)["hi"]})
-
-    keyed = spans(df).withColumns({"chain": F.concat(F.lit(","), chain_key(F.col("exons")), F.lit(",")), "n": F.size("exons"), "bases": exonic_length(F.col("exons"))})
-    slim = keyed.select("id", "contig", "strand", "lo", "hi", "chain", "n", "bases")
-    pairs = range_join(slim, slim, ["contig", "strand"], bin=bin).where("id <> id_r AND lo_r <= lo AND hi <= hi_r AND n > 1")
-    worse = (F.col("n") < F.col("n_r")) | (F.col("n") == F.col("n_r")) & ((F.col("bases") < F.col("bases_r")) | (F.col("bases") == F.col("bases_r")) & (F.col("id") > F.col("id_r")))
-    return df.join(pairs.where(F.contains("chain_r", "chain") & worse).select("id").distinct(), "id", "left_semi")
+        e = F.col("exons")
+        return d.where(F.size(e) > 1).select(
+            "*", introns(e).alias("__introns"), F.concat(F.lit(","), chain_key(e), F.lit(",")).alias("__chain"), F.size(e).alias("__n"), exonic_length(e).alias("__bases"),
+            F.get(e, F.lit(0))["lo"].alias("__lo"), F.get(e, F.size(e) - 1)["hi"].alias("__hi"),
+        )
+
+    own = ["__chain", "__n", "__bases", "__lo", "__hi"]
+    rows = spans(df).withColumn("__intron", F.get("__introns", F.lit(0))).drop("__introns")
+    others = spans(df).select(F.col("id").alias("__id_r"), F.col("contig").alias("__contig_r"), F.col("strand").alias("__strand_r"), F.explode("__introns").alias("__intron_r"), *(F.col(c).alias(f"{c}_r") for c in own))
+    worse = F.expr("__n < __n_r OR __n = __n_r AND (__bases < __bases_r OR __bases = __bases_r AND id > __id_r)")
+    inside = F.expr("contig = __contig_r AND strand = __strand_r AND __intron = __intron_r AND id <> __id_r AND __lo_r <= __lo AND __hi <= __hi_r") & F.contains("__chain_r", "__chain")
+    return rows.join(others, inside & worse, "left_semi").select(*df.columns)

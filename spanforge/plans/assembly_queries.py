@@ -122,8 +122,10 @@ WHERE len(u.a) < len(v.a) OR len(u.a) = len(v.a) AND (u.bases < v.bases OR u.bas
 def redundant_models(spark: SparkSession, d: str) -> DataFrame:
     """The models of each order, and with each one that lacks its last exon."""
     m = order_models(spark, d)
-    shorter = m.where(F.size("exons") > 1).withColumns({"id": F.concat("id", F.lit(".t")), "exons": F.slice("exons", F.lit(1), F.size("exons") - 1)})
-    return structure.redundant(m.unionByName(shorter), bin=60).select("id", "contig")
+    whole = F.struct("id", "exons")
+    shorter = F.struct(F.concat("id", F.lit(".t")).alias("id"), F.slice("exons", F.lit(1), F.size("exons") - 1).alias("exons"))
+    both = m.select("contig", "strand", F.explode(F.when(F.size("exons") > 1, F.array(whole, shorter)).otherwise(F.array(whole))).alias("m"))
+    return structure.redundant(both.select("contig", "strand", "m.*"), bin=60).select("id", "contig")
 
 
 @query("assembly")

@@ -51,6 +51,19 @@ def test_classified_across_strands_and_run_on(spark):
     assert {r.id: r.code for r in structure.classified(query, reference).collect()} == {"s": "s", "x": "x", "p": "p", "far": "u", "m": "p", "u": "u"}
 
 
+def test_redundant_models_are_not_laid_into_bins(spark):
+    """Models that span many bins: as many rows meet as there are introns, and each row comes once, with its own columns."""
+    def exons(at, n):
+        return [(at + 100_000 * k, at + 100_000 * k + 50) for k in range(n)]
+
+    rows = [("a", exons(1, 6)), ("b", exons(1, 6)[2:5]), ("c", exons(1, 6)[1:4:2]), ("d", exons(1, 1)), ("e", exons(500, 3)), ("f", [(1, 40), *exons(1, 6)[1:]])]
+    df = spark.createDataFrame([(i, "c", "+", e, -7) for i, e in rows], "id string, contig string, strand string, exons array<struct<lo:int,hi:int>>, lo int")
+    found = structure.redundant(df, bin=60)
+    assert [(r.id, r.lo, len(r.exons)) for r in found.orderBy("id").collect()] == [("b", -7, 3)] and found.columns == df.columns
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "sequence(" not in plan.replace("sequence(1, greatest", "") and plan.count("Join") == 1
+
+
 def test_redundant(spark):
     schema = "id string, contig string, strand string, exons array<struct<lo:int,hi:int>>"
     df = spark.createDataFrame([("a", "c", "+", [(1, 100), (201, 300), (401, 500)]), ("b", "c", "+", [(50, 100), (201, 250)]), ("c", "c", "+", [(50, 100), (211, 250)]), ("d", "c", "+", [(1, 100), (201, 300), (401, 500)]), ("e", "c", "-", [(50, 100), (201, 250)])], schema)
