@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from spanforge.operators import intervals
 from spanforge.operators.assemble import gaps
-from spanforge.operators.cluster import label_components
+from spanforge.operators.cluster import _kept, label_components
 
 
 def repaired(models: DataFrame, reference: DataFrame | None = None, bin: int = 10_000) -> DataFrame:
@@ -50,16 +50,24 @@ def combined(models: DataFrame, bin: int = 10_000) -> DataFrame:
 
     A model without a strand goes where one with a strand overlaps it and no gap of either lies where the other has bases; of those
     that are left one goes where it lies in another that it agrees with in this way (of equal spans the heavier stays, then the
-    lesser id). Half-open coordinates; blocks is an array of (lo, hi).
+    lesser id). Half-open coordinates; blocks is an array of (lo, hi) in order, from lo to hi. Two models that overlap and agree
+    share the base at which the later begins, so that they meet in bins of blocks, not in all bins of their spans.
     """
-    sides = models.select("id", "contig", "strand", "lo", "hi", "blocks", "mass")
-    agree = ~_clash(F.col("blocks"), F.col("blocks_r"))
-    against = intervals.range_join(sides.where("strand = '.'"), sides.where("strand <> '.'"), ["contig"], bin=bin)
-    left = models.join(against.where(agree).select("id").distinct(), "id", "left_anti")
-    loose = left.where("strand = '.'").select(*sides.columns)
-    pairs = intervals.range_join(loose, loose, ["contig"], bin=bin).where("id <> id_r AND lo_r <= lo AND hi <= hi_r")
-    other = (F.col("lo_r") < F.col("lo")) | (F.col("hi") < F.col("hi_r")) | (F.col("mass_r") > F.col("mass")) | ((F.col("mass_r") == F.col("mass")) & (F.col("id_r") < F.col("id")))
-    return left.join(pairs.where(other & agree).select("id").distinct(), "id", "left_anti")
+    sides = models.where("lo < hi").select("id", "contig", "strand", "lo", "hi", "blocks", "mass")
+
+    def binned(df: DataFrame, suffix: str = "") -> DataFrame:
+        touched = F.flatten(F.transform(F.filter("blocks", lambda e: e["lo"] < e["hi"]), lambda e: F.sequence(F.floor(e["lo"] / bin), F.floor((e["hi"] - 1) / bin))))
+        return df.select(*(F.col(c).alias(c + suffix) for c in ("id", "contig", "lo", "hi", "blocks", "mass")), F.explode(F.array_distinct(touched)).alias("__bin" + suffix))
+
+    def met(df: DataFrame, others: DataFrame, condition: Column) -> DataFrame:
+        agree = F.expr("contig = contig_r AND __bin = __bin_r AND lo < hi_r AND lo_r < hi") & ~_clash(F.col("blocks"), F.col("blocks_r"))
+        return binned(df).join(binned(others, "_r"), agree & condition, "left_semi").select("id").distinct()
+
+    loose = sides.where("strand = '.'")
+    known = _kept(met(loose, sides.where("strand <> '.'"), F.lit(True)))
+    left = loose.join(known, "id", "left_anti")
+    other = F.expr("id <> id_r AND lo_r <= lo AND hi <= hi_r AND (lo_r < lo OR hi < hi_r OR mass_r > mass OR mass_r = mass AND id_r < id)")
+    return models.join(known.union(met(left, left, other)), "id", "left_anti")
 
 
 def clusters_by_strand(models: DataFrame, slack: int = 0) -> DataFrame:

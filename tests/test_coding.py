@@ -150,6 +150,33 @@ def test_strands_come_from_reference_neighbours_and_locus(spark):
     assert got["a"] == ("+", "reference") and got["b"] == ("+", "reference") and got["x"] == ("+", "locus") and got["z"] == (".", None)
 
 
+def test_combined_strands_equal_all_pairs(spark):
+    """Against all pairs, models of many bins among them; rows that meet are as many as bins of blocks, not of spans."""
+    rng = random.Random(8)
+    rows = []
+    for k in range(150):
+        places = sorted(rng.sample(range(0, 40), 2 * rng.randint(1, 3)))
+        far = rng.choice([1, 1, 500])
+        blocks = [(far * a, far * b) for a, b in zip(places[::2], places[1::2], strict=True)]
+        rows.append((f"m{k}", f"c{k % 4}", rng.choice("+-..."), blocks[0][0], blocks[-1][1], blocks, float(rng.randint(1, 3))))
+
+    def agree(a, b):
+        def into(x, y):
+            return any(p < h and g < q for (_, g), (h, _) in zip(x, x[1:], strict=False) for p, q in y)
+
+        return a[1] == b[1] and a[3] < b[4] and b[3] < a[4] and not into(a[5], b[5]) and not into(b[5], a[5])
+
+    left = [a for a in rows if not (a[2] == "." and any(b[2] != "." and agree(a, b) for b in rows))]
+    loose = [a for a in left if a[2] == "."]
+    gone = {a[0] for a in loose for b in loose if a[0] != b[0] and b[3] <= a[3] and a[4] <= b[4] and agree(a, b) and (b[3] < a[3] or a[4] < b[4] or (-b[6], b[0]) < (-a[6], a[0]))}
+    want = sorted(a[0] for a in left if a[0] not in gone)
+    df = spark.createDataFrame(rows, "id string, contig string, strand string, lo int, hi int, blocks array<struct<lo:int,hi:int>>, mass double")
+    found = strands.combined(df, bin=16)
+    assert gone and len(left) < len(rows) and sorted(r.id for r in found.collect()) == want
+    wide = spark.createDataFrame([("w", "c", ".", 0, 3_000_000_000, [(0, 9), (2_999_999_991, 3_000_000_000)], 1.0), ("v", "c", "+", 0, 9, [(0, 9)], 1.0)], "id string, contig string, strand string, lo long, hi long, blocks array<struct<lo:long,hi:long>>, mass double")
+    assert {r.id for r in strands.combined(wide, bin=1).collect()} == {"v"}
+
+
 def test_combined_strands_drop_what_adds_nothing(spark):
     rows = [("p", "+", [(0, 100), (200, 300)]), ("in", ".", [(50, 90)]), ("gap", ".", [(120, 180)]), ("over", ".", [(80, 120)]), ("free", ".", [(400, 500)]), ("free2", ".", [(450, 520)]), ("inner", ".", [(410, 440)]), ("same", ".", [(400, 500)]), ("m", "-", [(600, 700)]), ("split", ".", [(590, 620), (680, 710)])]
     df = spark.createDataFrame([(i, "c", s, b[0][0], b[-1][1], b, 5.0 if i == "free2" else 1.0) for i, s, b in rows], "id string, contig string, strand string, lo int, hi int, blocks array<struct<lo:int,hi:int>>, mass double")
