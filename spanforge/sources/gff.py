@@ -8,14 +8,33 @@ from pyspark.sql import functions as F
 
 def gtf_attributes(text: Column) -> Column:
     """Column 9 as a map: key "value"; pairs, or key=value; pairs with percent escapes."""
-    pair = F.lit(r'([A-Za-z_][A-Za-z0-9_.]*) +(?:"([^"]*)"|([^";\s][^";]*))')
-    quoted, bare = F.regexp_extract_all(text, pair, F.lit(2)), F.regexp_extract_all(text, pair, F.lit(3))
-    gtf = F.regexp_extract_all(text, pair, F.lit(1)), F.zip_with(quoted, bare, lambda x, y: F.concat(F.coalesce(x, F.lit("")), F.coalesce(y, F.lit(""))))
-    gff = F.regexp_extract_all(text, F.lit(r"([^=;]+)=([^;]*)"), 1), F.transform(F.regexp_extract_all(text, F.lit(r"([^=;]+)=([^;]*)"), 2), lambda v: F.coalesce(F.try_url_decode(F.replace(v, F.lit("+"), F.lit("%2B"))), v))
-    pairs = F.when(text.rlike(r"^\s*[^ \"=;]+="), F.arrays_zip(F.transform(gff[0], lambda k: F.trim(k)).alias("k"), gff[1].alias("v"))).otherwise(F.arrays_zip(gtf[0].alias("k"), gtf[1].alias("v")))
-    # The first of equal keys counts.
-    first = F.filter(pairs, lambda x, i: F.array_position(F.transform(pairs, lambda y: y["k"]), x["k"]) == i + 1)
-    return F.map_from_entries(first)
+    pair = F.lit(r'[A-Za-z_][A-Za-z0-9_.]* +(?:"[^"]*"|[^";\s][^";]*)')
+
+    def once(value: Column, f) -> Column:
+        """f(value), where value is worked out once however often f names it."""
+        return F.get(F.transform(F.array(value), f), F.lit(0))
+
+    def entry(k: Column, v: Column) -> Column:
+        return F.struct(k.alias("k"), v.alias("v"))
+
+    # A key has no space; what follows it is quoted whole or not at all.
+    def quoted(x: Column) -> Column:
+        return once(F.ltrim(F.substr(x, F.instr(x, F.lit(" ")))), lambda rest: entry(F.substring_index(x, " ", 1), F.when(F.startswith(rest, F.lit('"')), F.replace(rest, F.lit('"'))).otherwise(rest)))
+
+    def escaped(x: Column) -> Column:
+        v = F.substr(x, F.instr(x, F.lit("=")) + 1)
+        return entry(F.trim(F.substring_index(x, "=", 1)), F.coalesce(F.try_url_decode(F.replace(v, F.lit("+"), F.lit("%2B"))), v))
+
+    def mapped(pairs: Column) -> Column:
+        def unlike(keys: Column) -> Column:
+            # The first of equal keys counts.
+            return F.when(F.size(F.array_distinct(keys)) == F.size(keys), pairs).otherwise(F.filter(pairs, lambda x, i: F.array_position(keys, x["k"]) == i + 1))
+
+        return F.map_from_entries(once(F.transform(pairs, lambda x: x["k"]), unlike))
+
+    gff = F.transform(F.regexp_extract_all(text, F.lit(r"[^=;]+=[^;]*"), F.lit(0)), escaped)
+    gtf = F.transform(F.regexp_extract_all(text, pair, F.lit(0)), quoted)
+    return once(F.when(text.rlike(r"^\s*[^ \"=;]+="), gff).otherwise(gtf), mapped)
 
 
 def features(spark: SparkSession, path: str) -> DataFrame:
@@ -72,6 +91,7 @@ def as_gtf(models: DataFrame, source: str = "spanforge") -> DataFrame:
     scored = models.withColumn("score", score)
     names = F.concat(F.lit('gene_id "'), "gene_id", F.lit('"; transcript_id "'), "id", F.lit('";'))
     line = lambda kind, lo, hi, extra: F.concat_ws("\t", "contig", F.lit(source), F.lit(kind), lo.cast("string"), hi.cast("string"), F.col("score").cast("string"), "strand", F.lit("."), F.concat(names, extra))
-    whole = scored.select("id", F.lit(0).alias("number"), line("transcript", F.get("exons", F.lit(0))["lo"], F.get("exons", F.size("exons") - 1)["hi"], F.format_string(' FPKM "%.10f";', "fpkm")).alias("value"))
-    parts = scored.select("*", F.posexplode("exons").alias("k", "e")).select("id", (F.col("k") + 1).alias("number"), line("exon", F.col("e.lo"), F.col("e.hi"), F.format_string(' exon_number "%d";', F.col("k") + 1)).alias("value"))
-    return whole.unionByName(parts)
+    # A model's lines are laid out from its row: nothing is read twice.
+    whole = F.struct(F.lit(0).alias("number"), line("transcript", F.get("exons", F.lit(0))["lo"], F.get("exons", F.size("exons") - 1)["hi"], F.format_string(' FPKM "%.10f";', "fpkm")).alias("value"))
+    exon = lambda e, k: F.struct((k + 1).alias("number"), line("exon", e["lo"], e["hi"], F.concat(F.lit(' exon_number "'), (k + 1).cast("string"), F.lit('";'))).alias("value"))
+    return scored.select("id", F.explode(F.concat(F.array(whole), F.coalesce(F.transform("exons", exon), F.array().cast("array<struct<number:int,value:string>>")))).alias("l")).select("id", "l.number", "l.value")

@@ -51,6 +51,19 @@ def test_classified_across_strands_and_run_on(spark):
     assert {r.id: r.code for r in structure.classified(query, reference).collect()} == {"s": "s", "x": "x", "p": "p", "far": "u", "m": "p", "u": "u"}
 
 
+def test_gtf_lines_come_from_one_reading(spark):
+    """Transcripts and exons are laid out together; attributes keep their values, quoted or not, and the first of equal keys."""
+    models = spark.createDataFrame([("t1", "g", "c", "+", [(1, 5), (9, 12)], 2.0), ("t2", "g", "c", "-", [(3, 4)], 1.0)], "id string, gene_id string, contig string, strand string, exons array<struct<lo:int,hi:int>>, fpkm double")
+    lines = gff.as_gtf(models)
+    assert lines._jdf.queryExecution().optimizedPlan().toString().count("Window") == 1
+    got = {(r.id, r.number): r.value.split("\t") for r in lines.collect()}
+    assert sorted(got) == [("t1", 0), ("t1", 1), ("t1", 2), ("t2", 0), ("t2", 1)] and got["t1", 2][3:6] == ["9", "12", "1000"]
+    assert got["t1", 2][8] == 'gene_id "g"; transcript_id "t1"; exon_number "2";' and got["t2", 0][5] == "500" and got["t2", 0][8].endswith(' FPKM "1.0000000000";')
+    texts = ['gene_id "a b";  level  2 ; tag "x;y"; tag "z"; empty "";', "ID=a;Parent=b%2Cc;ID=d", "", 'k v "w"']
+    found = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").select("k", gff.gtf_attributes(F.col("t")).alias("a")).orderBy("k").collect()
+    assert [r.a for r in found] == [{"gene_id": "a b", "level": "2 ", "tag": "x;y", "empty": ""}, {"ID": "a", "Parent": "b,c"}, {}, {"k": "v "}]
+
+
 def test_redundant_models_are_not_laid_into_bins(spark):
     """Models that span many bins: as many rows meet as there are introns, and each row comes once, with its own columns."""
     def exons(at, n):
