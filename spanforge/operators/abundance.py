@@ -90,7 +90,21 @@ def em(compat: np.ndarray, mass: np.ndarray, most: int = 5000, tolerance: float
 
 
 def identifiable(row: np.ndarray, model: np.ndarray, p: np.ndarray, n_rows: int, n: int) -> bool:
-    """Whether the columns are independent: the rank of what their products are, summed in stretches of rows."""
+    """Whether the columns are independent: the rank of what their products are, summed in stretches of rows.
+
+    A row with one model fixes that model's weight, and then counts for its row's others alone: only models that
+    nothing fixes in this way have to be held as a matrix.
+    """
+    some = p != 0
+    row, model, p, free = row[some], model[some], p[some], np.ones(n, bool)
+    while len(row):
+        fixed = np.unique(model[np.bincount(row, minlength=n_rows)[row] == 1])
+        if not len(fixed):
+            break
+        free[fixed] = False
+        left = free[model]
+        row, model, p = row[left], model[left], p[left]
+    model, n = (np.cumsum(free) - 1)[model], int(free.sum())
     gram = np.zeros((n, n))
     most = np.maximum(np.bincount(model, weights=p * p, minlength=n), 1e-300) ** 0.5
     for first in range(0, n_rows, 4096):
@@ -110,6 +124,9 @@ def mixtures(df: DataFrame, locus: str, fragment: str, model: str, probability:
     """
     importable_on_workers(df.sparkSession)
     rows = df.groupBy(locus, fragment).agg(F.array_sort(F.collect_list(F.struct(F.col(model).cast("string").alias("m"), F.col(probability).cast("double").alias("p")))).alias("row"), F.max(F.col(mass).cast("double")).alias("mass"))
+    # What a fragment of one model says doesn't depend on its probability: there is one such row for a model.
+    single = (F.size("row") == 1) & (F.get("row", F.lit(0))["p"] > 0)
+    rows = rows.withColumn("row", F.when(single, F.transform("row", lambda x: F.struct(x["m"].alias("m"), F.lit(1.0).alias("p")))).otherwise(F.col("row")))
     classes = rows.groupBy(locus, "row").agg(F.sum("mass").alias("mass"))
     flat = classes.select(F.col(locus).cast("string").alias("locus"), F.transform("row", lambda x: x["m"]).alias("models"), F.transform("row", lambda x: x["p"]).alias("ps"), "mass")
 

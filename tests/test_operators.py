@@ -51,6 +51,24 @@ def test_classified_across_strands_and_run_on(spark):
     assert {r.id: r.code for r in structure.classified(query, reference).collect()} == {"s": "s", "x": "x", "p": "p", "far": "u", "m": "p", "u": "u"}
 
 
+def test_identifiable_holds_no_matrix_of_fixed_models():
+    """Many models that rows of their own fix; and the rank of small matrices, with repeated columns and rows of one model."""
+    n = 60_000
+    row, model = np.repeat(np.arange(2 * n - 1), [1] * n + [2] * (n - 1)), np.concatenate([np.arange(n), np.stack([np.arange(n - 1), np.arange(1, n)], axis=1).ravel()])
+    assert abundance.identifiable(row, model, np.full(len(row), 0.5), 2 * n - 1, n)
+    rng = np.random.default_rng(2)
+    seen = set()
+    for _ in range(200):
+        m = rng.integers(0, 3, (int(rng.integers(1, 7)), int(rng.integers(1, 5)))) / 2
+        m = m[:, m.any(axis=0)]
+        if m.size:
+            r, c = np.nonzero(m)
+            want = np.linalg.matrix_rank(m) == m.shape[1]
+            assert abundance.identifiable(r, c, m[r, c], *m.shape) == want
+            seen.add(bool(want))
+    assert seen == {True, False}
+
+
 def test_gtf_lines_come_from_one_reading(spark):
     """Transcripts and exons are laid out together; attributes keep their values, quoted or not, and the first of equal keys."""
     models = spark.createDataFrame([("t1", "g", "c", "+", [(1, 5), (9, 12)], 2.0), ("t2", "g", "c", "-", [(3, 4)], 1.0)], "id string, gene_id string, contig string, strand string, exons array<struct<lo:int,hi:int>>, fpkm double")
